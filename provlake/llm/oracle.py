@@ -18,7 +18,7 @@ repeats AS (
   FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS pos FROM twice) GROUP BY doc_id),
 counts AS (
   SELECT doc_id, lang, source, len(words) AS n_words,
-    coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+    coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id))"""
