@@ -52,10 +52,10 @@ def safe_pieces(text: str, cut: int = CUT) -> Iterator[str]:
 
 def encode_text(enc: tiktoken.Encoding, text: str | None, cut: int = CUT) -> np.ndarray:
     if not text:
-        return np.empty(0, np.uint32)
+        return np.empty(0, np.int32)
     if len(text) <= cut:
-        return enc.encode_to_numpy(text, disallowed_special=())
-    return np.concatenate([enc.encode_to_numpy(x, disallowed_special=()) for x in safe_pieces(text, cut)])
+        return np.array(enc.encode_ordinary(text), np.int32)
+    return np.concatenate([np.array(enc.encode_ordinary(x), np.int32) for x in safe_pieces(text, cut)])
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -64,7 +64,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: s
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def to_ids(texts: pd.Series) -> pd.Series:
         enc = encoding(ranks, pattern)
-        return pd.Series([encode_text(enc, t).astype(np.int32) for t in texts], dtype=object)
+        return pd.Series([encode_text(enc, t) for t in texts], dtype=object)
 
     return docs.withColumn(ids, to_ids(text))
 
