@@ -117,7 +117,7 @@ def best_trials(metrics: DataFrame, metric: str, n: int | None = None, largest:
 
 def numbered_steps(metrics: DataFrame, series: str, order: str) -> DataFrame:
     """WIN03: a sequence number from 1 in each series."""
-    return metrics.withColumn("SequenceNumber", F.row_number().over(Window.partitionBy(series).orderBy(order)))
+    return metrics.withColumn("SequenceNumber", F.row_number().over(Window.partitionBy(series).orderBy(order)).cast("long"))
 
 
 def ranking_quality(scored: DataFrame, score: str, label: str) -> DataFrame:
