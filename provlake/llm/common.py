@@ -66,6 +66,13 @@ def _shipped(application: str, context: SparkContext) -> None:
         context.addPyFile(shutil.make_archive(f"{folder}/provlake", "zip", root, "provlake"))
 
 
+#: Rows that go to a Python worker at once, where the session leaves Spark's own number: texts can be long.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, unless PYTHONPATH already does; once for each application."""
+    """Give executors this package, unless PYTHONPATH already does (once for each application), and keep Arrow batches small."""
     _shipped(spark.sparkContext.applicationId, spark.sparkContext)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
