@@ -41,12 +41,6 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def n_words(text: str) -> Column:
-    """The number of words of a text column, as words_of() counts them."""
-    marked = F.regexp_replace(F.col(text), "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+", "a")
-    return F.length(F.regexp_replace(marked, "[^a]+", "")).cast("long")
-
-
 def words_of(text: str | None) -> list[bytes]:
     """ASCII letters in lower case; words are runs of letters, digits and everything beyond ASCII."""
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
@@ -225,9 +219,9 @@ def _finder(shared: Broadcast, window: int):
 def _cutter(shared: Broadcast, window: int, min_span: int):
     def cut(texts: pd.Series) -> pd.DataFrame:
         automaton, _ = _automaton(shared.value, window)
-        return pd.DataFrame([cut_out(automaton, t, min_span) for t in texts], columns=["text", "n_hit"])
+        return pd.DataFrame([cut_out(automaton, t, min_span) for t in texts], columns=["text", "n_hit", "n_words"])
 
-    return F.pandas_udf(cut, "text string, n_hit long").asNondeterministic()
+    return F.pandas_udf(cut, "text string, n_hit long, n_words long").asNondeterministic()
 
 
 def match(spark: SparkSession, rows: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -272,29 +266,34 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"\n".join([*out, data[done:]]).decode("utf-8", "surrogatepass")
 
 
-def cut_out(automaton: SuffixAutomaton, text: str | None, min_span: int) -> tuple[str | None, int]:
-    """The text without its hit spans of min_span words or more, and the hit words; cut again while the cuts make new ones."""
-    lost = 0
-    while spans := automaton.scan(words_of(text))[0]:
-        lost += 0 if lost else sum(b - a for a, b in spans)
+def cut_out(automaton: SuffixAutomaton, text: str | None, min_span: int) -> tuple[str | None, int, int]:
+    """The text without its hit spans of min_span words or more (null if it has none), the hit words, and all words.
+
+    A cut can bring words together that form a new window, so the text is cut until nothing is hit.
+    """
+    words = words_of(text)
+    n, lost, out = len(words), 0, None
+    while spans := automaton.scan(words)[0]:
+        lost = lost or sum(b - a for a, b in spans)
         spans = [(a, b) for a, b in spans if b - a >= min_span]
         if not spans:
             break
-        text = cut_words(text, spans)
-    return text, lost
+        out = cut_words(text if out is None else out, spans)
+        words = words_of(out)
+    return out, lost, n
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_span: int = MIN_SPAN, max_coverage: float = MAX_COVERAGE, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without documents of which more than max_coverage is hit, and the others without hit spans of min_span words or more.
 
-    A cut can bring words together that form a new window, so a text is cut until nothing is hit; with several blocks of
-    items the blocks are gone through twice for the same reason. n_chars follows the new text.
+    With several blocks of items the blocks are gone through twice, since a cut for one can make a window of another.
+    n_chars follows the new text.
     """
     blocks = _blocks(benchmark, block_words)
-    rows = docs.withColumns({"__words": n_words("text"), "__hit": F.lit(0).cast("long")})
+    rows = docs.withColumns({"__words": F.lit(None).cast("long"), "__hit": F.lit(0).cast("long")})
     for block in blocks * (1 + (len(blocks) > 1)):
         cut = _cutter(spark.sparkContext.broadcast(_Held(block)), window, min_span)
-        rows = rows.withColumn("__cut", cut("text")).withColumns({"text": F.col("__cut.text"), "__hit": F.col("__hit") + F.col("__cut.n_hit")}).drop("__cut")
+        rows = rows.withColumn("__cut", cut("text")).withColumns({"text": F.coalesce("__cut.text", "text"), "__hit": F.col("__hit") + F.col("__cut.n_hit"), "__words": F.coalesce("__words", "__cut.n_words")}).drop("__cut")
     rows = rows.where(F.col("__hit") <= max_coverage * F.col("__words"))
     if "n_chars" in docs.columns:
         chars = F.when(F.col("__hit") > 0, F.length("text")).otherwise(F.col("n_chars"))
