@@ -153,7 +153,7 @@ def thresholds(sketches: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """The counts of every document, base_failed, kept, and adaptive_failed: the measures beyond their thresholds."""
     counted = materialize(count_documents(docs), "counts")
-    limits = thresholds(sketch(counted))
+    limits = materialize(thresholds(sketch(counted)), "limits")  # Spark then knows its size, and broadcasts it only below its own threshold
     rows = counted.join(limits, ["lang", "source"], "left")
     beyond = {k: (F.col(k) > F.col(f"high_{k}")) | ((F.col(k) < F.col(f"low_{k}")) if two else F.lit(False)) for k, (_, two) in MEASURES.items()}
     failed = F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in beyond.items())))
@@ -169,7 +169,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """
     limits = thresholds(sketch(materialize(count_documents(docs), "counts")))
     limits = limits.select(F.struct("lang", "source").alias("__group"), F.struct(*(F.col(f"{s}_{k}") for k in MEASURES for s in ("low", "high"))).alias("__limits"))
-    limits = materialize(limits, "limits")  # Spark then knows its size, and broadcasts it only below its own threshold
+    limits = materialize(limits, "limits")
     rows = docs.withColumns({"__group": F.struct(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")), "__c": _counts("text")})
     rows = rows.where((F.col("__c.n_words") >= MIN_WORDS) & (100 * F.col("__c.n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("__c.n_words")))
     rows = rows.join(limits, "__group", "left")
