@@ -6,8 +6,8 @@ adding it to that feature's lookup table is all there is to keep. Then the pairs
 promise most get tables of their own, from trees that split each of the two once. A score is the logistic of a sum of
 table entries: bins are found and entries added column by column, for whole batches.
 
-The fit takes at most MAX_ROWS labelled rows, those with the smallest hashes of doc_id and text features, whatever the
-size of the corpus. Features of all documents are computed once and kept as a table of numbers; texts aren't shuffled.
+The fit takes at most MAX_ROWS labelled rows, drawn by a hash of doc_id and features, whatever the size of the corpus:
+of many labels a share is taken first, so that about half as many rows again reach the driver in all. Features of all documents are computed once and kept as a table of numbers; texts aren't shuffled.
 
 Defined results: null and empty texts have zero features and get the score that the tables give these; a null doc_id has
 no label and isn't held out; labels other than 0 and 1 are ignored; several labels of one document are several rows;
@@ -205,8 +205,10 @@ def featurize(docs: DataFrame) -> DataFrame:
 def train(features: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
     """The model of at most max_rows labelled rows that aren't held out."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out("doc_id"))
-    rows = features.join(known, "doc_id").orderBy(F.xxhash64("doc_id", *FEATURES), "doc_id", "y").limit(max_rows)
-    sample = rows.select(*FEATURES, "y").toPandas()
+    rows = features.join(known, "doc_id").withColumn("hash", F.xxhash64("doc_id", *FEATURES))
+    share = min(1.0, 1.5 * max_rows / max(1, rows.count()))  # else each task would send max_rows rows to the driver
+    near = rows.where(F.pmod("hash", F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    sample = near.orderBy("hash", "doc_id", "y").limit(max_rows).select(*FEATURES, "y").toPandas()
     return fit([sample[f].to_numpy(float) for f in FEATURES], sample["y"].to_numpy(float))
 
 
