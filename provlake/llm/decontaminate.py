@@ -7,7 +7,8 @@ items are read from the automaton's state. Words are looked up first, and only s
 neighbouring words also stands side by side in some item are streamed: elsewhere no run gets beyond one word.
 
 The items are gathered in blocks of bounded size (BLOCK_WORDS), each of which becomes one broadcast automaton; a larger
-set of items takes more passes over the texts, not more memory.
+set of items takes more passes over the texts, not more memory: between passes the rows go to a scratch table, so no task
+holds two automata.
 
 clean() takes out hit spans of at least MIN_SPAN words, and drops documents of which more than MAX_COVERAGE is hit.
 
@@ -31,6 +32,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WINDOW = 10
 #: Words of items in one automaton, about 1 KB of Python objects each.
 BLOCK_WORDS = 200_000
@@ -227,6 +230,8 @@ def _cutter(shared: Broadcast, window: int, min_span: int):
 def match(spark: SparkSession, rows: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """rows with a struct column __match: n_words, the hit spans in words, and the sorted item_ids with occurring windows."""
     for number, block in enumerate(_blocks(benchmark, block_words)):
+        if number:
+            rows = materialize(rows, "matched")
         found = _finder(spark.sparkContext.broadcast(_Held(block)), window)(text)
         if not number:
             rows = rows.withColumn("__match", found)
@@ -291,7 +296,9 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_span:
     """
     blocks = _blocks(benchmark, block_words)
     rows = docs.withColumns({"__words": F.lit(None).cast("long"), "__hit": F.lit(0).cast("long")})
-    for block in blocks * (1 + (len(blocks) > 1)):
+    for number, block in enumerate(blocks * (1 + (len(blocks) > 1))):
+        if number:
+            rows = materialize(rows, "cut")
         cut = _cutter(spark.sparkContext.broadcast(_Held(block)), window, min_span)
         rows = rows.withColumn("__cut", cut("text")).withColumns({"text": F.coalesce("__cut.text", "text"), "__hit": F.col("__hit") + F.col("__cut.n_hit"), "__words": F.coalesce("__words", "__cut.n_words")}).drop("__cut")
     rows = rows.where(F.col("__hit") <= max_coverage * F.col("__words"))
