@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 
@@ -227,9 +228,18 @@ def _cutter(shared: Broadcast, window: int, min_span: int):
     return F.pandas_udf(cut, "text string, n_hit long, n_words long").asNondeterministic()
 
 
+@F.pandas_udf(T.StringType())
+def _cut(texts: pd.Series, firsts: pd.Series, afters: pd.Series) -> pd.Series:
+    return pd.Series([cut_words(t, list(zip(a, b, strict=True))) if len(a) else t for t, a, b in zip(texts, firsts, afters, strict=True)], dtype=object)
+
+
 def match(spark: SparkSession, rows: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """rows with a struct column __match: n_words, the hit spans in words, and the sorted item_ids with occurring windows."""
-    for number, block in enumerate(_blocks(benchmark, block_words)):
+    return _match(spark, rows, _blocks(benchmark, block_words), text, window)
+
+
+def _match(spark: SparkSession, rows: DataFrame, blocks: list[list[tuple[int | None, str]]], text: str, window: int) -> DataFrame:
+    for number, block in enumerate(blocks):
         if number:
             rows = materialize(rows, "matched")
         found = _finder(spark.sparkContext.broadcast(_Held(block)), window)(text)
@@ -252,10 +262,14 @@ def _merged(spans: str) -> Column:
     return F.expr(step.format(spans))
 
 
+def _hit(spans: Column) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["after"] - x["first"])
+
+
 def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     rows = match(spark, docs.select("doc_id", "text"), benchmark, window=window).select("doc_id", "__match.*")
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["after"] - x["first"])
+    hit = _hit(F.col("spans"))
     names = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
     return rows.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "item_ids")
 
@@ -291,18 +305,34 @@ def cut_out(automaton: SuffixAutomaton, text: str | None, min_span: int) -> tupl
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_span: int = MIN_SPAN, max_coverage: float = MAX_COVERAGE, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without documents of which more than max_coverage is hit, and the others without hit spans of min_span words or more.
 
-    With several blocks of items the blocks are gone through twice, since a cut for one can make a window of another.
-    n_chars follows the new text.
+    One block of items is matched and cut in one pass. With several, the spans of all blocks are taken from the same text,
+    their union decides coverage and is cut at once, and rows that were cut are gone through again until nothing is hit, so
+    the result doesn't depend on the blocks. n_chars follows the new text.
     """
     blocks = _blocks(benchmark, block_words)
-    rows = docs.withColumns({"__words": F.lit(None).cast("long"), "__hit": F.lit(0).cast("long")})
-    for number, block in enumerate(blocks * (1 + (len(blocks) > 1))):
-        if number:
-            rows = materialize(rows, "cut")
-        cut = _cutter(spark.sparkContext.broadcast(_Held(block)), window, min_span)
-        rows = rows.withColumn("__cut", cut("text")).withColumns({"text": F.coalesce("__cut.text", "text"), "__hit": F.col("__hit") + F.col("__cut.n_hit"), "__words": F.coalesce("__words", "__cut.n_words")}).drop("__cut")
-    rows = rows.where(F.col("__hit") <= max_coverage * F.col("__words"))
+    if len(blocks) == 1:
+        cut = _cutter(spark.sparkContext.broadcast(_Held(blocks[0])), window, min_span)
+        rows = docs.withColumn("__cut", cut("text")).withColumns({"text": F.coalesce("__cut.text", "text"), "__hit": F.col("__cut.n_hit"), "__words": F.col("__cut.n_words")})
+        rows = rows.where(F.col("__hit") <= max_coverage * F.col("__words"))
+    else:
+        rows = _clean_in_rounds(spark, docs, blocks, min_span, max_coverage, window)
     if "n_chars" in docs.columns:
         chars = F.when(F.col("__hit") > 0, F.length("text")).otherwise(F.col("n_chars"))
         rows = rows.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
+
+
+def _clean_in_rounds(spark: SparkSession, docs: DataFrame, blocks: list[list[tuple[int | None, str]]], min_span: int, max_coverage: float, window: int) -> DataFrame:
+    """docs as clean() cuts them, with __hit, the words that the first round hits; only rows that a round cuts enter the next."""
+    settled: list[DataFrame] = []
+    rows = docs
+    while not settled or not rows.isEmpty():
+        rows = _match(spark, rows, blocks, "text", window)
+        if not settled:
+            rows = rows.withColumn("__hit", _hit(F.col("__match.spans"))).where(F.col("__hit") <= max_coverage * F.col("__match.n_words"))
+        rows = rows.withColumn("__spans", F.filter("__match.spans", lambda x: x["after"] - x["first"] >= min_span))
+        rows = rows.withColumns({"__again": F.size("__spans") > 0, "text": _cut("text", "__spans.first", "__spans.after")})
+        rows = materialize(rows.drop("__match", "__spans"), "cut")
+        settled.append(rows.where(~F.col("__again")).drop("__again"))
+        rows = rows.where("__again").drop("__again")
+    return functools.reduce(DataFrame.unionByName, settled)

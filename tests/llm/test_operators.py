@@ -308,6 +308,20 @@ def test_decontamination_blocks_and_cuts(spark, odd, none):
     assert decontaminate.scan(spark, odd, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_blocks_overlap(spark):
+    """Items that overlap in a document and lie in different blocks give what one block gives."""
+    run = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    pad = lambda n: " ".join(f"p{i}" for i in range(n))
+    bench = spark.createDataFrame([(0, run(1, 13)), (1, run(8, 21)), (2, run(16, 29))], "item_id long, text string").coalesce(1)
+    texts = [run(1, 21) + " " + pad(30), run(1, 21) + " " + pad(15), pad(9) + f" {run(8, 13)} {run(1, 13)} {run(13, 21)} " + pad(30), pad(3), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert sum(len(b) > 0 for b in decontaminate._blocks(bench, 20)) > 1
+    for min_span in (1, 13):
+        one, several = ({r.doc_id: r.text for r in decontaminate.clean(spark, docs, bench, min_span=min_span, block_words=n).collect()} for n in (1_000, 20))
+        assert several == one
+        assert set(one) == {0, 2, 3, 4} and (min_span > 1 or "w" not in one[0])
+
+
 def brute_article(html):
     from html import unescape
 
