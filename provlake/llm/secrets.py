@@ -3,7 +3,8 @@
 Candidates are runs of 16 or more key characters with a digit among them, values of 8 or more characters assigned to a
 name such as token or password, and private key blocks. Each distinct candidate of a text is one finding. The forest
 sees its length and make-up, its character transitions (mean log-odds of neighbouring character classes, learned from
-the labelled findings), how much of it dictionary words cover, what the path says, and the words beside its first place.
+the labelled findings), how much of it dictionary words cover, what the path says, and the words beside it. Each place of a candidate is
+scored with its own words beside, and the candidate is a secret if any place is.
 
 The forest is trained on labelled findings: value, the text left and right of it, path and label. Where none are given,
 synthetic_findings() makes MADE rows by rule, real keys and the usual false alarms alike.
@@ -59,16 +60,27 @@ def candidates(text: str) -> Column:
 
 
 def beside(docs: DataFrame, path: str = "source") -> DataFrame:
-    """One row for each document and candidate: doc_id, hash (of the text), value, places, left, right and path."""
+    """One row for each place of a candidate in a document: doc_id, hash (of the text), value, path, places, place, left and right.
+
+    The text is split at the value. A value has 8 characters at least, so BESIDE / 8 + 1 parts on a side hold all that is seen there.
+    """
     rows = docs.select("doc_id", F.coalesce(F.col(path), F.lit("")).alias("path"), "text", F.xxhash64("text").alias("hash"))
     rows = rows.select("*", F.explode(candidates("text")).alias("value"))
-    at, n = F.expr("locate(value, text)"), F.length("value")
-    start = F.greatest(F.lit(1), at - BESIDE)
+    literal = F.regexp_replace("value", "([^A-Za-z0-9])", r"\\$1")
+    rows = rows.select("doc_id", "hash", "value", "path", F.split("text", literal, -1).alias("parts"))
+    near = BESIDE // 8 + 1
+    rows = rows.select(
+        "doc_id", "hash", "value", "path", (F.size("parts") - 1).alias("places"),
+        F.transform("parts", lambda p: F.right(p, F.lit(BESIDE))).alias("ends"),
+        F.transform("parts", lambda p: F.left(p, F.lit(BESIDE))).alias("starts"),
+    )
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), "places")).alias("place"))
+    lefts = F.slice("ends", F.greatest(F.lit(1), F.col("place") - near + 1), F.least(F.lit(near), "place"))
+    rights = F.slice("starts", F.col("place") + 1, F.lit(near))
     return rows.select(
-        "doc_id", "hash", "value", "path",
-        F.expr("cast((length(text) - length(replace(text, value, ''))) / length(value) as int)").alias("places"),
-        F.col("text").substr(start, at - start).alias("left"),
-        F.col("text").substr(at + n, F.lit(BESIDE)).alias("right"),
+        "doc_id", "hash", "value", "path", "places", "place",
+        F.right(F.call_function("array_join", lefts, F.right("value", F.lit(BESIDE))), F.lit(BESIDE)).alias("left"),
+        F.left(F.call_function("array_join", rights, F.left("value", F.lit(BESIDE))), F.lit(BESIDE)).alias("right"),
     )
 
 
@@ -184,8 +196,12 @@ def train(findings: DataFrame, dictionary: DataFrame) -> Detector:
 
 
 def scan(docs: DataFrame, detector: Detector, path: str = "source") -> DataFrame:
-    """doc_id, hash, value, path, places, left, right, score and is_secret of every finding."""
-    return detector.score(beside(docs, path))
+    """doc_id, hash, value, path, places, left, right, score and is_secret of every finding, as its likeliest place has them."""
+    keys = ["doc_id", "hash", "value", "path", "places"]
+    best = F.max(F.struct("is_secret", "score", (-F.col("place")).alias("nth"), "left", "right")).alias("best")
+    rows = detector.score(beside(docs, path)).groupBy(*keys).agg(best, F.count_if(F.col("place") == 1).cast("int").alias("copies"))
+    rows = rows.select("*", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy"))  # equal documents have a row each
+    return rows.select(*keys, *(F.col(f"best.{c}").alias(c) for c in ("left", "right", "score", "is_secret")))
 
 
 def mask(docs: DataFrame, detector: Detector, path: str = "source", by: str = MASK) -> DataFrame:

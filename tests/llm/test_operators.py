@@ -218,6 +218,20 @@ def test_secrets(spark, none):
     assert secrets.scan(none, detector).count() == 0 == secrets.mask(none, detector).count()
 
 
+def test_secrets_every_place(spark):
+    key = "0123456789abcdef0123456789abcdef01234567"
+    texts = {1: f'see commit {key} of the page, then the token = "{key}" and', 2: f"see commit {key} of the page, and commit {key} again", 3: f'the token = "{key}" and commit {key} again', 4: f"{'x' * 9}{key} of the page, then the token = \"{key}\" and"}
+    docs = spark.createDataFrame([*texts.items(), (1, texts[1])], "doc_id long, text string").withColumn("source", F.lit("src1")).coalesce(1)
+    rows = [r for r in secrets.scan(docs, queries.secret_detector(spark)).collect() if r.value == key]
+    assert sorted((r.doc_id, r.places, r.is_secret) for r in rows) == [(1, 2, True), (1, 2, True), (2, 2, False), (3, 2, True), (4, 2, True)]
+    odd = spark.createDataFrame([(1, "a\\E.b$1-x(0) password=a\\E.b$1-x(0)é😀 a\\E.b$1-x(0)é😀!"), (2, "0123456789abcdef" * 9 + " " + "0123456789abcdef" * 9), (3, "password=12345678 " + "12345678 " * 12)], "doc_id long, text string").withColumn("source", F.lit(""))
+    for r in secrets.beside(odd.coalesce(1), "source").join(odd, "doc_id").collect():
+        at = [m.start() for m in re.finditer(re.escape(r.value), r.text)]
+        assert r.places == len(at)
+        a = at[r.place - 1]
+        assert (r.left, r.right) == (r.text[max(0, a - 48) : a], r.text[a + len(r.value) :][:48])
+
+
 def test_secrets_in_documents(spark, data, documents):
     want = {(i, hashlib.sha256(v.encode()).hexdigest()) for i, t in documents.items() for v in re.findall(r'(?i)token\s*=\s*"([0-9a-f]{40})"', t or "")}
     got = {(r.doc_id, r.value_sha256) for r in queries.queries()["op6_secret_scan"](spark, data).collect() if r.is_secret}
