@@ -1,7 +1,7 @@
 """Secret scans: pattern candidates, and a random forest that takes the false findings out. DataFrame functions only.
 
-Candidates are runs of 16 or more key characters with a digit among them, values of 8 or more characters assigned to a
-name such as token or password, and private key blocks. Each distinct candidate of a text is one finding. The forest
+Candidates are runs of 16 or more key characters with a digit among them, with upper case after lower case or with a
+key's prefix, values of 8 or more characters assigned to a name such as token or password, and private key blocks. Each distinct candidate of a text is one finding. The forest
 sees its length and make-up, its character transitions (mean log-odds of neighbouring character classes, learned from
 the labelled findings), how much of it dictionary words cover, what the path says, and the words beside it. Each place of a candidate is
 scored with its own words beside, and the candidate is a secret if any place is.
@@ -37,9 +37,15 @@ MASK = "[SECRET]"
 #: Characters of text that are seen on the left and on the right.
 BESIDE = 48
 
-KEY_RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,}"
+#: What the usual keys begin with.
+_PREFIXES = "AKIA|ASIA|AIza|gh[opsur]_|github_pat_|glpat-|npm_|hf_|[sr]k[_-]|xox[a-z]-|eyJ"
+#: A run with a digit, one with a lower-case letter somewhere before an upper-case one, or one with a key's prefix at its start or behind a sign.
+KEY_RUN = (
+    r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9]|[A-Z+/_=-]*+[a-z+/_=-]++[A-Z]"
+    rf"|(?:[A-Za-z+/_=-]*[+/_=-])?(?:{_PREFIXES}))[A-Za-z0-9+/_=-]{{16,}}"
+)
 _NAMES = "token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key|client[_-]?key|key"
-ASSIGNED = rf"(?i)(?:{_NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"',;<>]{{8,}})"
+ASSIGNED = rf"(?i)(?:{_NAMES})[\"']?\s*+[:=]\s*+[\"']?([^\s\"',;<>]{{8,}})"
 BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|\z)"
 
 FEATURES = (
@@ -62,7 +68,7 @@ def candidates(text: str) -> Column:
 def beside(docs: DataFrame, path: str = "source") -> DataFrame:
     """One row for each place of a candidate in a document: doc_id, hash (of the text), value, path, places, place, left and right.
 
-    The text is split at the value. A value has 8 characters at least, so BESIDE / 8 + 1 parts on a side hold all that is seen there.
+    On the left, three white spaces stand for more, so that a name is seen whatever its distance. The text is split at the value. A value has 8 characters at least, so BESIDE / 8 + 1 parts on a side hold all that is seen there.
     """
     rows = docs.select("doc_id", F.coalesce(F.col(path), F.lit("")).alias("path"), "text", F.xxhash64("text").alias("hash"))
     rows = rows.select("*", F.explode(candidates("text")).alias("value"))
@@ -71,7 +77,7 @@ def beside(docs: DataFrame, path: str = "source") -> DataFrame:
     near = BESIDE // 8 + 1
     rows = rows.select(
         "doc_id", "hash", "value", "path", (F.size("parts") - 1).alias("places"),
-        F.transform("parts", lambda p: F.right(p, F.lit(BESIDE))).alias("ends"),
+        F.transform("parts", lambda p: F.right(F.regexp_replace(p, r"(\s{3})\s++", "$1"), F.lit(BESIDE))).alias("ends"),
         F.transform("parts", lambda p: F.left(p, F.lit(BESIDE))).alias("starts"),
     )
     rows = rows.select("*", F.explode(F.sequence(F.lit(1), "places")).alias("place"))
@@ -125,7 +131,7 @@ def describe(rows: DataFrame, odds: dict[str, float], dictionary: DataFrame) ->
         flag(v.rlike(r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("uuid_shape"), flag(v.rlike(r"(.)\1{5}")).alias("same_run"),
         (F.aggregate("pairs", F.lit(0.0), lambda s, p: s + F.coalesce(F.element_at(known, p), F.lit(0.0))) / F.size("pairs")).alias("transitions"),
         flag(F.lower("path").rlike("test|example|sample|doc|fixture|mock|readme")).alias("path_doc"),
-        flag(left.rlike(rf"(?:{_NAMES})\W{{0,6}}(?:\w{{0,12}}\W{{1,4}})?$")).alias("named"),
+        flag(left.rlike(rf"(?:{_NAMES})(?:\W{{0,6}}(?:\w{{0,12}}\W{{1,4}})?|[\"']?\s*[:=]\s*[\"']?)$")).alias("named"),
         flag(left.rlike(r"(?:commit|sha\d*|md5|checksum|digest|etag|revision|rev|hash|uuid|guid|version|integrity)\W{0,4}(?:\w{0,8}\W{1,4})?$")).alias("hashed"),
         flag(left.rlike(r"[:=]\s*[\"']?$")).alias("assigned"), flag(left.rlike("[\"']$") & right.rlike("^[\"']")).alias("quoted"),
         flag(F.lower(v).rlike("example|sample|dummy|your|changeme|placeholder|xxxx|here|12345678")).alias("placeholder"),
@@ -162,6 +168,11 @@ def synthetic_findings(spark: SparkSession, rows: int = MADE) -> DataFrame:
         (f"element_at(array('your_api_key_here_1234', 'xxxxxxxxxxxxxxxxxxx1', 'example-token-0000000', 'changeme12345678', 'dummy_secret_value_1'), cast(pmod(id, 5) as int) + 1)", f"concat({text}, {name}, ' = \"')", "'\"'", 0),
         (f"concat({word(5)}, {word(6)}, {word(7)}, {word(8)}, pmod(id, 100))", f"concat({text})", f"concat(' ', {word(4)})", 0),
         (f"concat({word(5)}, {word(6)}, {word(7)})", f"concat({text}, 'the key: ')", f"concat(' ', {word(4)})", 0),
+        ("concat('AKIA', translate(upper(substring(md5(cast(id as string)), 1, 16)), '0123456789', 'GHJKLMNPQR'))", text, f"concat(' ', {word(4)})", 1),
+        (f"translate(substring({base64}, 1, 20 + cast(pmod(id, 13) as int)), '0123456789+/=', 'gHjKmNpQrTxYz')", text, f"concat(' ', {word(4)})", 1),
+        (f"concat({word(5)}, initcap({word(6)}), initcap({word(7)}), initcap({word(8)}), initcap({word(9)}))", text, f"concat(' ', {word(4)})", 0),
+        (f"concat(initcap({word(5)}), '-', initcap({word(6)}), '-', initcap({word(7)}), '_', initcap({word(8)}))", text, f"concat(' ', {word(4)})", 0),
+        (f"concat('/', {word(5)}, '/', {word(6)}, initcap({word(7)}), '/', initcap({word(8)}), '/', {word(9)})", text, f"concat(' ', {word(4)})", 0),
     ]
     pick = lambda i: "CASE " + " ".join(f"WHEN kind = {k} THEN {x[i]}" for k, x in enumerate(kinds)) + " END"
     made = spark.range(0, rows, 1, 4).withColumn("kind", F.expr(f"cast(id % {len(kinds)} as int)"))
