@@ -7,7 +7,8 @@ the labelled findings), how much of it dictionary words cover, what the path say
 scored with its own words beside, and the candidate is a secret if any place is.
 
 The forest is trained on labelled findings: value, the text left and right of it, path and label. Where none are given,
-synthetic_findings() makes MADE rows by rule, real keys and the usual false alarms alike.
+synthetic_findings() makes MADE rows by rule, real keys and the usual false alarms alike. Their
+paths are of one kind, so a forest trained on them doesn't use the path.
 
 Only texts with a candidate meet the findings in a join; all others pass by unshuffled.
 
