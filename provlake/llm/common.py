@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import functools
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,8 +23,11 @@ def _own_folder() -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only in local mode, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return shared or _own_folder()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -41,12 +45,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Delete scratch tables that no later step reads."""
+def discard(df: DataFrame) -> None:
+    """Delete the scratch table that df is, once no later step reads it."""
+    spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        if os.path.basename(folder).startswith("provlake-"):
+            where = jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,40 +24,45 @@ counts AS (
   FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id))"""
 
 _QUARTILES = """
-SELECT {by} measure,
-  min(CASE WHEN 4 * upto >= docs THEN bucket END) AS b1, min(CASE WHEN 4 * upto >= 3 * docs THEN bucket END) AS b3, max(docs) AS docs
-FROM (SELECT *, sum(n) OVER (PARTITION BY {by} measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by} measure) AS docs
-  FROM (SELECT {by} measure, bucket, count(*) AS n FROM buckets GROUP BY {by} measure, bucket))
-GROUP BY {by} measure"""
+SELECT {by} measure, docs,
+  CASE WHEN b1 < 32 THEN b1 ELSE (b1 - (b1 // 16 - 1) * 16) << (b1 // 16 - 1)::INT END AS q1,
+  CASE WHEN b2 < 32 THEN b2 ELSE (b2 - (b2 // 16 - 1) * 16) << (b2 // 16 - 1)::INT END AS q2,
+  CASE WHEN b3 < 32 THEN b3 ELSE (b3 - (b3 // 16 - 1) * 16) << (b3 // 16 - 1)::INT END AS q3
+FROM (SELECT {by} measure, max(docs) AS docs, min(CASE WHEN 4 * upto >= docs THEN bucket END) AS b1,
+    min(CASE WHEN 4 * upto >= 2 * docs THEN bucket END) AS b2, min(CASE WHEN 4 * upto >= 3 * docs THEN bucket END) AS b3
+  FROM (SELECT *, sum(n) OVER (PARTITION BY {by} measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by} measure) AS docs
+    FROM (SELECT {by} measure, bucket, count(*) AS n FROM buckets GROUP BY {by} measure, bucket))
+  GROUP BY {by} measure)"""
+
+_DRAWN = "(o.docs * o.q{0} + 200 * p.q{0}) // (o.docs + 200) AS q{0}"
 
 _OP1 = f"""
 WITH {_COUNTS},
 values_ AS (
   SELECT doc_id, lang, source, n_words, unnest([
-    {{'measure': 'symbols', 'v': 1000 * n_symbols // greatest(n_words, 1), 'least': 20}},
-    {{'measure': 'lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1), 'least': 120}},
-    {{'measure': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1), 'least': 150}},
-    {{'measure': 'chars', 'v': 1000 * word_chars // greatest(n_words, 1), 'least': 500}}]) AS m FROM counts),
-measured AS (SELECT doc_id, lang, source, n_words, m.measure AS measure, m.v::BIGINT AS v, m.least AS least FROM values_),
+    {{'measure': 'symbols', 'v': 1000 * n_symbols // greatest(n_words, 1)}},
+    {{'measure': 'lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1)}},
+    {{'measure': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1)}},
+    {{'measure': 'chars', 'v': 1000 * word_chars // greatest(n_words, 1)}},
+    {{'measure': 'n_words', 'v': n_words}}, {{'measure': 'n_lines', 'v': n_lines}}]) AS m FROM counts),
+measured AS (SELECT doc_id, lang, source, n_words, m.measure AS measure, m.v::BIGINT AS v FROM values_),
 buckets AS (
   SELECT *, CASE WHEN v < 32 THEN v ELSE (length(bin(v)) - 5) * 16 + (v >> (length(bin(v)) - 5)) END AS bucket
   FROM measured WHERE n_words > 0),
-own AS ({_QUARTILES.format(by="lang, source,")}),
-bylang AS ({_QUARTILES.format(by="lang,")}),
 whole AS ({_QUARTILES.format(by="")}),
-picked AS (
-  SELECT own.lang, own.source, own.measure,
-    CASE WHEN own.docs >= 200 THEN own.b1 WHEN bylang.docs >= 200 THEN bylang.b1 ELSE whole.b1 END AS b1,
-    CASE WHEN own.docs >= 200 THEN own.b3 WHEN bylang.docs >= 200 THEN bylang.b3 ELSE whole.b3 END AS b3
-  FROM own JOIN bylang ON own.lang = bylang.lang AND own.measure = bylang.measure JOIN whole ON own.measure = whole.measure),
-floors AS (
-  SELECT lang, source, measure,
-    CASE WHEN b1 < 32 THEN b1 ELSE (b1 - (b1 // 16 - 1) * 16) << (b1 // 16 - 1)::INT END AS q1,
-    CASE WHEN b3 < 32 THEN b3 ELSE (b3 - (b3 // 16 - 1) * 16) << (b3 // 16 - 1)::INT END AS q3
-  FROM picked),
+bylang AS (
+  SELECT o.lang, o.measure, {", ".join(map(_DRAWN.format, (1, 2, 3)))} FROM ({_QUARTILES.format(by="lang,")}) o JOIN whole p USING (measure)),
+own AS (
+  SELECT o.lang, o.source, o.measure, {", ".join(map(_DRAWN.format, (1, 2, 3)))}
+  FROM ({_QUARTILES.format(by="lang, source,")}) o JOIN bylang p USING (lang, measure)),
+limits AS (
+  SELECT q.lang, q.source, q.measure, q.q1, q.q3,
+    5 * greatest(q.q3 - q.q1, 1000 * (CASE q.measure WHEN 'repeats' THEN 6 ELSE 1 END) // greatest(l.q2, 1)) AS width
+  FROM own q JOIN own l ON q.lang = l.lang AND q.source = l.source AND l.measure = CASE q.measure WHEN 'lines' THEN 'n_lines' ELSE 'n_words' END
+  WHERE q.measure NOT IN ('n_words', 'n_lines')),
 beyond AS (
-  SELECT m.doc_id, bool_or(m.v > q3 + 3 * greatest(q3 - q1, m.least) OR (m.measure = 'chars' AND m.v < q1 - 3 * greatest(q3 - q1, m.least))) AS failed
-  FROM measured m JOIN floors f ON m.lang = f.lang AND m.source = f.source AND m.measure = f.measure
+  SELECT m.doc_id, bool_or(m.v > q3 + width OR (m.measure = 'chars' AND m.v < q1 - width)) AS failed
+  FROM measured m JOIN limits f ON m.lang = f.lang AND m.source = f.source AND m.measure = f.measure
   GROUP BY m.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,

@@ -71,6 +71,21 @@ def test_rules_on_odd_rows(odd, none):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in quality_rules.judge(odd).where("kept").collect())
 
 
+def test_rules_follow_their_groups(spark, data):
+    """Limits differ between groups, as their quartiles and lengths do; a small group leans on its language."""
+    docs = common.table(spark, data.replace("0.001", "0.01"), "documents")
+    limits = quality_rules.thresholds(quality_rules.sketch(quality_rules.count_documents(docs))).collect()
+    assert all(len({r[f"high_{k}"] for r in limits}) > 3 for k in quality_rules.MEASURES)
+    rows = [(i, "a b. " * 3 + " ".join(f"w{j * (i + 1)}" for j in range(60)) + " #" * (20 if big and i % 4 else 0), "x", "loud" if big else "calm") for big in (0, 1) for i in range(300)]
+    rows += [(700, " ".join(f"w{j}" for j in range(60)) + " #" * 18, "x", s) for s in ("loud", "calm", "small")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limits = {r.source: r.high_symbols_per_1000_words for r in quality_rules.thresholds(quality_rules.sketch(quality_rules.count_documents(docs))).collect()}
+    assert limits["calm"] < limits["loud"] != limits["small"]
+    keys = docs.select("doc_id", "source").collect()
+    kept = {(r.doc_id, r.source) for r in quality_rules.keep_good(docs.withColumn("n_words", F.lit(1))).collect()}
+    assert len(keys) == len(set(map(tuple, keys))) and (700, "loud") in kept and (700, "calm") not in kept
+
+
 def test_sketch_buckets(spark):
     rows = spark.range(0, 5000).withColumn("b", quality_rules.bucket(F.col("id"))).withColumn("low", quality_rules.bucket_floor(F.col("b"))).collect()
     assert all(0 <= r.id - r.low <= r.id / 16 for r in rows)
