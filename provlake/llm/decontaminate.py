@@ -6,9 +6,9 @@ an item. Where that run reaches a window (WINDOW words, or a whole shorter item)
 items are read from the automaton's state. Words are looked up first, and only stretches in which each pair of
 neighbouring words also stands side by side in some item are streamed: elsewhere no run gets beyond one word.
 
-The items are gathered in blocks of bounded size (BLOCK_WORDS), each of which becomes one broadcast automaton; a larger
-set of items takes more passes over the texts, not more memory: between passes the rows go to a scratch table, so no task
-holds two automata.
+The items are gathered in blocks of about BLOCK_WORDS words, one at a time, each of which becomes one broadcast automaton;
+a larger set of items takes more passes over the texts, not more memory: between passes the rows go to a scratch table, so
+no task holds two automata. One item isn't divided: a block is as large as the largest item at least.
 
 clean() takes out hit spans of at least MIN_SPAN words, and drops documents of which more than MAX_COVERAGE is hit.
 
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import discard, materialize
 
 WINDOW = 10
 #: Words of items in one automaton, about 1 KB of Python objects each.
@@ -173,18 +173,30 @@ class SuffixAutomaton:
             state = self.link[state]
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple[int | None, str]]]:
-    """The items in blocks of about block_words words, each gathered by itself; their number comes from a count of all words."""
-    items = benchmark.select("item_id", "text").where("text is not null").distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / 2 / block_words))
-    if n == 1:
-        return [[tuple(r) for r in items.collect()]]
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[tuple(r) for r in items.where(part == k).collect()] for k in range(n)]
+class _Blocks:
+    """The items in blocks of about block_words words; their number comes from a count of all words.
+
+    A block is gathered when a pass needs it and forgotten after it, so the driver holds one block at a time. Blocks are
+    told apart by a hash of the item, so each pass gets the same ones.
+    """
+
+    def __init__(self, benchmark: DataFrame, block_words: int):
+        self.items = benchmark.select("item_id", "text").where("text is not null").distinct()
+        total = self.items.agg(F.sum(F.length("text"))).first()[0] or 0
+        self.number = max(1, math.ceil(total / 2 / block_words))
+
+    def __len__(self) -> int:
+        return self.number
+
+    def __iter__(self) -> Iterator[list[tuple[int | None, str]]]:
+        if self.number > 1:
+            self.items = materialize(self.items, "items")
+        for k in range(self.number):
+            part = F.pmod(F.xxhash64("item_id", "text"), F.lit(self.number)) == k
+            yield [tuple(r) for r in self.items.where(part).collect()]
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _automaton(held: _Held, window: int) -> tuple[SuffixAutomaton, list[int | None]]:
     items = [(i, w) for i, t in held.items if (w := words_of(t))]
     return SuffixAutomaton(items, window), [i for i, _ in items]
@@ -235,14 +247,21 @@ def _cut(texts: pd.Series, firsts: pd.Series, afters: pd.Series) -> pd.Series:
 
 def match(spark: SparkSession, rows: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """rows with a struct column __match: n_words, the hit spans in words, and the sorted item_ids with occurring windows."""
-    return _match(spark, rows, _blocks(benchmark, block_words), text, window)
+    return _match(spark, rows, _Blocks(benchmark, block_words), text, window)
 
 
-def _match(spark: SparkSession, rows: DataFrame, blocks: list[list[tuple[int | None, str]]], text: str, window: int) -> DataFrame:
+def _match(spark: SparkSession, rows: DataFrame, blocks: _Blocks, text: str, window: int) -> DataFrame:
+    """With several blocks, each pass is written before the next block is gathered, and its broadcast and table go then."""
+    shared, table = None, None
     for number, block in enumerate(blocks):
         if number:
-            rows = materialize(rows, "matched")
-        found = _finder(spark.sparkContext.broadcast(_Held(block)), window)(text)
+            rows, last = materialize(rows, "matched"), table
+            shared.destroy()
+            if last is not None:
+                discard(last)
+            table = rows
+        shared = spark.sparkContext.broadcast(_Held(block))
+        found = _finder(shared, window)(text)
         if not number:
             rows = rows.withColumn("__match", found)
         else:
@@ -309,9 +328,9 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_span:
     their union decides coverage and is cut at once, and rows that were cut are gone through again until nothing is hit, so
     the result doesn't depend on the blocks. n_chars follows the new text.
     """
-    blocks = _blocks(benchmark, block_words)
+    blocks = _Blocks(benchmark, block_words)
     if len(blocks) == 1:
-        cut = _cutter(spark.sparkContext.broadcast(_Held(blocks[0])), window, min_span)
+        cut = _cutter(spark.sparkContext.broadcast(_Held(next(iter(blocks)))), window, min_span)
         rows = docs.withColumn("__cut", cut("text")).withColumns({"text": F.coalesce("__cut.text", "text"), "__hit": F.col("__cut.n_hit"), "__words": F.col("__cut.n_words")})
         rows = rows.where(F.col("__hit") <= max_coverage * F.col("__words"))
     else:
@@ -322,7 +341,7 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_span:
     return rows.select(*docs.columns)
 
 
-def _clean_in_rounds(spark: SparkSession, docs: DataFrame, blocks: list[list[tuple[int | None, str]]], min_span: int, max_coverage: float, window: int) -> DataFrame:
+def _clean_in_rounds(spark: SparkSession, docs: DataFrame, blocks: _Blocks, min_span: int, max_coverage: float, window: int) -> DataFrame:
     """docs as clean() cuts them, with __hit, the words that the first round hits; only rows that a round cuts enter the next."""
     settled: list[DataFrame] = []
     rows = docs
