@@ -11,8 +11,11 @@ side makes the opposite flip. Whole distances are verified on what the table ret
 Families of near copies share segments, so their table entries could grow long and give pairs by the square. A first pass
 ties each fingerprint to the smallest one that shares a segment, or a segment and half of the other (verified, one row
 each), and contracts the components that arise. In the second pass an entry whose members all belong to the prober's
-component is dropped before any pair is made: it can't join anything new. What remains are pairs between different
-components, so no link between them is lost and no group is expanded.
+component is dropped before any pair is made: it can't join anything new. An entry of more than CROWD members that is
+still open isn't expanded but indexed again by what its members don't have in common: of 3 differing bits at most one
+lies in one half of that rest, so balls of radius 1 about its two halves meet every linked pair. That is done down to
+pieces of 8 bits, where 256 values are all there can be. So a prober meets at most so many members of an entry, however
+many share a segment, and no link between components is lost.
 
 Components come from alternating large and small stars: min-aggregations and joins, never a collected edge list.
 
@@ -30,11 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import discard, materialize
 
 WORDS = 3
 DISTANCE = 3
 SEED = 42
+#: Members of a table entry beyond which it is indexed again.
+CROWD = 64
 
 #: The bits of each byte value, least first.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -91,16 +96,50 @@ def pivot_links(fps: DataFrame) -> DataFrame:
     return near.select(F.col("fp").alias("u"), F.col("pivot").alias("v")).distinct()
 
 
+def _ball(value: str, bits: int) -> str:
+    """SQL of the values at most one bit away."""
+    return f"concat(array({value}), transform(sequence(0, {bits - 1}), b -> {value} ^ shiftleft(1L, b)))"
+
+
+def _halves(rest: str, bits: int) -> str:
+    """SQL of an array of structs: which half of the lowest `bits` bits of rest, its value, and the other half."""
+    low = f"({rest} & {(1 << bits // 2) - 1}L)"
+    high = f"(shiftrightunsigned({rest}, {bits // 2}) & {(1 << bits // 2) - 1}L)"
+    return f"array(named_struct('half', 0, 'value', {high}, 'rest', {low}), named_struct('half', 1, 'value', {low}, 'rest', {high}))"
+
+
+def _compare(table: DataFrame, probes: DataFrame, bits: int) -> DataFrame:
+    """(fp, comp, fp2, comp2) to verify: probers (key, rest, fp, comp) beside members of the same key; rest: the `bits` bits that the key leaves open."""
+    sizes = table.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("members"))
+    open_probes = probes.join(sizes, "key").where((F.col("least") != F.col("comp")) | (F.col("most") != F.col("comp"))).drop("least", "most")
+    pairs = lambda p: p.select("key", "fp", "comp").join(table.select("key", F.col("fp").alias("fp2"), F.col("comp").alias("comp2")), "key").where("comp != comp2").drop("key")
+    crowded = sizes.where(F.col("members") > CROWD).select("key")
+    if bits <= 8 or crowded.isEmpty():
+        return pairs(open_probes)
+    open_probes = materialize(open_probes, "probes")
+    half = bits // 2
+    deeper = lambda df, values: df.select("fp", "comp", "key", F.explode(F.expr(_halves("rest", bits))).alias("h")).select(
+        "fp", "comp", F.col("h.rest").alias("rest"), F.explode(F.expr(values)).alias("value"), F.col("key").alias("above"), F.col("h.half").alias("half")
+    ).select("fp", "comp", "rest", F.struct("above", "half", "value").alias("key"))
+    members = materialize(deeper(table.join(crowded, "key", "left_semi"), "array(h.value)"), "members")
+    probers = deeper(open_probes.where(F.col("members") > CROWD), _ball("h.value", half))
+    return pairs(open_probes.where(F.col("members") <= CROWD)).unionByName(_compare(members, probers, half))
+
+
+def compared(fps: DataFrame) -> DataFrame:
+    """(fp, comp, fp2, comp2): the pairs of fingerprints whose whole distance is verified; every linked pair of two components is among them."""
+    other = F.reverse(F.array(*_segments("fp")))
+    index = F.array(*(F.struct(F.lit(k).alias("seg"), s.alias("value"), F.get(other, F.lit(k)).alias("rest")) for k, s in enumerate(_segments("fp"))))
+    table = fps.select("fp", "comp", F.explode(index).alias("at"))
+    flips = F.expr("concat(array(at.value), transform(filter(sequence(0, 31), b -> (at.value & shiftleft(1L, b)) = 0), b -> at.value | shiftleft(1L, b)))")
+    key = lambda value: F.struct(F.col("at.seg").alias("seg"), F.col(value).alias("value")).alias("key")
+    probes = table.select("fp", "comp", "at", F.explode(flips).alias("value")).select("fp", "comp", F.col("at.rest").alias("rest"), key("value"))
+    return _compare(table.select("fp", "comp", F.col("at.rest").alias("rest"), key("at.value")), probes, 32)
+
+
 def ball_links(fps: DataFrame) -> DataFrame:
     """(u, v): components of all linked pairs whose fingerprints (fp) belong to different components (comp)."""
-    index = F.array(*(F.struct(F.lit(k).alias("seg"), s.alias("value")) for k, s in enumerate(_segments("fp"))))
-    table = fps.select("fp", "comp", F.explode(index).alias("key"))
-    flips = F.expr("transform(filter(sequence(0, 31), b -> (key.value & shiftleft(1L, b)) = 0), b -> struct(key.seg as seg, key.value | shiftleft(1L, b) as value))")
-    probes = table.select("fp", "comp", F.explode(F.array_union(F.array("key"), flips)).alias("key"))
-    entries = table.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
-    open_probes = probes.join(entries, "key").where((F.col("least") != F.col("comp")) | (F.col("most") != F.col("comp")))
-    met = open_probes.select("key", "fp", "comp").join(table.select("key", F.col("fp").alias("fp2"), F.col("comp").alias("comp2")), "key")
-    met = met.where((F.col("comp") != F.col("comp2")) & (_apart("fp", "fp2") <= DISTANCE))
+    met = compared(fps).where(_apart("fp", "fp2") <= DISTANCE)
     return met.select(F.greatest("comp", "comp2").alias("u"), F.least("comp", "comp2").alias("v")).distinct()
 
 
@@ -111,10 +150,12 @@ def components(links: DataFrame) -> DataFrame:
         both = links.union(links.select("v", "u"))
         roots = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root"))
         large = both.join(roots, "u").where("v > u").select(F.col("v").alias("u"), F.col("root").alias("v"))
-        large = materialize(large.union(roots.where("u != root").select("u", F.col("root").alias("v"))).distinct(), "links")
+        large, done = materialize(large.union(roots.where("u != root").select("u", F.col("root").alias("v"))).distinct(), "links"), links
         roots = large.groupBy("u").agg(F.min("v").alias("root"))
         small = large.join(roots, "u").where("v != root").select(F.col("v").alias("u"), F.col("root").alias("v"))
         links = materialize(small.union(roots.select("u", F.col("root").alias("v"))).distinct(), "links")
+        discard(done)
+        discard(large)
         state = links.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if state == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
