@@ -6,19 +6,24 @@ more than SEGMENT bytes is split into a first segment and continuation records,
 length. Records go to gzip files through Spark's text sink, whose line end is the blank lines that end a record; so the
 archives can lie in any store that Spark writes. Files hold at most RECORDS_PER_FILE records, each of bounded size.
 
-Reading. Each task parses whole files. Unsegmented records are decoded where they are parsed. The others are grouped by
-the identifier of their origin record, ordered by segment number, joined, checked against the stated total length, and
-only then decoded; a gap, a repeated number or a wrong length is an error.
+Reading. Each task unpacks and parses whole files, of one gzip member or of one a record, or not packed at all, and its
+records go to a scratch table. Responses, revisits, resources and continuations are read; warcinfo, request, metadata and
+conversion records are passed over. Unsegmented records are decoded where they are parsed: an HTTP head is cut off, and
+chunked framing undone where the head names it. The others are grouped by the identifier of their origin record, ordered
+by segment number, joined, checked against the stated total length, and only then decoded; a gap, a repeated number or a
+wrong length is an error, and so is a payload that differs from a stated SHA-1.
 
 Defined results: null html is the empty payload; a null url is left out and reads back as null; null page_id is allowed,
 never is referred to unless all its copies are null; rows that share page_id and payload are all response if that id is
-the smallest; an empty table gives an empty archive; other columns are ignored.
+the smallest; records of other writers have no page_id, and their revisits no payload_bytes; an empty table gives an
+empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path
+from .common import materialize, scratch_path
 
 SEGMENT = 32 * 1024
 CHUNK = 8 * 1024
@@ -128,90 +133,112 @@ RECORD = T.StructType(
         T.StructField("segment", T.IntegerType()),
         T.StructField("total", T.LongType()),
         T.StructField("block", T.BinaryType()),
+        T.StructField("http", T.BooleanType()),
     ]
 )
 
 
+READ = ("response", "revisit", "resource", "continuation")
+
+
+def unpacked(data: bytes) -> bytes:
+    """The content of a file: of all its gzip members, or as it is."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data:
+        member = zlib.decompressobj(wbits=31)
+        out += [member.decompress(data), member.flush()]
+        if not member.eof:
+            raise ValueError("a gzip member is cut short")
+        data = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The header fields and the block of every record of an unpacked archive."""
+    """The header fields, by lower-case name, and the block of every record of an unpacked archive that READ names."""
     at = 0
     while at < len(data):
         end = data.index(_BLANK, at)
-        lines = data[at:end].decode().split("\r\n")
+        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
-        fields = dict(x.split(": ", 1) for x in lines[1:])
-        start, size = end + 4, int(fields["Content-Length"])
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        start, size = end + 4, int(fields["content-length"])
         if data[start + size : start + size + 4] != _BLANK:
             raise ValueError(f"the record at byte {at} isn't {size} bytes long")
-        yield fields, data[start : start + size]
+        if fields["warc-type"] in READ:
+            yield fields, data[start : start + size]
         at = start + size + 4
 
 
-def payload_of(block: bytes, claimed: str | None) -> bytes:
-    """The payload of an HTTP block, checked against the record's digest."""
-    payload = dechunk(block[block.index(_BLANK) + 4 :])
+def payload_of(block: bytes, claimed: str | None, http: bool = True) -> bytes:
+    """The payload of a block, checked against the record's digest."""
+    payload = block
+    if http:
+        head, _, payload = block.partition(_BLANK)
+        if re.search(rb"\r\ntransfer-encoding:[^\r]*chunked", head, re.I):
+            payload = dechunk(payload)
     if claimed and claimed != digest(payload):
         raise ValueError("a payload differs from its digest")
     return payload
 
 
 def _page_of(name: str | None) -> int | None:
-    number = name.strip("<>").split(":")[2] if name else ""
-    return int(number) if number else None
+    found = re.match(r"<?urn:page:(-?\d+)\b", name or "")
+    return int(found[1]) if found else None
+
+
+def _number(fields: dict[str, str], name: str) -> int | None:
+    return int(fields[name]) if name in fields else None
 
 
 def _row(fields: dict[str, str], block: bytes) -> tuple:
-    kind, name = fields["WARC-Type"], fields["WARC-Record-ID"]
-    segment = int(fields["WARC-Segment-Number"]) if "WARC-Segment-Number" in fields else None
-    total = int(fields["WARC-Segment-Total-Length"]) if "WARC-Segment-Total-Length" in fields else None
+    kind, name = fields["warc-type"], fields["warc-record-id"]
+    segment, total = _number(fields, "warc-segment-number"), _number(fields, "warc-segment-total-length")
     if kind == "continuation":
-        return None, None, None, None, None, None, None, fields["WARC-Segment-Origin-ID"], segment, total, block
-    claimed = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    url = unquote(fields["WARC-Target-URI"]) if "WARC-Target-URI" in fields else None
-    head = (_page_of(name), url, kind, _page_of(fields.get("WARC-Refers-To")), claimed)
+        return None, None, None, None, None, None, None, fields["warc-segment-origin-id"], segment, total, block, None
+    label, _, claimed = fields.get("warc-payload-digest", "").partition(":")
+    claimed = claimed if label == "sha1" else None
+    url = unquote(fields["warc-target-uri"].strip("<>")) if "warc-target-uri" in fields else None
+    head = (_page_of(name), url, kind, _page_of(fields.get("warc-refers-to")), claimed)
     if kind == "revisit":
-        return *head, int(fields["X-Payload-Length"]), None, None, None, None, None
+        return *head, _number(fields, "x-payload-length"), None, None, None, None, None, None
+    http = fields.get("content-type", "").lower().startswith("application/http")
     if segment:
-        return *head, None, None, name, segment, total, block
-    payload = payload_of(block, claimed)
-    return *head, len(payload), payload, None, None, None, None
+        return *head, None, None, name, segment, total, block, http
+    payload = payload_of(block, claimed, http)
+    return *head[:4], digest(payload), len(payload), payload, None, None, None, None, None
 
 
-_ARROW = pa.schema([(f.name, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString()]) for f in RECORD])
+_ARROW = pa.schema([(f.name, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in RECORD])
 
 
-def _parser(segmented: bool):
-    """A parser of files that returns the segmented records, or the others."""
-
+def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
-    def parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for content in (c for b in batches for c in b.column(0)):
-            rows: list[tuple] = []
-            for fields, block in parse(zlib.decompress(content.as_py(), wbits=31)):
-                if ("WARC-Segment-Number" in fields) == segmented:
-                    rows.append(_row(fields, block))
-                if len(rows) == 256:
-                    yield batch(rows)
-                    rows = []
-            if rows:
+    for content in (c for b in batches for c in b.column(0)):
+        rows: list[tuple] = []
+        for fields, block in parse(unpacked(content.as_py())):
+            rows.append(_row(fields, block))
+            if len(rows) == 256:
                 yield batch(rows)
-
-    return parse_files
+                rows = []
+        if rows:
+            yield batch(rows)
 
 
 @F.pandas_udf(T.BinaryType())
-def _joined(blocks: pd.Series, totals: pd.Series, claimed: pd.Series) -> pd.Series:
+def _joined(blocks: pd.Series, totals: pd.Series, claimed: pd.Series, https: pd.Series) -> pd.Series:
     out = []
-    for parts, total, sha in zip(blocks, totals, claimed, strict=True):
+    for parts, total, sha, http in zip(blocks, totals, claimed, https, strict=True):
         if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)):
             raise ValueError("a segment is missing or there twice")
         block = b"".join(p["block"] for p in parts)
         if len(block) != total:
             raise ValueError(f"segments of {len(block)} bytes should have {total}")
-        out.append(payload_of(block, sha))
+        out.append(payload_of(block, sha, http))
     return pd.Series(out, dtype=object)
 
 
@@ -219,16 +246,17 @@ def reassemble(segments: DataFrame) -> DataFrame:
     """One row for each origin record: its segments grouped by its identifier, in order, checked, joined and decoded."""
     head = ["page_id", "url", "record_type", "refers_to", "payload_digest"]
     part = F.struct("segment", "block")
-    rows = segments.groupBy("origin").agg(*(F.max(c).alias(c) for c in (*head, "total")), F.array_sort(F.collect_list(part)).alias("parts"))
-    rows = rows.withColumn("payload", _joined("parts", "total", "payload_digest"))
+    rows = segments.groupBy("origin").agg(*(F.max(c).alias(c) for c in (*head, "total", "http")), F.array_sort(F.collect_list(part)).alias("parts"))
+    rows = rows.withColumn("payload", _joined("parts", "total", "payload_digest", "http"))
     return rows.select(*head, F.octet_length("payload").cast("long").alias("payload_bytes"), "payload")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_digest, payload_bytes and payload (null for revisits) of every record."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    whole = files.mapInArrow(_parser(False), RECORD).select(*RECORD.names[:7])
-    return whole.unionByName(reassemble(files.mapInArrow(_parser(True), RECORD)))
+    rows = materialize(files.mapInArrow(_parse_files, RECORD), "records", compression="zstd")
+    whole = rows.where("segment is null").select(*RECORD.names[:7])
+    return whole.unionByName(reassemble(rows.where("segment is not null")))
 
 
 def archive(pages: DataFrame) -> DataFrame:

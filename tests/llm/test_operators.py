@@ -325,6 +325,29 @@ def test_warc(spark, tmp_path):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    """A gzip member for each record, records of other kinds, chunked and plain bodies, and segments."""
+    import gzip
+
+    def record(kind, name, block, **fields):
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{name}>", **{k.replace("_", "-"): v for k, v in fields.items()}, "content-length": len(block)}
+        return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    http, chunked = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n", b"HTTP/1.1 200 OK\r\ntransfer-encoding: Chunked\r\n\r\n3\r\nabc\r\n2;x=1\r\nde\r\n0\r\n\r\n"
+    kind = {"Content_Type": "application/http; msgtype=response"}
+    records = [
+        record("warcinfo", "0", b"software: x\r\n"), record("request", "1", b"GET / HTTP/1.1\r\n\r\n", WARC_Target_URI="http://a/"), record("response", "2", http + b"plain", WARC_Target_URI="<http://a/>", **kind),
+        record("response", "3", chunked, WARC_Target_URI="http://b/", **kind), record("resource", "4", b"as\r\n\r\nit is", Content_Type="text/plain", WARC_Target_URI="http://c/"), record("metadata", "5", b"x: y"),
+        record("revisit", "6", b"", WARC_Target_URI="http://a/", WARC_Payload_Digest="md5:00"), record("response", "7", chunked[:60], WARC_Segment_Number=1, **kind), record("continuation", "8", chunked[60:], WARC_Segment_Number=2, WARC_Segment_Origin_ID="<urn:uuid:7>", WARC_Segment_Total_Length=len(chunked)),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "b.warc").write_bytes(records[2])
+    rows = sorted((r.record_type, r.payload_bytes or -1, bytes(r.payload or b"")) for r in warc.read(spark, str(tmp_path)).collect())
+    assert rows == [("resource", 11, b"as\r\n\r\nit is"), ("response", 5, b"abcde"), ("response", 5, b"abcde"), ("response", 5, b"plain"), ("response", 5, b"plain"), ("revisit", -1, b"")]
+    with pytest.raises(ValueError, match="cut short"):
+        warc.unpacked(gzip.compress(records[2])[:-9])
+
+
 def test_warc_refuses_gaps(spark):
     parts = [b for b in warc.build(1, None, b"y" * 5000, "response", None, "u", segment=700)]
     rows = [warc._row(*next(warc.parse(p + b"\r\n\r\n"))) for p in parts]
