@@ -288,6 +288,42 @@ def test_secrets_long_and_digit_free_runs(spark):
     assert not any(secret for (i, _), (secret, _) in found.items() if i in (6, 7)), found
 
 
+def brute_candidates(t):
+    """The candidates by Python's expressions, in which possessive repeats mean the same."""
+    found = {m[0] for m in re.finditer(secrets.KEY_RUN, t)} | {m[1] for m in re.finditer(secrets.ASSIGNED, t)} | {m[0] for m in re.finditer(secrets.BLOCK.replace(r"\z", r"\Z"), t)}
+    return sorted(found, key=lambda v: (-len(v), v))
+
+
+def test_secrets_candidates(spark, documents):
+    """Candidates and features beside plain Python; a very long text, and columns with the names of features."""
+    pgp = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nxyz\n-----END PGP PRIVATE KEY BLOCK-----"
+    texts = [t for t in documents.values() if t] + [f"a {pgp} b", "the value 0123456789abcdef0123 of " * 20_000, "Token : 'abc def' key=äöü-key-value-1", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"source": F.lit("docs/x"), "length": F.lit("x"), "score": F.lit(1), "label": F.lit(2)}).coalesce(4)
+    got = {r.doc_id: r.c for r in docs.select("doc_id", secrets.candidates("text").alias("c")).collect()}
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(brute_candidates(t)) for i, t in enumerate(texts)}
+    rows = secrets.describe(secrets.beside(docs.where("text != ''")), {"00": 1.0}, {"value": 2.0, "of": -0.5}, spark.createDataFrame([("abc",), ("key",)], "word string")).collect()
+    for r in rows:
+        v, n = r.value, len(r.value)
+        assert r.path_doc == 1 and r.digit_share == pytest.approx(len(re.findall("[0-9]", v)) / n) and r.distinct_chars == pytest.approx(len(set(v)) / n)
+        runs = set(re.findall("[a-z]{3,}", v.lower())) & {"abc", "key"}
+        assert r.dictionary == pytest.approx(min(1, 3 * len(runs) / n))
+        near = re.findall(r"[^\W\d]{2,}", r.left.lower(), re.A)[::-1][:4] + re.findall(r"[^\W\d]{2,}", r.right.lower(), re.A)[:2]
+        assert r.word_odds == pytest.approx(sum({"value": 2.0, "of": -0.5}.get(w, 0) for w in near))
+    masked = secrets.mask(docs, queries.secret_detector(spark)).collect()
+    assert len(masked) == len(texts) and masked[0].asDict().keys() == set(docs.columns) and next(r.text for r in masked if r.doc_id == len(texts) - 4) == "a [SECRET] b"
+
+
+def test_secrets_held_out_kinds(spark):
+    """Kinds of findings that the forest hasn't seen: assigned hex keys, AWS ids and random letters; commits, checksums and glued words."""
+    made, held = secrets.synthetic_findings(spark, 4000), "kind IN (0, 4, 22, 7, 9, 23)"
+    detector = secrets.train(made.where(f"NOT {held}"), queries.dictionary(spark))
+    rows = detector.score(made.where(held)).collect()
+    true, hit = [r for r in rows if r.label], [r for r in rows if r.is_secret]
+    assert sum(r.is_secret for r in true) / len(true) > 0.6 and sum(r.label for r in hit) / len(hit) > 0.8
+    weight = dict(zip(secrets.FEATURES, secrets.train(made, queries.dictionary(spark)).forest.featureImportances.toArray()))
+    assert all(weight[k] > 0.005 for k in ("path_doc", "dictionary", "word_odds")), weight
+
+
 def test_secrets_in_documents(spark, data, documents):
     want = {(i, hashlib.sha256(v.encode()).hexdigest()) for i, t in documents.items() for v in re.findall(r'(?i)token\s*=\s*"([0-9a-f]{40})"', t or "")}
     got = {(r.doc_id, r.value_sha256) for r in queries.queries()["op6_secret_scan"](spark, data).collect() if r.is_secret}
