@@ -7,35 +7,17 @@ cycles end, and a node that is reached by many paths is expanded once.
 
 from __future__ import annotations
 
-import tempfile
-from functools import cache
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
 from ..functions.names import execution_label, short_artifact
-from ..functions.values import as_text, property_pivot
+from ..functions.values import as_text
 from ..schema import INPUT, NOT_LINEAGE, OUTPUT
 from ..store import MetadataStore
 from .catalog import artifact, artifacts_by_ids, execution_ids, executions_by_ids, executions_of_artifacts, lineage_artifacts, pipelines, with_type
 
 
-@cache
-def _checkpoints(context: object) -> None:
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="provlake-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint, in the folder that spark.checkpoint.dir names; an own one only where none is set."""
-    spark: SparkSession = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        _checkpoints(spark.sparkContext)
-    held = df.persist()  # else the checkpoint's job computes df again
-    out = held.checkpoint()
-    held.unpersist()
-    return out
-
-
 def inputs(store: MetadataStore) -> DataFrame:
     return store.event.where(F.col("type") == INPUT).select("artifact_id", "execution_id")
 
@@ -291,8 +273,3 @@ def compare(items: DataFrame, props: DataFrame, key: str, ids: list[int]) -> Dat
     cells = [F.coalesce(F.max(F.when(F.col(key) == i, F.col("value"))), F.lit("—")).alias(f"item_{i}") for i in ids]
     rows = mine.groupBy("name").agg(*cells)
     return rows.withColumn("differs", F.size(F.array_distinct(F.array(*(F.col(f"item_{i}") for i in ids)))) > 1)
-
-
-def named_lineage(store: MetadataStore, names: list[str]) -> DataFrame:
-    """Properties of all executions as columns, for trees' labels."""
-    return property_pivot(store.executionproperty, "execution_id", names)

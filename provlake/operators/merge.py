@@ -2,7 +2,12 @@
 
 A merge takes two stores and returns one, table by table, as joins; nothing is looked up row by row. Ids of the incoming
 side are mapped to those of the entities with equal keys, or to new ones behind the largest id there is, in the order of
-the key, so that a merge gives the same ids every time and a second merge of the same payload changes nothing.
+the key, so that a merge gives the same ids every time and a second merge of the same payload changes nothing. Keys are
+compared as structs, in which null equals null.
+
+What is equal: types by name and kind; contexts by type and name; metrics by type, uri and their name with the execution's
+new id; other artifacts by type and uri, or by type and name where they have no uri; executions that share a uuid, or a
+type and a name that isn't empty; an execution with neither is never equal to another.
 """
 
 from __future__ import annotations
@@ -11,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..schema import TABLES
+from ..checkpoint import cut
+from ..schema import OUTPUT, TABLES
 from ..store import MetadataStore
 from .catalog import exploded_uuids
 
@@ -32,10 +38,10 @@ def numbered(new: DataFrame, existing: DataFrame, keys: list[str], id_column: st
     """New rows with ids behind the largest existing one, in the order of their keys.
 
     Ids are given by range: each range of keys numbers its own rows, behind the rows of the ranges before it, so no task
-    sees more than its range.
+    sees more than its range. The ranges are written once, as both their counts and their rows are read.
     """
     top = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("top"))
-    ranged = new.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    ranged = cut(new.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
     counts = ranged.groupBy("__part").agg(F.count("*").alias("rows"))
     before = counts.select("__part", F.coalesce(F.sum("rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     nth = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
@@ -44,8 +50,9 @@ def numbered(new: DataFrame, existing: DataFrame, keys: list[str], id_column: st
 
 
 def insert_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """WRT01-04, CTL01: existing rows and those new ones whose keys aren't there yet, with ids; of repeated new keys one."""
-    fresh = new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    """WRT01-04, CTL01: existing rows and those new ones whose keys aren't there yet, with ids; of repeated new keys one. Null equals null."""
+    key = F.struct(*keys).alias("__key")
+    fresh = new.dropDuplicates(keys).withColumn("__key", key).join(existing.select(key), "__key", "left_anti").drop("__key")
     return existing.unionByName(numbered(fresh, existing, keys), allowMissingColumns=True)
 
 
@@ -80,49 +87,158 @@ def new_executions(store: MetadataStore, incoming: DataFrame) -> DataFrame:
 
 
 def status(store: MetadataStore, incoming: DataFrame, pipeline: str, pipelines: DataFrame) -> DataFrame:
-    """MRG09: one row: pipeline_not_exist, version_update (an execution without uuid), exists (nothing new) or success."""
+    """MRG09: one row: pipeline_not_exist, version_update (an execution without name and uuid), exists (nothing new) or success."""
     there = pipelines.where(F.col("name") == pipeline).agg(F.count("*").alias("n"))
-    bare = incoming.where(F.coalesce(F.col("uuids"), F.lit("")) == "").agg(F.count("*").alias("bare"))
+    bare = incoming.where((F.coalesce(F.col("uuids"), F.lit("")) == "") & (F.coalesce("name", F.lit("")) == "")).agg(F.count("*").alias("bare"))
     fresh = new_executions(store, incoming).agg(F.count("*").alias("fresh"))
     one = there.join(F.broadcast(bare)).join(F.broadcast(fresh))  # three single rows
     return one.select(F.when(F.col("n") == 0, "pipeline_not_exist").when(F.col("bare") > 0, "version_update").when(F.col("fresh") == 0, "exists").otherwise("success").alias("status"))
 
 
+def execution_uuids(store: MetadataStore) -> DataFrame:
+    """id, name and uuids (the comma list) of a store's executions: what new_executions() and status() compare."""
+    uuids = store.executionproperty.where(F.col("name") == "Execution_uuid").groupBy(F.col("execution_id").alias("id")).agg(F.max("string_value").alias("uuids"))
+    return store.execution.select("id", "name").join(uuids, "id", "left")
+
+
+def restrict(store: MetadataStore, executions: DataFrame, since: int | None = None) -> MetadataStore:
+    """MRG06, MRG10: the store of these executions (id) only: what they touch, their stages and pipelines, and contexts updated after since."""
+    runs = cut(executions.select(F.col("id").alias("execution_id")).distinct())
+    of = lambda t: getattr(store, t).join(runs, "execution_id", "left_semi")
+    touched = cut(of("event").select("artifact_id").distinct())
+    about = lambda t: getattr(store, t).join(touched, "artifact_id", "left_semi")
+    stages = of("association").select("context_id")
+    if since:
+        stages = stages.union(store.context.where(F.col("last_update_time_since_epoch") > since).select("id"))
+    stages = cut(stages.distinct())
+    links = store.parentcontext.join(stages, "context_id", "left_semi")
+    contexts = stages.union(links.select("parent_context_id")).select(F.col("context_id").alias("id")).distinct()
+    tables = {
+        "type": store.type, "context": store.context.join(contexts, "id", "left_semi"), "parentcontext": links,
+        "execution": store.execution.join(runs.withColumnRenamed("execution_id", "id"), "id", "left_semi"), "artifact": store.artifact.join(touched.withColumnRenamed("artifact_id", "id"), "id", "left_semi"),
+        **{t: of(t) for t in ("association", "event", "executionproperty")}, **{t: about(t) for t in ("attribution", "artifactproperty")},
+    }
+    return MetadataStore(store.spark, {t: df.select(*TABLES[t].names) for t, df in tables.items()})
+
+
+def update(old: MetadataStore, new: MetadataStore | None, pipeline: str | None = None, stamp: bool = False) -> tuple[MetadataStore, str]:
+    """MRG08, MRG09: old with the new executions of new, or of one pipeline in it, and the status; old as it was unless that is success.
+
+    new: None, or a store without pipelines, stands for a payload that can't be read: invalid_json_payload.
+    """
+    if new is None or new.pipelines.isEmpty():
+        return old, "invalid_json_payload"
+    incoming = execution_uuids(new)
+    if pipeline is not None:
+        mine = new.pipelines.where(F.col("name") == pipeline).select(F.col("id").alias("parent_context_id"))
+        runs = new.association.join(new.parentcontext.join(mine, "parent_context_id", "left_semi"), "context_id", "left_semi")
+        incoming = incoming.join(runs.select(F.col("execution_id").alias("id")), "id", "left_semi")
+    named = new.pipelines.select("name") if pipeline is not None else new.pipelines.select(F.lit("").alias("name"))
+    one = status(old, incoming, pipeline or "", named).first()[0]
+    if one != "success":
+        return old, one
+    return merge_stores(old, restrict(new, new_executions(old, incoming)), stamp, MERGED_TYPES), one
+
+
 def metrics_name(name: Column, uri: Column, execution_id: Column) -> Column:
     """MRG03: <name>:<uri>:<new execution id>."""
     return F.concat_ws(":", F.substring_index(name, ":", 1), uri, execution_id.cast("string"))
 
 
-def stamped(executions: DataFrame) -> DataFrame:
+_CREATED = "original_create_time_since_epoch"
+
+
+def stamped(entities: DataFrame, key: str = "execution_id") -> DataFrame:
     """MRG07: custom properties that record the original creation time, as text."""
-    return executions.select(F.col("id").alias("execution_id"), F.lit("original_create_time_since_epoch").alias("name"), F.lit(True).alias("is_custom_property"), F.col("create_time_since_epoch").cast("string").alias("string_value"))
+    return entities.select(F.col("id").alias(key), F.lit(_CREATED).alias("name"), F.lit(True).alias("is_custom_property"), F.col("create_time_since_epoch").cast("string").alias("string_value"))
 
 
-def _map_ids(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The merged entities, and (id, new_id) for the new side's."""
-    merged = insert_absent(old, new.drop("id"), keys)
-    ids = new.select("id", *keys).join(merged.groupBy(*keys).agg(F.min("id").alias("new_id")), keys).select("id", "new_id")
-    return merged, ids
+def _map_ids(old: DataFrame, new: DataFrame, keys: list[str], key: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The merged entities, and (id, new_id) for the new side's; key: what they are compared by, where it isn't just the keys."""
+    key = F.struct(*keys) if key is None else key
+    there = old.groupBy(key.alias("__key")).agg(F.min("id").alias("new_id"))
+    rows = cut(new.withColumn("__key", key).join(there, "__key", "left"))
+    rest = [c for c in new.columns if c != "id"]
+    fresh = rows.where("new_id is null").groupBy("__key").agg(F.min_by(F.struct(*rest), F.struct("name", "id")).alias("v"))
+    fresh = cut(numbered(fresh.select("__key", "v.*"), old, keys))
+    ids = rows.where("new_id is not null").select("id", "new_id").unionByName(rows.where("new_id is null").select("id", "__key").join(fresh.select("__key", F.col("id").alias("new_id")), "__key").select("id", "new_id"))
+    return old.unionByName(fresh.drop("__key"), allowMissingColumns=True), cut(ids)
 
 
-def merge_stores(old: MetadataStore, new: MetadataStore) -> MetadataStore:
-    """MRG01-05: one store of two. Types merge by name and kind, contexts by type and name, artifacts by uri and name, executions by their uuids.
+def _shared_keys(store: MetadataStore, executions: DataFrame) -> DataFrame:
+    """(id, key): what executions (with type_id of the merged store) are known by: their uuids, and type and name."""
+    uuids = exploded_uuids(store).where("uuid != ''").select(F.col("execution_id").alias("id"), F.concat(F.lit("u:"), "uuid").alias("key"))
+    named = executions.where(F.coalesce("name", F.lit("")) != "").select("id", F.concat(F.lit("n:"), F.col("type_id").cast("string"), F.lit(":"), "name").alias("key"))
+    return uuids.join(executions.select("id"), "id", "left_semi").unionByName(named).distinct()
 
-    Equal executions get the union of both uuid lists; other properties of the new side win.
+
+def _groups(keys: DataFrame) -> DataFrame:
+    """(id, group): executions that keys tie together, directly or through others, with the smallest id among them.
+
+    Labels go to and fro between executions and keys as minima until none changes; a list of uuids rarely takes more than
+    two rounds.
+    """
+    keys = cut(keys)
+    labels, before = cut(keys.select("id", F.col("id").alias("group")).distinct()), None
+    while True:
+        by_key = keys.join(labels, "id").groupBy("key").agg(F.min("group").alias("group"))
+        labels = cut(keys.join(by_key, "key").groupBy("id").agg(F.min("group").alias("group")))
+        state = labels.agg(F.count("*"), F.sum("group")).first()
+        if state == before:
+            return labels
+        before = state
+
+
+def _map_executions(old: MetadataStore, new: MetadataStore, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The merged executions, and (id, new_id) for the new side's runs (whose type_id is that of the merged store)."""
+    keys = cut(_shared_keys(new, runs))
+    groups = _groups(keys)
+    there = _shared_keys(old, old.execution).groupBy("key").agg(F.min("id").alias("old_id"))
+    first = keys.join(groups, "id").join(there, "key", "left").groupBy("group").agg(F.min("old_id").alias("new_id"), F.min("key").alias("first_key"))
+    alone = F.concat(F.lit("~"), F.lpad(F.col("id").cast("string"), 20, "0"))
+    rows = runs.join(groups, "id", "left").join(first, "group", "left")
+    rows = cut(rows.withColumns({"group": F.coalesce("group", "id"), "first_key": F.coalesce("first_key", alone)}))
+    rest = [c for c in runs.columns if c != "id"]
+    fresh = rows.where("new_id is null").groupBy("group", "first_key").agg(F.min_by(F.struct(*rest), "id").alias("v"))
+    fresh = cut(numbered(fresh.select("group", "first_key", "v.*"), old.execution, ["first_key"]))
+    ids = rows.where("new_id is not null").select("id", "new_id").unionByName(rows.where("new_id is null").select("id", "group").join(fresh.select("group", F.col("id").alias("new_id")), "group").select("id", "new_id"))
+    return old.execution.unionByName(fresh.drop("group", "first_key"), allowMissingColumns=True), cut(ids)
+
+
+#: MRG05: the types of artifact that a server merges; what is of another type is left out with its events.
+MERGED_TYPES = ("Dataset", "Model", "Metrics", "Dataslice", "Step_Metrics", "Environment", "Label")
+
+
+def merge_stores(old: MetadataStore, new: MetadataStore, stamp: bool = False, kinds: tuple[str, ...] | None = None) -> MetadataStore:
+    """MRG01-05: one store of two; what is equal is said above.
+
+    Equal executions get the union of both uuid lists; other properties of the new side win. Of the new side's entities
+    that are equal the first by name and id is taken over. stamp: executions and artifacts of the new side get their
+    creation time as a property, unless they have one. kinds: the types of artifact that are merged; all if none are given.
     """
     out: dict[str, DataFrame] = {}
     out["type"], types = _map_ids(old.type, new.type, ["name", "type_kind"])
-    retyped = lambda t: getattr(new, t).join(types.select(F.col("id").alias("type_id"), F.col("new_id").alias("__type")), "type_id", "left").withColumn("type_id", F.coalesce("__type", "type_id")).drop("__type")
-    out["context"], contexts = _map_ids(old.context, retyped("context"), ["type_id", "name"])
-    out["artifact"], artifacts = _map_ids(old.artifact, retyped("artifact"), ["type_id", "uri", "name"])
-
-    key = lambda s, runs: runs.join(exploded_uuids(s).groupBy("execution_id").agg(F.min("uuid").alias("external_id")).withColumnRenamed("execution_id", "id"), "id", "left")
-    known, fresh = key(old, old.execution.drop("external_id")), key(new, retyped("execution").drop("external_id"))
-    out["execution"], runs = _map_ids(known, fresh, ["external_id"])
+    retyped = lambda df: df.join(types.select(F.col("id").alias("type_id"), F.col("new_id").alias("__type")), "type_id", "left").withColumn("type_id", F.coalesce("__type", "type_id")).drop("__type")
 
     def moved(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
         return df.join(ids.select(F.col("id").alias(column), F.col("new_id").alias("__id")), column).withColumn(column, F.col("__id")).drop("__id")
 
+    out["context"], contexts = _map_ids(old.context, retyped(new.context), ["type_id", "name"])
+    out["execution"], runs = _map_executions(old, new, retyped(new.execution))
+
+    typed = lambda kinds, df: df.join(kinds.select(F.col("id").alias("type_id"), F.col("name").alias("type")), "type_id", "left")
+    arts = typed(new.type, new.artifact)
+    arts = arts if kinds is None else arts.where(F.col("type").isin(*kinds))
+    wrote = moved(new.event.select("artifact_id", "execution_id", "type"), "execution_id", runs).groupBy(F.col("artifact_id").alias("id"))
+    wrote = wrote.agg(F.coalesce(F.min(F.when(F.col("type") == OUTPUT, F.col("execution_id"))), F.min("execution_id")).alias("__run"))
+    metrics = F.col("type").eqNullSafe("Metrics")
+    renamed = F.when(metrics & F.col("__run").isNotNull(), metrics_name(F.col("name"), F.col("uri"), F.col("__run"))).otherwise(F.col("name"))
+    arts = retyped(arts.join(wrote, "id", "left").withColumn("name", renamed).drop("__run"))
+    has_uri = F.trim(F.coalesce("uri", F.lit(""))) != ""
+    key = F.struct("type_id", F.when(has_uri, F.col("uri")).alias("uri"), F.when(~has_uri | metrics, F.col("name")).alias("name"))
+    merged, artifacts = _map_ids(typed(out["type"], old.artifact), arts, ["type_id", "uri", "name"], key)
+    out["artifact"] = merged.drop("type")
+
     out["parentcontext"] = old.parentcontext.unionByName(moved(moved(new.parentcontext, "context_id", contexts), "parent_context_id", contexts)).distinct()
     links = moved(moved(new.association.drop("id"), "context_id", contexts), "execution_id", runs)
     out["association"] = insert_absent(old.association, links, ["context_id", "execution_id"])
@@ -130,8 +246,12 @@ def merge_stores(old: MetadataStore, new: MetadataStore) -> MetadataStore:
     out["attribution"] = insert_absent(old.attribution, links, ["context_id", "artifact_id"])
     events = moved(moved(new.event.drop("id"), "artifact_id", artifacts), "execution_id", runs)
     out["event"] = insert_absent(old.event, events, ["artifact_id", "execution_id", "type"])
-    for t, column, ids in (("artifactproperty", "artifact_id", artifacts), ("executionproperty", "execution_id", runs)):
-        out[t] = merge_properties(getattr(old, t), moved(getattr(new, t), column, ids), column)
+    for t, entity, column, ids in (("artifactproperty", "artifact", "artifact_id", artifacts), ("executionproperty", "execution", "execution_id", runs)):
+        props = getattr(new, t)
+        if stamp:
+            has = props.where(F.col("name") == _CREATED).select(F.col(column).alias("id"))
+            props = props.unionByName(stamped(getattr(new, entity).join(has, "id", "left_anti"), column), allowMissingColumns=True)
+        out[t] = merge_properties(getattr(old, t), moved(props, column, ids), column)
     return MetadataStore(old.spark, {t: df.select(*(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[t])) for t, df in out.items()})
 
 
@@ -144,6 +264,9 @@ def merge_properties(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     keys = [key, "name", "is_custom_property"]
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
     values = [c for c in both.columns if c not in keys and c != "__new"]
-    rows = both.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct("__new", F.coalesce("string_value", F.lit("")))).alias("v"), F.max_by("string_value", F.lit(1) - F.col("__new")).alias("first"))
-    text = F.when(F.col("name").isin(*LISTS), union_lists(F.col("first"), F.col("v.string_value"))).otherwise(F.col("v.string_value"))
+    newest = F.max_by(F.struct(*values), F.struct("__new", F.coalesce("string_value", F.lit("")))).alias("v")
+    lists = F.collect_set(F.when(F.col("name").isin(*LISTS), F.col("string_value"))).alias("lists")
+    rows = both.groupBy(*keys).agg(newest, lists)
+    parts = F.filter(F.flatten(F.transform("lists", lambda x: F.split(x, ","))), lambda x: x != "")
+    text = F.when(F.size("lists") > 0, F.array_join(F.array_sort(F.array_distinct(parts)), ",")).otherwise(F.col("v.string_value"))
     return rows.select(*keys, *((text if c == "string_value" else F.col(f"v.{c}")).alias(c) for c in values))
