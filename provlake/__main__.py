@@ -6,18 +6,20 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import browse, catalog, export, lineage
+from .operators import browse, catalog, export, lineage, writer
 from .store import MetadataStore
 
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="provlake")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, extra in (("pipelines", ()), ("stages", ("pipeline",)), ("executions", ("pipeline", "stage")), ("artifacts", ("pipeline", "stage", "kind")), ("ancestors", ("artifact",)), ("descendants", ("artifact",)), ("export", ("path",)), ("find", ("name",))):
+    for name, extra in (("pipelines", ()), ("stages", ("pipeline",)), ("executions", ("pipeline", "stage")), ("artifacts", ("pipeline", "stage", "kind")), ("ancestors", ("artifact",)), ("descendants", ("artifact",)), ("export", ("path",)), ("find", ("name",)), ("step", ("pipeline", "target", "to"))):
         c = sub.add_parser(name)
         c.add_argument("store")
         for x in extra:
             c.add_argument(x, type=int if x == "artifact" else str)
+        if name == "step":
+            c.add_argument("values", nargs="*", metavar="name=value")
         if name in ("executions", "artifacts"):
             c.add_argument("--page", type=int, default=1)
             c.add_argument("--size", type=int, default=20)
@@ -28,6 +30,10 @@ def _parser() -> argparse.ArgumentParser:
 def run(args: argparse.Namespace, store: MetadataStore) -> DataFrame | None:
     """The rows that a command shows; export writes and shows none."""
     page = browse.Page(args.page, args.size, search=args.search, descending=args.command == "executions") if hasattr(args, "page") else None
+    if args.command == "step":  # the store with the step's run goes to another place
+        recorder = writer.Recorder(args.pipeline)
+        writer.run_step(args.target, dict(v.split("=", 1) for v in args.values), recorder)
+        return recorder.commit(store).write_parquet(args.to)
     if args.command == "export":
         return export.write_json(store, args.path)
     return {

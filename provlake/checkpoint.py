@@ -2,29 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 @cache
-def _local_folder(context: object) -> None:
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="provlake-"))
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="provlake-")
+    atexit.register(shutil.rmtree, folder, True)
+    return f"file://{folder}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only in local mode one of our own where none is named, as executors don't share it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return shared or _local_folder()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/provlake-{name}-{uuid.uuid4().hex}"
+
 
-    Only in local mode a folder of its own is made where none is named; on a cluster executors don't share one, so that is
-    an error.
-    """
+@cache
+def _checkpoints(context: object) -> None:
+    context.setCheckpointDir(_local_folder())
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder."""
     spark: SparkSession = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        _local_folder(spark.sparkContext)
+        shared_folder(spark)
+        _checkpoints(spark.sparkContext)
     held = df.persist()  # else the checkpoint's job computes df again
     out = held.checkpoint()
     held.unpersist()

@@ -34,11 +34,26 @@ def infer_metric(value: str) -> Column:
     return F.when(v.rlike(r"^[+-]?\d+$"), "int").when(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), "float").when(v.contains(","), "list").otherwise("string")
 
 
-def property_map(props: DataFrame, key: str) -> DataFrame:
-    """One row for each entity: a map from property name to text; custom properties whose name is taken get a prefix (STR17)."""
-    name = F.when(F.col("is_custom_property"), F.concat(F.lit("custom_properties_"), "name")).otherwise(F.col("name"))
+def property_map(props: DataFrame, key: str, rename: dict[str, str] | None = None, prefix: str = "custom_properties_", on_clash: str = "last") -> DataFrame:
+    """STR17: one row for each entity: a map from property name to text.
+
+    rename: new names of some properties; prefix: what custom properties' names begin with. Two properties of an entity
+    that end up with one name: the larger text stays, or with on_clash="raise" that is an error.
+    """
+    if on_clash not in ("last", "raise"):
+        raise ValueError(f"on_clash is last or raise, not {on_clash!r}")
+    old = F.when(F.col("is_custom_property"), F.concat(F.lit(prefix), "name")).otherwise(F.col("name"))
+    name = F.coalesce(F.create_map(*(F.lit(x) for kv in rename.items() for x in kv))[F.col("name")], old) if rename else old
     entry = F.struct(name.alias("key"), as_text().alias("value"))
-    return props.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_set(entry))).alias("properties"))
+    entries = F.array_sort(F.collect_set(entry))
+    if on_clash == "raise":
+        clash = F.size(F.array_distinct(F.transform("entries", lambda e: e["key"]))) < F.size("entries")
+        rows = props.groupBy(key).agg(entries.alias("entries"))
+        return rows.select(key, F.when(clash, F.raise_error(F.lit("two properties have one name"))).otherwise(F.map_from_entries("entries")).alias("properties"))
+    last = F.filter(entries, lambda e: e["key"].isNotNull())
+    rows = props.groupBy(key).agg(last.alias("entries"))
+    kept = F.filter("entries", lambda e, i: F.coalesce(F.get("entries", i + 1)["key"] != e["key"], F.lit(True)))
+    return rows.select(key, F.map_from_entries(kept).alias("properties"))
 
 
 def property_pivot(props: DataFrame, key: str, names: list[str]) -> DataFrame:

@@ -127,7 +127,10 @@ def execution_ids(store: MetadataStore, pipeline: str | None = None) -> DataFram
     mine = pipelines(store, pipeline).select(F.col("id").alias("pipeline_id"), F.col("name").alias("pipeline"))
     links = store.stages.select(F.col("id").alias("context_id"), "pipeline_id").join(mine, "pipeline_id")
     rows = store.association.join(links, "context_id").select(F.col("execution_id").alias("id"), "context_id", "pipeline")
-    props = property_pivot(store.executionproperty, "execution_id", ["Context_Type", "Execution_uuid"]).withColumnRenamed("execution_id", "id")
+    props = store.executionproperty
+    if pipeline is not None:
+        props = props.join(rows.select(F.col("id").alias("execution_id")), "execution_id", "left_semi")
+    props = property_pivot(props, "execution_id", ["Context_Type", "Execution_uuid"]).withColumnRenamed("execution_id", "id")
     return rows.join(props, "id", "left").select("id", "Context_Type", "Execution_uuid", F.col("context_id").alias("Context_ID"), "pipeline")
 
 
@@ -224,7 +227,7 @@ def artifacts_of_execution(store: MetadataStore, execution_id: int) -> DataFrame
 def executions_of_artifacts(store: MetadataStore, artifacts: DataFrame) -> DataFrame:
     """JON12, JON13: for each artifact (id) its executions: direction, stage (the first context) and pipeline (its first parent)."""
     events = store.event.join(artifacts.select(F.col("id").alias("artifact_id")), "artifact_id", "left_semi")
-    stage = store.association.groupBy("execution_id").agg(F.min("context_id").alias("context_id"))
+    stage = store.association.join(events.select("execution_id"), "execution_id", "left_semi").groupBy("execution_id").agg(F.min("context_id").alias("context_id"))
     parent = store.parentcontext.groupBy("context_id").agg(F.min("parent_context_id").alias("pipeline_id"))
     names = store.context.select(F.col("id"), F.col("name"))
     rows = events.join(stage, "execution_id").join(parent, "context_id")
@@ -239,8 +242,8 @@ def executions_of_artifact(store: MetadataStore, name: str) -> DataFrame:
 
 
 def artifacts_by_type(store: MetadataStore) -> DataFrame:
-    """AGG08: type and the sorted array of its artifacts' (id, name)."""
-    return with_type(store, store.artifact).groupBy("type").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("artifacts"))
+    """AGG08: (type, id, name) of all artifacts, each type together and in the order of its ids: a sort by range, so no task holds a type."""
+    return with_type(store, store.artifact).select("type", "id", "name").orderBy("type", "id")
 
 
 def pipelines_of_artifacts(store: MetadataStore) -> DataFrame:

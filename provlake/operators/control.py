@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import first_run, next_run
-from .merge import insert_absent
+from .merge import insert_absent, numbered
 
 _RULE = ("timezone", "recurrence_mode", "interval_unit", "interval_value", "daily_time", "weekly_day", "weekly_time")
 
@@ -70,3 +70,15 @@ def server_logs(logs: DataFrame, schedules: DataFrame, server_id: int, limit: in
     """SRT07, JON10."""
     mine = schedules.where(F.col("server_id") == server_id).select(F.col("id").alias("schedule_id"))
     return logs.join(mine, "schedule_id").orderBy(F.desc("run_time_utc"), F.desc("id")).limit(limit)
+
+
+def log_manual_sync(schedules: DataFrame, logs: DataFrame, servers: DataFrame, name: str, host: str, at: int, status: str, message: str) -> tuple[DataFrame, DataFrame]:
+    """CTL03: schedules and logs after a sync by hand: a one-time schedule that is already completed, and its log; as they were for a server that isn't registered."""
+    mine = find_server(servers, name=name, host=host).select(F.col("id").alias("server_id"))
+    once = mine.select(
+        "server_id", F.lit("UTC").alias("timezone"), F.lit(at).cast("long").alias("start_time_utc"), F.lit(at).cast("long").alias("next_run_time_utc"), F.lit(False).alias("active"),
+        F.lit("completed").alias("status"), F.lit(True).alias("one_time"), F.lit(at).cast("long").alias("created_at"),
+    )
+    once = numbered(once, schedules, ["server_id"])
+    log = once.select(F.col("id").alias("schedule_id"), F.lit(at).cast("long").alias("run_time_utc"), F.lit(status).alias("status"), F.lit(message).alias("message"), F.lit("sync_now").alias("sync_type"))
+    return schedules.unionByName(once, allowMissingColumns=True), logs.unionByName(numbered(log, logs, ["schedule_id"]), allowMissingColumns=True)

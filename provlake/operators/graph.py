@@ -48,19 +48,37 @@ def event_edges(store: MetadataStore) -> DataFrame:
     return store.event.select(F.when(read, "input").otherwise("output").alias("relation"), F.when(read, F.col("artifact_id")).otherwise(F.col("execution_id")).alias("src"), F.when(read, F.col("execution_id")).otherwise(F.col("artifact_id")).alias("dst"))
 
 
-def derivation_edges(store: MetadataStore, name_property: str = "Execution_type_name") -> DataFrame:
-    """GRF06: artifact to artifact, labelled with the execution's name without anything but word characters."""
+def derivation_edges(store: MetadataStore, name_property: str = "Execution_type_name", properties: tuple[str, ...] = ()) -> DataFrame:
+    """GRF06: artifact to artifact, labelled with the execution's name without anything but word characters.
+
+    properties: names of execution properties that the edge carries as a map; of several executions with one name between
+    two artifacts the last one's.
+    """
     wrote = outputs(store).select(F.col("artifact_id").alias("dst"), "execution_id")
     pairs = inputs(store).select(F.col("artifact_id").alias("src"), "execution_id").join(wrote, "execution_id").where("src != dst")
     names = store.executionproperty.where(F.col("name") == name_property).select("execution_id", F.regexp_replace("string_value", r"\W+", "").alias("relation"))
-    return pairs.join(names, "execution_id").select("relation", "src", "dst").distinct()
+    rows = pairs.join(names, "execution_id")
+    if not properties:
+        return rows.select("relation", "src", "dst").distinct()
+    props = property_map(store.executionproperty.where(F.col("name").isin(*properties)), "execution_id")
+    rows = rows.groupBy("relation", "src", "dst").agg(F.max("execution_id").alias("execution_id")).join(props, "execution_id", "left")
+    return rows.select("relation", "src", "dst", "properties")
 
 
 def linked_edges(store: MetadataStore, present: DataFrame | None = None) -> DataFrame:
-    """GRF07, JON17: for each execution the first producer that it isn't linked to yet; present: edges (src, dst)."""
-    edges = execution_edges(store).select(F.col("parent").alias("src"), F.col("child").alias("dst"))
-    left = edges if present is None else edges.join(present, ["src", "dst"], "left_anti")
-    return left.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst")
+    """GRF07, JON17: for each execution the first producer that it isn't linked to yet; present: edges (src, dst).
+
+    Without present edges the two smallest producers of each artifact are enough, as one of them isn't the reader itself.
+    """
+    if present is not None:
+        edges = execution_edges(store).select(F.col("parent").alias("src"), F.col("child").alias("dst"))
+        return edges.join(present, ["src", "dst"], "left_anti").groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst")
+    wrote = outputs(store)
+    first = wrote.groupBy("artifact_id").agg(F.min("execution_id").alias("first"))
+    second = wrote.join(first, "artifact_id").where("execution_id > first").groupBy("artifact_id").agg(F.min("execution_id").alias("second"))
+    two = first.join(second, "artifact_id", "left")
+    rows = inputs(store).join(two, "artifact_id").select(F.when(F.col("first") != F.col("execution_id"), F.col("first")).otherwise(F.col("second")).alias("src"), F.col("execution_id").alias("dst"))
+    return rows.where("src is not null").groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst")
 
 
 def typed_edges(store: MetadataStore, relation: str, source_type: str, target_type: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Lineage: hops, closures, levels and trees (LIN, AGG11).
 
-Edges are made once by a join of the two sides of events. Closures go breadth first: a driver loop of joins whose frontier
-and visited sets stay DataFrames and are written to the checkpoint folder between hops; only counts reach the driver. So
-cycles end, and a node that is reached by many paths is expanded once.
+Closures over a store go breadth first from artifacts to executions and back, by semi-joins with events: an artifact that
+many runs read, or a run of many inputs and outputs, costs its events and never their product. It is a driver loop of joins
+whose frontier and visited sets stay DataFrames and are written to the checkpoint folder between hops; only "is it empty"
+reaches the driver. So cycles end, and a node that is reached by many paths is expanded once. Edges between artifacts, or
+between executions, are made only where they are the result, and only among the nodes in question.
 """
 
 from __future__ import annotations
@@ -26,15 +28,22 @@ def outputs(store: MetadataStore) -> DataFrame:
     return store.event.where(F.col("type") == OUTPUT).select("artifact_id", "execution_id")
 
 
-def _in_pipeline(store: MetadataStore, rows: DataFrame, pipeline_id: int | None, key: str = "execution_id") -> DataFrame:
-    """rows whose execution belongs to the pipeline, or all."""
+def _in_pipeline(store: MetadataStore, rows: DataFrame, pipeline_id: int | DataFrame | None, key: str = "execution_id") -> DataFrame:
+    """rows whose execution belongs to the pipeline (an id, or a frame with column id), or all."""
     if pipeline_id is None:
         return rows
-    mine = store.parentcontext.where(F.col("parent_context_id") == pipeline_id).select("context_id")
+    mine = _stages_of(store, pipeline_id)
     ids = store.association.join(mine, "context_id", "left_semi").select(F.col("execution_id").alias(key))
     return rows.join(ids, key, "left_semi")
 
 
+def _stages_of(store: MetadataStore, pipeline_id: int | DataFrame) -> DataFrame:
+    """context_id of the pipeline's stages."""
+    if isinstance(pipeline_id, DataFrame):
+        return store.parentcontext.join(pipeline_id.select(F.col("id").alias("parent_context_id")), "parent_context_id", "left_semi").select("context_id")
+    return store.parentcontext.where(F.col("parent_context_id") == pipeline_id).select("context_id")
+
+
 def consumers(store: MetadataStore, artifact_id: int, pipeline_id: int | None = None) -> DataFrame:
     """LIN01: distinct executions that read the artifact."""
     return _in_pipeline(store, inputs(store).where(F.col("artifact_id") == artifact_id).select("execution_id").distinct(), pipeline_id)
@@ -59,14 +68,14 @@ def input_artifacts(store: MetadataStore, executions: DataFrame) -> DataFrame:
     return _touched(inputs(store), executions)
 
 
-def artifact_edges(store: MetadataStore, pipeline_id: int | None = None) -> DataFrame:
+def artifact_edges(store: MetadataStore, pipeline_id: int | DataFrame | None = None) -> DataFrame:
     """(parent, child): artifacts that one execution read and wrote (JON19). An artifact that it did both to isn't its own parent."""
     read = _in_pipeline(store, inputs(store), pipeline_id).withColumnRenamed("artifact_id", "parent")
     wrote = outputs(store).withColumnRenamed("artifact_id", "child")
     return read.join(wrote, "execution_id").where("parent != child").select("parent", "child").distinct()
 
 
-def execution_edges(store: MetadataStore, pipeline_id: int | None = None) -> DataFrame:
+def execution_edges(store: MetadataStore, pipeline_id: int | DataFrame | None = None) -> DataFrame:
     """(parent, child): an execution that wrote what another read; both in the pipeline, where one is named."""
     wrote = _in_pipeline(store, outputs(store), pipeline_id).withColumnRenamed("execution_id", "parent")
     read = _in_pipeline(store, inputs(store), pipeline_id).withColumnRenamed("execution_id", "child")
@@ -110,16 +119,49 @@ def _turned(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
 
 
+def walk(store: MetadataStore, start: DataFrame, down: bool, max_hops: int | None = None, stop_artifacts: Column | None = None, stop_executions: Column | None = None, max_nodes: int | None = None, pipeline_id: int | DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """LIN08-10, LIN13, LIN24: (id, hops) of the artifacts, and of the executions, that lie below (or above) start (artifacts: id).
+
+    A hop leads from artifacts over executions to artifacts. stop_artifacts, stop_executions: nodes (id) that are reached
+    but not expanded. max_nodes: no further hop is made once so many nodes are reached, so hops stay whole.
+    """
+    read, wrote = (_in_pipeline(store, side(store), pipeline_id) for side in (inputs, outputs))
+    near, far = (read, wrote) if down else (wrote, read)
+    artifacts = cut(start.select("id").distinct().withColumn("hops", F.lit(0)))
+    runs = artifacts.limit(0)
+    frontier, hops, reached = artifacts, 0, artifacts.count() if max_nodes else 0
+    expand = lambda df, stop: df if stop is None else df.where(~stop)
+    while (max_hops is None or hops < max_hops) and (max_nodes is None or reached < max_nodes):
+        hops += 1
+        met = near.join(expand(frontier, stop_artifacts).select(F.col("id").alias("artifact_id")), "artifact_id", "left_semi").select(F.col("execution_id").alias("id")).distinct()
+        met = cut(met.join(runs, "id", "left_anti").withColumn("hops", F.lit(hops)))
+        if met.isEmpty():
+            break
+        beyond = far.join(expand(met, stop_executions).select(F.col("id").alias("execution_id")), "execution_id", "left_semi").select(F.col("artifact_id").alias("id")).distinct()
+        frontier = cut(beyond.join(artifacts, "id", "left_anti").withColumn("hops", F.lit(hops)))
+        runs, artifacts = runs.unionByName(met), artifacts.unionByName(frontier)
+        if hops % 8 == 0:
+            runs, artifacts = cut(runs.coalesce(_few(runs))), cut(artifacts.coalesce(_few(artifacts)))
+        if frontier.isEmpty():
+            break
+        if max_nodes is not None:
+            reached = artifacts.count() + runs.count()
+    return artifacts, runs
+
+
+def _few(df: DataFrame) -> int:
+    """Partitions of a visited set: those of one hop, not the sum of all."""
+    return max(1, min(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def descendants(store: MetadataStore, artifact_id: int, max_hops: int | None = None) -> DataFrame:
     """LIN08: (id, hops) of all artifacts below."""
-    start = store.artifact.where(F.col("id") == artifact_id)
-    return closure(artifact_edges(store), start, max_hops).where("hops > 0")
+    return walk(store, store.artifact.where(F.col("id") == artifact_id), True, max_hops)[0].where("hops > 0")
 
 
 def ancestors(store: MetadataStore, artifact_id: int, max_hops: int | None = None) -> DataFrame:
     """LIN09: (id, hops) of all artifacts above."""
-    start = store.artifact.where(F.col("id") == artifact_id)
-    return closure(_turned(artifact_edges(store)), start, max_hops).where("hops > 0")
+    return walk(store, store.artifact.where(F.col("id") == artifact_id), False, max_hops)[0].where("hops > 0")
 
 
 def ancestor_executions(store: MetadataStore, artifact_id: int, max_hops: int | None = None) -> DataFrame:
@@ -141,12 +183,16 @@ def parent_execution_ids(store: MetadataStore, execution_id: int, pipeline_id: i
     return _in_pipeline(store, outputs(store).join(read, "artifact_id"), pipeline_id).select(F.col("execution_id").alias("id"))
 
 
-def upstream_graph(store: MetadataStore, executions: DataFrame, pipeline_id: int | None = None, max_hops: int | None = None) -> tuple[DataFrame, DataFrame]:
+def upstream_graph(store: MetadataStore, executions: DataFrame, pipeline_id: int | DataFrame | None = None, max_hops: int | None = None) -> tuple[DataFrame, DataFrame]:
     """LIN13: the executions (id, hops) above these and the edges (source, target) between them."""
-    edges = cut(execution_edges(store, pipeline_id))
-    nodes = closure(_turned(edges), executions, max_hops)
-    inner = edges.join(nodes.select(F.col("id").alias("child")), "child", "left_semi").join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi")
-    return nodes, inner.select(F.col("parent").alias("source"), F.col("child").alias("target"))
+    start = cut(executions.select("id").distinct())
+    read = _in_pipeline(store, inputs(store), pipeline_id).join(start.select(F.col("id").alias("execution_id")), "execution_id", "left_semi")
+    above = walk(store, read.select(F.col("artifact_id").alias("id")), False, max_hops, pipeline_id=pipeline_id)[1]
+    nodes = cut(start.withColumn("hops", F.lit(0)).unionByName(above.join(start, "id", "left_anti")))
+    mine = nodes.select(F.col("id").alias("execution_id"))
+    wrote = outputs(store).join(mine, "execution_id", "left_semi").select("artifact_id", F.col("execution_id").alias("source"))
+    read = inputs(store).join(mine, "execution_id", "left_semi").select("artifact_id", F.col("execution_id").alias("target"))
+    return nodes, wrote.join(read, "artifact_id").where("source != target").select("source", "target").distinct()
 
 
 def producer(store: MetadataStore, name: str) -> DataFrame:
@@ -192,12 +238,15 @@ def _without_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(closure(edges, lost), "id", "left_anti")
 
 
+def _pipeline_ids(store: MetadataStore, name: str) -> DataFrame:
+    return pipelines(store, name).agg(F.min("id").alias("id"))
+
+
 def execution_tree(store: MetadataStore, pipeline: str, uuid: str) -> DataFrame:
     """LIN15: the executions above the one whose uuid begins with these four characters, layered and grouped; empty if there's none."""
     ids = execution_ids(store, pipeline)
     start = ids.where(F.substring("Execution_uuid", 1, 4) == uuid).orderBy("id").limit(1)
-    pid = pipelines(store, pipeline).agg(F.min("id")).first()[0]
-    nodes, edges = upstream_graph(store, start, pid)
+    nodes, edges = upstream_graph(store, start, _pipeline_ids(store, pipeline))
     edges = edges.select(F.col("source").alias("parent"), F.col("target").alias("child"))
     named = ids.select("id", execution_label("Context_Type", "Execution_uuid").alias("label")).dropDuplicates(["id"])
     return sibling_groups(levels(nodes, edges).join(named, "id"), edges)
@@ -208,11 +257,12 @@ def artifact_graph(store: MetadataStore, pipeline: str, strict: bool = False) ->
 
     A parent from another pipeline is left out, or with strict takes everything below it along, as the reference does.
     """
-    pid = pipelines(store, pipeline).agg(F.min("id")).first()[0]
-    mine = store.attribution.join(store.parentcontext.where(F.col("parent_context_id") == pid).select("context_id"), "context_id", "left_semi")
+    mine = store.attribution.join(_stages_of(store, _pipeline_ids(store, pipeline)), "context_id", "left_semi")
     nodes = lineage_artifacts(store).join(mine.select(F.col("artifact_id").alias("id")), "id", "left_semi").select("id", short_artifact("name", "type").alias("label"))
     allowed = lineage_artifacts(store).select("id")
-    edges = artifact_edges(store).join(nodes.select(F.col("id").alias("child")), "child", "left_semi").join(allowed.select(F.col("id").alias("parent")), "parent", "left_semi")
+    read = inputs(store).join(allowed.select(F.col("id").alias("artifact_id")), "artifact_id", "left_semi").withColumnRenamed("artifact_id", "parent")
+    wrote = outputs(store).join(nodes.select(F.col("id").alias("artifact_id")), "artifact_id", "left_semi").withColumnRenamed("artifact_id", "child")
+    edges = read.join(wrote, "execution_id").where("parent != child").select("parent", "child").distinct()
     if strict:
         nodes = _without_roots(nodes, edges)
     return nodes, edges.join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi").join(nodes.select(F.col("id").alias("child")), "child", "left_semi")
@@ -226,8 +276,7 @@ def artifact_tree(store: MetadataStore, pipeline: str, strict: bool = False, max
 
 def bipartite_graph(store: MetadataStore, pipeline: str) -> tuple[DataFrame, DataFrame]:
     """LIN18: nodes (id, label) a_<artifact> and e_<execution> of a pipeline, and edges (parent, child) between them."""
-    pid = pipelines(store, pipeline).agg(F.min("id")).first()[0]
-    events = _in_pipeline(store, store.event, pid).join(lineage_artifacts(store).select(F.col("id").alias("artifact_id")), "artifact_id", "left_semi")
+    events = _in_pipeline(store, store.event, _pipeline_ids(store, pipeline)).join(lineage_artifacts(store).select(F.col("id").alias("artifact_id")), "artifact_id", "left_semi")
     a, e = F.concat(F.lit("a_"), "artifact_id"), F.concat(F.lit("e_"), "execution_id")
     read = F.col("type") == INPUT
     edges = events.select(F.when(read, a).otherwise(e).alias("parent"), F.when(read, e).otherwise(a).alias("child")).distinct()
@@ -240,9 +289,8 @@ def bipartite_graph(store: MetadataStore, pipeline: str) -> tuple[DataFrame, Dat
 
 def force_graph(store: MetadataStore, pipeline: str) -> tuple[DataFrame, DataFrame]:
     """LIN22: nodes and links (source, target) of a pipeline's executions."""
-    pid = pipelines(store, pipeline).agg(F.min("id")).first()[0]
     nodes = execution_ids(store, pipeline).select("id", execution_label("Context_Type", "Execution_uuid").alias("name")).distinct()
-    return nodes, execution_edges(store, pid).select(F.col("parent").alias("source"), F.col("child").alias("target"))
+    return nodes, execution_edges(store, _pipeline_ids(store, pipeline)).select(F.col("parent").alias("source"), F.col("child").alias("target"))
 
 
 def spans(leveled: DataFrame, edges: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def _map_ids(old: DataFrame, new: DataFrame, keys: list[str], key: Column | None
     rows = cut(new.withColumn("__key", key).join(there, "__key", "left"))
     rest = [c for c in new.columns if c != "id"]
     fresh = rows.where("new_id is null").groupBy("__key").agg(F.min_by(F.struct(*rest), F.struct("name", "id")).alias("v"))
-    fresh = cut(numbered(fresh.select("__key", "v.*"), old, keys))
+    fresh = numbered(fresh.select("__key", "v.*"), old, keys)
     ids = rows.where("new_id is not null").select("id", "new_id").unionByName(rows.where("new_id is null").select("id", "__key").join(fresh.select("__key", F.col("id").alias("new_id")), "__key").select("id", "new_id"))
     return old.unionByName(fresh.drop("__key"), allowMissingColumns=True), cut(ids)
 
@@ -178,8 +178,7 @@ def _groups(keys: DataFrame) -> DataFrame:
     Labels go to and fro between executions and keys as minima until none changes; a list of uuids rarely takes more than
     two rounds.
     """
-    keys = cut(keys)
-    labels, before = cut(keys.select("id", F.col("id").alias("group")).distinct()), None
+    labels, before = keys.select("id", F.col("id").alias("group")).distinct(), None
     while True:
         by_key = keys.join(labels, "id").groupBy("key").agg(F.min("group").alias("group"))
         labels = cut(keys.join(by_key, "key").groupBy("id").agg(F.min("group").alias("group")))
@@ -200,7 +199,7 @@ def _map_executions(old: MetadataStore, new: MetadataStore, runs: DataFrame) ->
     rows = cut(rows.withColumns({"group": F.coalesce("group", "id"), "first_key": F.coalesce("first_key", alone)}))
     rest = [c for c in runs.columns if c != "id"]
     fresh = rows.where("new_id is null").groupBy("group", "first_key").agg(F.min_by(F.struct(*rest), "id").alias("v"))
-    fresh = cut(numbered(fresh.select("group", "first_key", "v.*"), old.execution, ["first_key"]))
+    fresh = numbered(fresh.select("group", "first_key", "v.*"), old.execution, ["first_key"])
     ids = rows.where("new_id is not null").select("id", "new_id").unionByName(rows.where("new_id is null").select("id", "group").join(fresh.select("group", F.col("id").alias("new_id")), "group").select("id", "new_id"))
     return old.execution.unionByName(fresh.drop("group", "first_key"), allowMissingColumns=True), cut(ids)
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..checkpoint import cut
+
 
 def entropy(probabilities: str) -> Column:
     """MTH01; a probability of 0 adds nothing."""
@@ -27,7 +29,7 @@ def confidence(probabilities: str) -> Column:
 
 def mean_draws(draws: str) -> Column:
     """The mean of an array of probability vectors."""
-    total = F.aggregate(F.slice(F.col(draws), 2, 1_000_000), F.get(draws, F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    total = F.aggregate(F.slice(F.col(draws), F.lit(2), F.size(draws)), F.get(draws, F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
     return F.transform(total, lambda x: x / F.size(draws))
 
 
@@ -62,8 +64,8 @@ def most_disagreement(pool: DataFrame, n: int, draws: str = "draws", key: str =
 
 
 def random_pick(pool: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
-    """SRT12: n rows in the order of a hash, the same at any partitioning."""
-    return pool.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """SRT12: n rows in the order of a hash of key and seed, the same at any partitioning."""
+    return pool.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
 
 
 def label_at_random(pool: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
@@ -86,22 +88,32 @@ def near_centroids(pool: DataFrame, n: int, seed: int = 1, vector: str = "embedd
     return placed.groupBy("cluster").agg(F.min_by(key, F.struct("distance", key)).alias(key), F.min("distance").alias("distance"))
 
 
-def farthest_first(pool: DataFrame, n: int, start: int, vector: str = "embedding", key: str = "id") -> DataFrame:
-    """SRT14: k-center greedy: n rows, each the farthest from those before it; (key, nth, distance).
+#: Vectors of labeled rows that one pass compares.
+BLOCK = 256
+
+
+def farthest_first(pool: DataFrame, n: int, labeled: int | list[int], vector: str = "embedding", key: str = "id") -> DataFrame:
+    """SRT14: k-center greedy: n rows, each the farthest from the labeled ones (keys) and from those before it; (key, nth, distance).
 
-    Each round is one pass with a running least distance; one row a round comes to the driver, n is a parameter.
+    The labeled rows are nth 0, without distance. Each round is one pass that writes the least distance so far and compares
+    with the last row found; a row a round comes to the driver, n is a parameter. The labeled rows' vectors, a parameter
+    too, are compared in blocks.
     """
+    labeled = [labeled] if isinstance(labeled, int) else list(labeled)
     rows = pool.select(key, F.col(vector).cast("array<double>").alias("v"))
-    at = rows.where(F.col(key) == start).select("v").first()
-    out, least = [(start, 0, None)], None
-    for nth in range(1, n):
-        step = squared_distance("v", F.lit(list(at["v"])))
-        least = step if least is None else F.least(least, step)
-        found = rows.where(~F.col(key).isin([x[0] for x in out])).select(key, "v", F.sqrt(least).alias("distance")).orderBy(F.desc("distance"), key).limit(1).first()
+    start = [list(r.v) for r in rows.where(F.col(key).isin(labeled)).select("v").collect()]
+    rows = cut(rows.where(~F.col(key).isin(labeled)).withColumn("least", F.lit(None).cast("double")))
+    nearest = lambda vectors: F.array_min(F.transform(F.lit(vectors), lambda c: squared_distance("v", c)))
+    for block in (start[i : i + BLOCK] for i in range(0, len(start), BLOCK)):
+        rows = cut(rows.withColumn("least", F.least("least", nearest(block))))
+    out = [(k, 0, None) for k in labeled]
+    for nth in range(1, n + 1):
+        found = rows.select(key, "v", F.sqrt("least").alias("distance")).orderBy(F.desc_nulls_first("distance"), key).limit(1).first()
         if found is None:
             break
         out.append((found[key], nth, found["distance"]))
-        at = found
+        if nth < n:
+            rows = cut(rows.where(F.col(key) != found[key]).withColumn("least", F.least("least", nearest([list(found["v"])]))))
     return pool.sparkSession.createDataFrame(out, f"{key} long, nth int, distance double")
 
 
@@ -120,14 +132,28 @@ def numbered_steps(metrics: DataFrame, series: str, order: str) -> DataFrame:
     return metrics.withColumn("SequenceNumber", F.row_number().over(Window.partitionBy(series).orderBy(order)).cast("long"))
 
 
-def ranking_quality(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """AGG17: one row: area under the ROC curve and average precision, with ties of score taken together.
+def running_sums(rows: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
+    """rows with running sums (new name: column) from the largest of `order`, whose values are distinct, downwards.
 
-    Counts by score are summed first; the running sums go over distinct scores, by range.
+    By range: each range of values sums its own rows, behind the sums of the ranges before it, so no task sees more than
+    its range. The ranges are written once, as both their sums and their rows are read.
     """
-    by = scored.groupBy(F.round(score, 6).alias("s")).agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("n"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = by.select("p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
+    ranged = cut(rows.repartitionByRange(F.desc(order)).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges
+    heads = ranged.groupBy("__part").agg(*(F.sum(c).alias(f"__{k}") for k, c in sums.items()))
+    heads = heads.select("__part", *(F.coalesce(F.sum(f"__{k}").over(before), F.lit(0)).alias(f"__{k}") for k in sums))
+    inside = Window.partitionBy("__part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.join(F.broadcast(heads), "__part")  # a row a range
+    return out.select(*rows.columns, *((F.col(f"__{k}") + F.sum(c).over(inside)).alias(k) for k, c in sums.items()))
+
+
+def _by_score(scored: DataFrame, score: str, label: str) -> DataFrame:
+    return scored.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
+
+
+def ranking_quality(scored: DataFrame, score: str, label: str) -> DataFrame:
+    """AGG17: one row: area under the ROC curve and average precision, with equal scores taken together."""
+    run = running_sums(_by_score(scored, score, label), "threshold", {"tp": "p", "fp": "n"})
     area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / (F.sum("p") * F.sum("n"))
     precision = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("p")
     return run.agg(area.alias("roc_auc"), precision.alias("average_precision"))
@@ -135,9 +161,7 @@ def ranking_quality(scored: DataFrame, score: str, label: str) -> DataFrame:
 
 def roc_points(scored: DataFrame, score: str, label: str) -> DataFrame:
     """AGG17: threshold, true and false positives at each distinct score."""
-    by = scored.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return by.select("threshold", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
+    return running_sums(_by_score(scored, score, label), "threshold", {"tp": "p", "fp": "n"}).select("threshold", "tp", "fp")
 
 
 def group_fairness(rows: DataFrame, group: str, label: str, predicted: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, times, values
-from ..operators import browse, catalog
+from ..operators import browse, catalog, export
 from ..operators.browse import Page
 from ..store import MetadataStore
 from .registry import query
@@ -87,18 +87,14 @@ def _(s: MetadataStore) -> DataFrame:
     return _map_text(catalog.executions_of_pipeline(s, P))
 
 
-def _every(df: DataFrame, n: int) -> DataFrame:
-    return df.where(F.col("id") % n == 0).select("id")
-
-
-@query("flt11_executions_by_ids", _map_sql("SELECT id FROM execution WHERE id % 97 = 0", "executionproperty", "execution_id"))
+@query("flt11_executions_by_ids", _map_sql("SELECT id FROM execution", "executionproperty", "execution_id"))
 def _(s: MetadataStore) -> DataFrame:
-    return _map_text(catalog.executions_by_ids(s, _every(s.execution, 97)))
+    return _map_text(catalog.executions_by_ids(s, s.execution.select("id")))
 
 
-@query("flt12_short_executions", "SELECT execution_id AS id, max(string_value) FILTER (name = 'Execution_type_name') AS \"Execution_type_name\", max(string_value) FILTER (name = 'Execution_uuid') AS \"Execution_uuid\" FROM executionproperty WHERE execution_id % 7 = 0 GROUP BY 1")
+@query("flt12_short_executions", "SELECT execution_id AS id, max(string_value) FILTER (name = 'Execution_type_name') AS \"Execution_type_name\", max(string_value) FILTER (name = 'Execution_uuid') AS \"Execution_uuid\" FROM executionproperty GROUP BY 1")
 def _(s: MetadataStore) -> DataFrame:
-    return catalog.short_executions(s, _every(s.execution, 7))
+    return catalog.short_executions(s, s.execution.select("id"))
 
 
 @query("flt13_executions_by_stage", "SELECT min(execution_id) AS id FROM association WHERE context_id = 2003 AND execution_id % 10 = 0")
@@ -118,9 +114,9 @@ def _(s: MetadataStore) -> DataFrame:
     return catalog.artifact_names(s)
 
 
-@query("flt17_artifacts_by_ids", _map_sql("SELECT id FROM artifact WHERE id % 11 = 0", "artifactproperty", "artifact_id"))
+@query("flt17_artifacts_by_ids", _map_sql("SELECT id FROM artifact", "artifactproperty", "artifact_id"))
 def _(s: MetadataStore) -> DataFrame:
-    return _map_text(catalog.artifacts_by_ids(s, _every(s.artifact, 11)))
+    return _map_text(catalog.artifacts_by_ids(s, s.artifact.select("id")))
 
 
 @query("flt18_artifact_types", "SELECT DISTINCT type.name FROM type JOIN artifact ON type.id = type_id")
@@ -203,20 +199,54 @@ def _(s: MetadataStore) -> DataFrame:
     return catalog.executions_of_artifact(s, s.artifact.where("id = 17").select("name").first()[0])
 
 
-@query("jon13_executions_of_artifacts", f"{_CHAIN} WHERE e.artifact_id % 5 = 0")
+@query("jon13_executions_of_artifacts", _CHAIN)
+def _(s: MetadataStore) -> DataFrame:
+    return catalog.executions_of_artifacts(s, s.artifact.select("id"))
+
+
+@query("jon14_artifacts_of_executions", "SELECT DISTINCT a.id, a.name, t.name AS type FROM event JOIN artifact a ON a.id = artifact_id JOIN type t ON t.id = a.type_id")
+def _(s: MetadataStore) -> DataFrame:
+    return catalog.artifacts_of_executions(s, s.execution.select("id")).select("id", "name", "type")
+
+
+@query("agg08_artifacts_by_type", "SELECT t.name AS type, a.id, a.name FROM artifact a JOIN type t ON a.type_id = t.id")
+def _(s: MetadataStore) -> DataFrame:
+    return catalog.artifacts_by_type(s)
+
+
+_JSON = """SELECT artifact_id, '[' || string_agg('{"name":"' || name || '","value":"' || coalesce(string_value, int_value::VARCHAR) || '"}', ',' ORDER BY name) || ']' AS artifact_properties FROM artifactproperty GROUP BY 1"""
+
+
+@query("jon09_artifacts_with_properties", f"SELECT a.id AS artifact_id, a.name, a.create_time_since_epoch, j.artifact_properties FROM artifact a LEFT JOIN ({_JSON}) j ON j.artifact_id = a.id WHERE a.type_id = 11 AND a.id IN (SELECT artifact_id FROM event WHERE execution_id IN (SELECT execution_id FROM association WHERE context_id = {_STAGE}))")
+def _(s: MetadataStore) -> DataFrame:
+    return browse.found_artifacts(s, P, S, "Dataset")
+
+
+@query("agg07_label_links", "SELECT DISTINCT 'l' || type_id AS name, CASE WHEN id % 3 > 0 THEN 'h' || (id % 5) END AS hash FROM artifact UNION SELECT 'all', NULL")
 def _(s: MetadataStore) -> DataFrame:
-    return catalog.executions_of_artifacts(s, _every(s.artifact, 5))
+    one = F.concat(F.lit("l"), "type_id", F.when(F.col("id") % 3 > 0, F.concat(F.lit(":h"), F.col("id") % 5)).otherwise(""))
+    labels = s.artifact.select(F.col("id").alias("artifact_id"), F.lit("labels").alias("name"), F.concat(one, F.lit(",all")).alias("string_value"))
+    return catalog.label_links(labels.unionByName(labels.withColumn("string_value", F.lit(None).cast("string")).limit(1)))
 
 
-@query("jon14_artifacts_of_executions", "SELECT DISTINCT artifact_id AS id FROM event WHERE execution_id % 97 = 0")
+@query("srt04_page_totals", f"SELECT count(*)::BIGINT AS total_items, 1 AS page FROM artifact a WHERE a.type_id = 11 AND a.id IN (SELECT artifact_id FROM event WHERE execution_id IN (SELECT execution_id FROM association WHERE context_id = {_STAGE})) UNION ALL SELECT 0, 2")
 def _(s: MetadataStore) -> DataFrame:
-    return catalog.artifacts_of_executions(s, _every(s.execution, 97)).select("id")
+    """A page beyond the last counts 0 items, though earlier pages have some."""
+    found = browse.browse(s, P, S, "Dataset"), browse.browse(s, P, S, "Dataset", Page(1_000_000, 20))
+    return s.spark.createDataFrame([(p["total_items"], k) for k, p in enumerate(found, 1)], "total_items long, page int")
 
 
-@query("agg08_artifacts_by_type", "SELECT t.name AS type, count(*) AS n, md5(string_agg(a.id::VARCHAR, ',' ORDER BY a.id)) AS ids FROM artifact a JOIN type t ON a.type_id = t.id GROUP BY 1")
+@query("srt05_default_page", f"SELECT id AS artifact_id, row_number() OVER (ORDER BY lower(name), id) AS place FROM (SELECT * FROM artifact a WHERE a.type_id = 11 AND a.id IN (SELECT artifact_id FROM event WHERE execution_id IN (SELECT execution_id FROM association WHERE context_id = {_STAGE})) ORDER BY lower(name), id LIMIT 5)")
 def _(s: MetadataStore) -> DataFrame:
-    rows = catalog.artifacts_by_type(s)
-    return rows.select("type", F.size("artifacts").cast("long").alias("n"), F.md5(F.array_join(F.transform("artifacts", lambda a: a["id"].cast("string")), ",")).alias("ids"))
+    """The default request, with the places of its rows, so that their order is compared."""
+    items = browse.browse(s, P, S, "Dataset")["items"]
+    return s.spark.createDataFrame([(r["artifact_id"], k) for k, r in enumerate(items, 1)], "artifact_id long, place long")
+
+
+@query("srt06_ordered_stages", f"SELECT stage_name, row_number() OVER (ORDER BY stage_name) AS place FROM (SELECT DISTINCT string_value AS stage_name FROM executionproperty WHERE name = 'Context_Type' AND execution_id IN ({_RUNS}))")
+def _(s: MetadataStore) -> DataFrame:
+    names = [r.stage_name for r in browse.stages(s, P).collect()]  # a pipeline's stages
+    return s.spark.createDataFrame([(n, k) for k, n in enumerate(names, 1)], "stage_name string, place long")
 
 
 @query("agg09_latest_by_command", "SELECT string_value AS command, max(execution_id) AS execution_id FROM executionproperty WHERE name = 'Execution' GROUP BY 1")
@@ -356,6 +386,38 @@ def _(s: MetadataStore) -> DataFrame:
     return urls.select("artifact_id", names.object_path(F.col("u")).alias("object"), names.bucket_name(F.col("u")).alias("bucket"), names.content_key(F.md5(F.col("artifact_id").cast("string"))).alias("key"))
 
 
+@query("str10_cached_urls", "SELECT artifact_id, 'https://cache.example.org:8443/files/' || artifact_id || '.bin' AS cached, 'origin.example.com' AS host, '' AS none FROM (SELECT id AS artifact_id FROM artifact)")
+def _(s: MetadataStore) -> DataFrame:
+    """STR10, STR11."""
+    url = F.concat(F.lit("osdf://User@Origin.Example.com:1094/files/"), "id", F.lit(".bin?x=1"))
+    return s.artifact.select(F.col("id").alias("artifact_id"), names.cached_url(url, F.lit("https://cache.example.org:8443/other")).alias("cached"), names.host_name(url).alias("host"), names.host_name(F.lit("no url")).alias("none"))
+
+
+@query("str17_renamed_keys", f"SELECT artifact_id, 'kind=' || max(string_value) FILTER (name = 'kind') || ';x_size=' || max(int_value) FILTER (name = 'size') || ';address=' || max(string_value) FILTER (name = 'url') AS properties FROM artifactproperty GROUP BY 1")
+def _(s: MetadataStore) -> DataFrame:
+    m = values.property_map(s.artifactproperty, "artifact_id", rename={"kind": "kind", "url": "address"}, prefix="x_", on_clash="raise")
+    cell = lambda k: F.concat(F.lit(f"{k}="), F.col("properties")[k])
+    return m.select("artifact_id", F.concat_ws(";", *map(cell, ("kind", "x_size", "address"))).alias("properties"))
+
+
+@query("map01_user_type", "SELECT id, CASE WHEN id % 2 = 0 THEN 'type' END AS plain, 'user_type' AS custom FROM artifact")
+def _(s: MetadataStore) -> DataFrame:
+    """MAP01: only a custom property named type is renamed."""
+    row = lambda custom: s.artifact.where(F.lit(custom) | (F.col("id") % 2 == 0)).select(F.col("id").alias("artifact_id"), F.lit("type").alias("name"), F.lit(custom).alias("is_custom_property"), F.lit("v").alias("string_value"))
+    props = s.artifactproperty.limit(0).unionByName(row(True).unionByName(row(False)), allowMissingColumns=True)
+    return export.property_maps(props, "artifact_id").select("id", F.get(F.map_keys("properties"), F.lit(0)).alias("plain"), F.get(F.map_keys("custom_properties"), F.lit(0)).alias("custom"))
+
+
+@query("dat07_local_times", """SELECT id, ms, CASE WHEN id % 3 = 0 THEN 1439 WHEN id % 3 = 1 THEN 65 END AS minutes, CASE WHEN id % 2 = 0 THEN 'Asia/Kolkata' ELSE 'UTC' END AS zone
+    FROM (SELECT id, epoch_us(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (id % 100000) MINUTE - INTERVAL 330 MINUTE) // 1000 AS ms FROM execution)""")
+def _(s: MetadataStore) -> DataFrame:
+    """DAT06, DAT07."""
+    local = F.date_format(F.timestamp_seconds(F.lit(1704067200) + (F.col("id") % 100000) * 60), "yyyy-MM-dd'T'HH:mm:ss")
+    clock = F.when(F.col("id") % 3 == 0, "23:59").when(F.col("id") % 3 == 1, "1:05").otherwise("24:00")
+    zone = F.when(F.col("id") % 2 == 0, "Asia/Kolkata").otherwise("nowhere at all")
+    return s.execution.select("id", times.to_utc_ms(local, F.lit("Asia/Kolkata")).alias("ms"), times.minutes_of(clock).alias("minutes"), times.known_zone(zone).alias("zone"))
+
+
 @query("str12_clean_keys", "SELECT id, regexp_replace(replace(name, '-', '_'), '[^A-Za-z0-9_]+', '', 'g') AS key FROM artifact")
 def _(s: MetadataStore) -> DataFrame:
     return s.artifact.select("id", names.clean_key(F.col("name")).alias("key"))

@@ -21,10 +21,6 @@ def _asia(s: MetadataStore) -> int:
     return catalog.pipeline_id(s, P).first()[0]
 
 
-def _some(df: DataFrame, n: int) -> DataFrame:
-    return df.where(F.col("id") % n == 0).select("id")
-
-
 @query("lin01_consumers", f"SELECT DISTINCT execution_id FROM event WHERE type = 3 AND artifact_id = 17 AND execution_id IN ({_RUNS})")
 def _(s: MetadataStore) -> DataFrame:
     return lineage.consumers(s, 17, _asia(s))
@@ -35,29 +31,39 @@ def _(s: MetadataStore) -> DataFrame:
     return lineage.producers(s, 17)
 
 
-@query("lin03_output_artifacts", "SELECT DISTINCT artifact_id AS id FROM event WHERE type = 4 AND execution_id % 97 = 0")
+@query("lin03_output_artifacts", "SELECT DISTINCT artifact_id AS id FROM event WHERE type = 4")
 def _(s: MetadataStore) -> DataFrame:
-    return lineage.output_artifacts(s, _some(s.execution, 97))
+    return lineage.output_artifacts(s, s.execution.select("id"))
 
 
-@query("lin04_input_artifacts", "SELECT DISTINCT artifact_id AS id FROM event WHERE type = 3 AND execution_id % 97 = 0")
+@query("lin04_input_artifacts", "SELECT DISTINCT artifact_id AS id FROM event WHERE type = 3")
 def _(s: MetadataStore) -> DataFrame:
-    return lineage.input_artifacts(s, _some(s.execution, 97))
+    return lineage.input_artifacts(s, s.execution.select("id"))
+
+
+_FULL = f"""SELECT a.id, a.name, t.name AS type, coalesce(m.properties, '') AS properties FROM artifact a JOIN type t ON t.id = a.type_id LEFT JOIN (
+    SELECT artifact_id, array_to_string(list_sort(list(DISTINCT CASE WHEN is_custom_property THEN 'custom_properties_' ELSE '' END || name || '=' || coalesce(string_value, bool_value::VARCHAR, double_value::VARCHAR, int_value::VARCHAR, 'NULL'))), ';') AS properties FROM artifactproperty GROUP BY 1) m ON m.artifact_id = a.id WHERE a.id IN """
+
 
+def _full(df: DataFrame) -> DataFrame:
+    """Artifacts with name, type and the property map as sorted text."""
+    entries = F.array_sort(F.transform(F.map_entries("properties"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return df.select("id", "name", "type", F.array_join(entries, ";").alias("properties"))
 
-@query("lin05_children", f"SELECT DISTINCT o.artifact_id AS id FROM event i JOIN event o ON i.execution_id = o.execution_id WHERE i.type = 3 AND o.type = 4 AND i.artifact_id = 17 AND i.execution_id IN ({_RUNS})")
+
+@query("lin05_children", f"{_FULL} (SELECT o.artifact_id FROM event i JOIN event o ON i.execution_id = o.execution_id WHERE i.type = 3 AND o.type = 4 AND i.artifact_id = 17 AND i.execution_id IN ({_RUNS}))")
 def _(s: MetadataStore) -> DataFrame:
-    return lineage.children(s, 17, _asia(s)).select("id")
+    return _full(lineage.children(s, 17, _asia(s)))
 
 
-@query("lin06_parents", "SELECT DISTINCT i.artifact_id AS id FROM event i JOIN event o ON i.execution_id = o.execution_id WHERE i.type = 3 AND o.type = 4 AND o.artifact_id = 17")
+@query("lin06_parents", f"{_FULL} (SELECT i.artifact_id FROM event i JOIN event o ON i.execution_id = o.execution_id WHERE i.type = 3 AND o.type = 4 AND o.artifact_id = 17)")
 def _(s: MetadataStore) -> DataFrame:
-    return lineage.parents(s, 17).select("id")
+    return _full(lineage.parents(s, 17))
 
 
-@query("lin07_lineage_parents", "SELECT DISTINCT i.artifact_id AS id FROM event i JOIN event o ON i.execution_id = o.execution_id JOIN artifact a ON a.id = i.artifact_id WHERE i.type = 3 AND o.type = 4 AND o.artifact_id = 17 AND a.type_id NOT IN (14, 15)")
+@query("lin07_lineage_parents", f"{_FULL} (SELECT i.artifact_id FROM event i JOIN event o ON i.execution_id = o.execution_id WHERE i.type = 3 AND o.type = 4 AND o.artifact_id = 17) AND a.type_id NOT IN (14, 15)")
 def _(s: MetadataStore) -> DataFrame:
-    return lineage.parents(s, 17, lineage_only=True).select("id")
+    return _full(lineage.parents(s, 17, lineage_only=True))
 
 
 @query("lin_artifact_edges", _EDGES)
@@ -65,9 +71,9 @@ def _(s: MetadataStore) -> DataFrame:
     return lineage.artifact_edges(s)
 
 
-@query("lin11_parent_executions", f"SELECT DISTINCT o.execution_id AS id FROM event o WHERE o.type = 4 AND o.execution_id IN ({_RUNS}) AND o.artifact_id IN (SELECT artifact_id FROM event WHERE type = 3 AND execution_id % 997 = 0)")
+@query("lin11_parent_executions", f"SELECT DISTINCT o.execution_id AS id FROM event o WHERE o.type = 4 AND o.execution_id IN ({_RUNS}) AND o.artifact_id IN (SELECT artifact_id FROM event WHERE type = 3)")
 def _(s: MetadataStore) -> DataFrame:
-    return lineage.parent_executions(s, _some(s.execution, 997), _asia(s))
+    return lineage.parent_executions(s, s.execution.select("id"), _asia(s))
 
 
 @query("lin12_parent_execution_ids", "SELECT o.execution_id AS id FROM event i JOIN event o ON i.artifact_id = o.artifact_id WHERE i.type = 3 AND o.type = 4 AND i.execution_id = 35")
@@ -95,35 +101,46 @@ def _closure_sql(edges: str, start: str, down: bool) -> str:
     return f"SELECT id FROM ({_UP.format(edges=edges, start=start, to=to, at=at)}) WHERE id <> {start}"
 
 
-_FEW = "(SELECT min(i.id) FROM (SELECT execution.id, row_number() OVER (PARTITION BY x.context_id ORDER BY execution.id) AS nth FROM execution JOIN association x ON x.execution_id = execution.id) i WHERE nth = 8)"
+@query("lin08_descendants", _closure_sql(_EDGES, "17", down=True))
+def _(s: MetadataStore) -> DataFrame:
+    return lineage.descendants(s, 17).select("id")
 
 
-def _eighth(s: MetadataStore) -> int:
-    """The smallest id of an execution that is the eighth of its pipeline: few ancestors, many descendants."""
-    ids = s.association.groupBy("context_id").agg(F.array_sort(F.collect_list("execution_id")).alias("ids"))
-    return ids.agg(F.min(F.get("ids", F.lit(7)))).first()[0]
+@query("lin09_ancestors", _closure_sql(_EDGES, "17", down=False))
+def _(s: MetadataStore) -> DataFrame:
+    return lineage.ancestors(s, 17).select("id")
 
 
-@query("lin08_descendants", _closure_sql(_EDGES, _FEW, down=True), store="b")
+@query("lin10_ancestor_executions", f"SELECT DISTINCT execution_id AS id FROM event WHERE type = 4 AND artifact_id IN ({_closure_sql(_EDGES, '17', down=False)})")
 def _(s: MetadataStore) -> DataFrame:
-    return lineage.descendants(s, _eighth(s)).select("id")
+    return lineage.ancestor_executions(s, 17)
 
 
-@query("lin09_ancestors", _closure_sql(_EDGES, _FEW, down=False), store="b")
+@query("lin13_upstream_edges", f""", re AS MATERIALIZED ({_RUN_EDGES}), ups AS (SELECT id FROM ({_UP.format(edges='SELECT * FROM re', start='35', to='parent', at='child')}))
+    SELECT parent AS source, child AS target FROM re WHERE parent IN (SELECT id FROM ups) AND child IN (SELECT id FROM ups)""")
 def _(s: MetadataStore) -> DataFrame:
-    return lineage.ancestors(s, _eighth(s)).select("id")
+    return lineage.upstream_graph(s, s.execution.where("id = 35"))[1]
 
 
-@query("lin10_ancestor_executions", f"SELECT DISTINCT execution_id AS id FROM event WHERE type = 4 AND artifact_id IN ({_closure_sql(_EDGES, _FEW, down=False)})", store="b")
+@query("lin24_bounded_walk", f""", e AS ({_EDGES}), runs AS (SELECT DISTINCT execution_id AS id FROM event WHERE type = 3 AND artifact_id = 17),
+    h1 AS (SELECT DISTINCT artifact_id AS id FROM event WHERE type = 4 AND execution_id IN (SELECT id FROM runs WHERE id % 2 = 0)),
+    r2 AS (SELECT DISTINCT execution_id AS id FROM event WHERE type = 3 AND artifact_id IN (SELECT id FROM h1 WHERE id <> 17 AND id % 5 > 0) AND execution_id NOT IN (SELECT id FROM runs)),
+    h2 AS (SELECT DISTINCT artifact_id AS id FROM event WHERE type = 4 AND execution_id IN (SELECT id FROM r2 WHERE id % 2 = 0))
+    SELECT 'a' AS kind, id, min(hops) AS hops FROM (SELECT 17 AS id, 0 AS hops UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY id
+    UNION ALL SELECT 'e', id, 1 FROM runs UNION ALL SELECT 'e', id, 2 FROM r2""")
 def _(s: MetadataStore) -> DataFrame:
-    return lineage.ancestor_executions(s, _eighth(s))
+    """LIN24: two hops down; artifacts of every fifth id and executions of odd ones are reached but not expanded."""
+    a, e = lineage.walk(s, s.artifact.where("id = 17"), True, 2, stop_artifacts=F.col("id") % 5 == 0, stop_executions=F.col("id") % 2 == 1, max_nodes=10_000_000)
+    return a.select(F.lit("a").alias("kind"), "id", "hops").unionByName(e.select(F.lit("e").alias("kind"), "id", "hops"))
 
 
-@query("lin13_upstream_edges", f""", ups AS (SELECT id FROM ({_UP.format(edges=_RUN_EDGES, start=_FEW, to='parent', at='child')})), re AS ({_RUN_EDGES})
-    SELECT parent AS source, child AS target FROM re WHERE parent IN (SELECT id FROM ups) AND child IN (SELECT id FROM ups)""", store="b")
-def _(s: MetadataStore) -> DataFrame:
-    start = s.execution.where(F.col("id") == _eighth(s))
-    return lineage.upstream_graph(s, start)[1]
+_LAST = "(SELECT last FROM (SELECT context_id, count(*) AS n, max(execution_id) AS last FROM association GROUP BY 1) ORDER BY n, context_id LIMIT 1)"
+
+
+def _last(s: MetadataStore) -> int:
+    """The last execution of the smallest pipeline: the whole pipeline is above it."""
+    ends = s.association.groupBy("context_id").agg(F.count("*").alias("n"), F.max("execution_id").alias("last"))
+    return ends.orderBy("n", "context_id").limit(1).first()["last"]
 
 
 def _levels_sql(start: str) -> str:
@@ -132,21 +149,21 @@ def _levels_sql(start: str) -> str:
     paths AS (SELECT * FROM (WITH RECURSIVE p(id, level) AS (SELECT id, 0 FROM ups WHERE id NOT IN (SELECT child FROM inner_) UNION SELECT i.child, p.level + 1 FROM p JOIN inner_ i ON i.parent = p.id) SELECT id, max(level) AS level FROM p GROUP BY id))"""
 
 
-@query("lin19_levels", f"{_levels_sql(_FEW)} SELECT id, level FROM paths", store="b")
+@query("lin19_levels", f"{_levels_sql(_LAST)} SELECT id, level FROM paths", store="b")
 def _(s: MetadataStore) -> DataFrame:
-    nodes, edges = lineage.upstream_graph(s, s.execution.where(F.col("id") == _eighth(s)))
+    nodes, edges = lineage.upstream_graph(s, s.execution.where(F.col("id") == _last(s)))
     return lineage.levels(nodes, edges.select(F.col("source").alias("parent"), F.col("target").alias("child")))
 
 
 _LABEL = "SELECT c.execution_id AS id, substring(c.string_value, strpos(c.string_value, '/') + 1) || '_' || substring(u.string_value, 1, 4) AS label FROM executionproperty c JOIN executionproperty u ON c.execution_id = u.execution_id WHERE c.name = 'Context_Type' AND u.name = 'Execution_uuid'"
 
 
-@query("lin15_execution_tree", f"""{_levels_sql(_FEW)}, l AS ({_LABEL}),
+@query("lin15_execution_tree", f"""{_levels_sql(_LAST)}, l AS ({_LABEL}),
     grouped AS (SELECT p.id, p.level, coalesce(string_agg(i.parent::VARCHAR, ',' ORDER BY i.parent), '') AS parents, coalesce(string_agg(l2.label, ',' ORDER BY l2.label), '') AS parent_labels
       FROM paths p LEFT JOIN inner_ i ON i.child = p.id LEFT JOIN l l2 ON l2.id = i.parent GROUP BY p.id, p.level)
     SELECT parents, min(level) AS level, min(parent_labels) AS parent_labels, string_agg(l.label, ',' ORDER BY l.label) AS members FROM grouped JOIN l ON l.id = grouped.id GROUP BY parents""", store="b")
 def _(s: MetadataStore) -> DataFrame:
-    one = s.execution.where(F.col("id") == _eighth(s)).select("id")
+    one = s.execution.where(F.col("id") == _last(s)).select("id")
     found = s.association.join(one.withColumnRenamed("id", "execution_id"), "execution_id").join(s.parentcontext, "context_id").join(s.context.select(F.col("id").alias("parent_context_id"), "name"), "parent_context_id").select("name", F.substring(F.md5(F.concat(F.lit("x"), F.col("execution_id").cast("string"))), 1, 4).alias("uuid")).first()
     tree = lineage.execution_tree(s, found["name"], found["uuid"])
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
@@ -165,17 +182,23 @@ def _(s: MetadataStore) -> DataFrame:
     return lineage.bipartite_graph(s, P)[1]
 
 
+_SHORT = """CASE t.name WHEN 'Metrics' THEN CASE WHEN len(string_split(a.name, ':')) >= 3 THEN split_part(a.name, ':', 1) || ':' || substring(split_part(a.name, ':', 2), 1, 4) || ':' || split_part(a.name, ':', 3) ELSE a.name END
+    WHEN 'Model' THEN CASE WHEN len(string_split(a.name, ':')) >= 3 THEN split_part(split_part(a.name, ':', -3), '/', -1) || ':' || substring(split_part(a.name, ':', -2), 1, 4) ELSE a.name END
+    WHEN 'Dataset' THEN split_part(split_part(a.name, ':', 1), '/', -1) || ':' || substring(split_part(a.name, ':', -1), 1, 4) ELSE a.name END"""
+
+
 @query("lin18_bipartite_nodes", f"""SELECT 'e_' || c.execution_id AS id, 'execution_name_' || c.string_value || ':' || substring(u.string_value, 1, 4) AS label FROM executionproperty c JOIN executionproperty u ON c.execution_id = u.execution_id
-    WHERE c.name = 'Context_Type' AND u.name = 'Execution_uuid' AND c.execution_id IN ({_RUNS}) AND c.execution_id IN (SELECT execution_id FROM event e JOIN artifact a ON a.id = e.artifact_id WHERE a.type_id NOT IN (14, 15))""")
+    WHERE c.name = 'Context_Type' AND u.name = 'Execution_uuid' AND c.execution_id IN ({_RUNS}) AND c.execution_id IN (SELECT execution_id FROM event e JOIN artifact a ON a.id = e.artifact_id WHERE a.type_id NOT IN (14, 15))
+    UNION ALL SELECT 'a_' || a.id, 'artifact_name_' || {_SHORT} FROM artifact a JOIN type t ON t.id = a.type_id WHERE a.type_id NOT IN (14, 15) AND a.id IN (SELECT artifact_id FROM event WHERE execution_id IN ({_RUNS}))""")
 def _(s: MetadataStore) -> DataFrame:
-    return lineage.bipartite_graph(s, P)[0].where(F.col("id").startswith("e_"))
+    return lineage.bipartite_graph(s, P)[0]
 
 
-@query("lin20_model_card_inputs", """, m AS (SELECT min(id) AS id FROM artifact WHERE type_id = 12), runs AS (SELECT DISTINCT execution_id FROM event WHERE artifact_id = (SELECT id FROM m))
-    SELECT DISTINCT artifact_id AS id FROM event WHERE type = 3 AND execution_id IN (SELECT execution_id FROM runs) AND artifact_id <> (SELECT id FROM m)""")
+@query("lin20_model_card_inputs", f""", m AS (SELECT min(id) AS id FROM artifact WHERE type_id = 12), runs AS (SELECT DISTINCT execution_id FROM event WHERE artifact_id = (SELECT id FROM m))
+    {_FULL} (SELECT artifact_id FROM event WHERE type = 3 AND execution_id IN (SELECT execution_id FROM runs) AND artifact_id <> (SELECT id FROM m))""")
 def _(s: MetadataStore) -> DataFrame:
     model = s.artifact.where("type_id = 12").agg(F.min("id")).first()[0]
-    return lineage.model_card(s, model)["inputs"].select("id")
+    return _full(lineage.model_card(s, model)["inputs"])
 
 
 @query("lin20_model_card_executions", """, m AS (SELECT min(id) AS id FROM artifact WHERE type_id = 12)
@@ -222,6 +245,52 @@ def _(s: MetadataStore) -> DataFrame:
     return graph.derivation_edges(s)
 
 
+@query("grf06_edge_properties", """SELECT relation, src, dst, 'Execution=' || max(x.string_value) || ';priority=' || max(y.string_value) AS properties FROM (
+    SELECT regexp_replace(p.string_value, '[^A-Za-z0-9_]+', '', 'g') AS relation, i.artifact_id AS src, o.artifact_id AS dst, max(i.execution_id) AS run FROM event i JOIN event o ON i.execution_id = o.execution_id JOIN executionproperty p ON p.execution_id = i.execution_id AND p.name = 'Execution_type_name'
+    WHERE i.type = 3 AND o.type = 4 AND i.artifact_id <> o.artifact_id GROUP BY 1, 2, 3) JOIN executionproperty x ON x.execution_id = run AND x.name = 'Execution' JOIN executionproperty y ON y.execution_id = run AND y.name = 'priority' GROUP BY 1, 2, 3""")
+def _(s: MetadataStore) -> DataFrame:
+    rows = graph.derivation_edges(s, properties=("Execution", "priority"))
+    return rows.select("relation", "src", "dst", F.concat(F.lit("Execution="), F.col("properties")["Execution"], F.lit(";priority="), F.col("properties")["custom_properties_priority"]).alias("properties"))
+
+
+@query("jon17_unlinked_edges", f", re AS ({_RUN_EDGES}), linked AS (SELECT min(parent) AS src, child AS dst FROM re GROUP BY child) SELECT min(parent) AS src, child AS dst FROM re WHERE (parent, child) NOT IN (SELECT (src, dst) FROM linked) GROUP BY child")
+def _(s: MetadataStore) -> DataFrame:
+    """The first producer that isn't linked yet, once the first ones are."""
+    return graph.linked_edges(s, graph.linked_edges(s))
+
+
+@query("grf01_execution_vertices", "SELECT id, 'Execution' AS label, coalesce(name, '') AS name, (SELECT count(*) FROM executionproperty p WHERE p.execution_id = e.id) AS n FROM execution e")
+def _(s: MetadataStore) -> DataFrame:
+    return graph.execution_vertices(s).select("id", "label", "name", F.size("properties").cast("long").alias("n"))
+
+
+@query("grf09_found_vertices", "SELECT DISTINCT uri, 'Model' AS label FROM artifact WHERE type_id = 12 AND name = (SELECT min(name) FROM artifact WHERE type_id = 12) UNION SELECT uri, 'Dataset' FROM artifact WHERE type_id = 11 AND uri = (SELECT min(uri) FROM artifact WHERE type_id = 11)")
+def _(s: MetadataStore) -> DataFrame:
+    """GRF09, JON20."""
+    v = graph.artifact_vertices(s)
+    name, uri = s.artifact.where("type_id = 12").agg(F.min("name")).first()[0], s.artifact.where("type_id = 11").agg(F.min("uri")).first()[0]
+    return graph.find_vertices(v, "Model", name=name).unionByName(graph.find_vertices(v, "Dataset", uri=uri)).select("uri", "label")
+
+
+@query("agg15_append_distinct", "SELECT id, CASE WHEN id % 2 = 0 THEN 'a,b,c' ELSE 'a,c,b' END AS v, 'x' AS first FROM artifact")
+def _(s: MetadataStore) -> DataFrame:
+    value = F.when(F.col("id") % 2 == 0, "c").otherwise("b")
+    return s.artifact.select("id", F.array_join(graph.append_distinct(F.array(F.lit("a"), F.lit("b"), F.lit("c")), value), ",").alias("v"), F.array_join(graph.append_distinct(F.lit(None).cast("array<string>"), F.lit("x")), ",").alias("first"))
+
+
+@query("lin23_spans", f"""{_levels_sql(_LAST)}, top AS (SELECT i.child AS id, min(p.level) AS top FROM inner_ i JOIN paths p ON p.id = i.parent GROUP BY 1)
+    SELECT p.id, p.level, coalesce(p.level - top, 0) AS span FROM paths p LEFT JOIN top ON top.id = p.id""", store="b")
+def _(s: MetadataStore) -> DataFrame:
+    nodes, edges = lineage.upstream_graph(s, s.execution.where(F.col("id") == _last(s)))
+    edges = edges.select(F.col("source").alias("parent"), F.col("target").alias("child"))
+    return lineage.spans(lineage.levels(nodes, edges), edges)
+
+
+@query("lin21_execution_list", f"SELECT e.id, substring(c.string_value, strpos(c.string_value, '/') + 1) || '_' || substring(u.string_value, 1, 4) AS name FROM execution e JOIN executionproperty c ON c.execution_id = e.id AND c.name = 'Context_Type' JOIN executionproperty u ON u.execution_id = e.id AND u.name = 'Execution_uuid' WHERE e.id IN ({_RUNS})")
+def _(s: MetadataStore) -> DataFrame:
+    return lineage.execution_list(s, P)
+
+
 @query("grf07_linked_edges", f"SELECT min(parent) AS src, child AS dst FROM ({_RUN_EDGES}) GROUP BY child")
 def _(s: MetadataStore) -> DataFrame:
     return graph.linked_edges(s)
@@ -235,12 +304,12 @@ def _(s: MetadataStore) -> DataFrame:
 @query("snk01_payload_events", f"""SELECT p.name AS pipeline, c.name AS stage, e.execution_id, e.type AS event_type, a.id AS artifact_id, a.name, t.name AS type, a.uri
     FROM event e JOIN association x ON x.execution_id = e.execution_id JOIN context c ON c.id = x.context_id JOIN parentcontext pc ON pc.context_id = c.id JOIN context p ON p.id = pc.parent_context_id JOIN artifact a ON a.id = e.artifact_id JOIN type t ON t.id = a.type_id WHERE p.name = '{P}'""")
 def _(s: MetadataStore) -> DataFrame:
-    return export.flat_events(export.read_json(export.to_json(export.payload(s, P))))
+    return export.row_events(export.read_rows(export.rows_json(export.payload_rows(s, P))))
 
 
 @query("flt33_environments", f"SELECT DISTINCT a.name FROM event e JOIN artifact a ON a.id = e.artifact_id WHERE a.type_id = 14 AND e.execution_id IN ({_RUNS})")
 def _(s: MetadataStore) -> DataFrame:
-    return export.environments(export.payload(s, P))
+    return export.environments(s, P)
 
 
 _T = "(SELECT max(last_update_time_since_epoch) - 8640000000 FROM execution)"
@@ -258,18 +327,29 @@ def _(s: MetadataStore) -> DataFrame:
 @query("stm01_incremental_payload", f"""SELECT p.name AS pipeline, c.name AS stage, count(DISTINCT e.id) AS executions FROM context p JOIN parentcontext pc ON pc.parent_context_id = p.id JOIN context c ON c.id = pc.context_id
     JOIN association x ON x.context_id = c.id JOIN execution e ON e.id = x.execution_id AND e.last_update_time_since_epoch > {_T} GROUP BY 1, 2""")
 def _(s: MetadataStore) -> DataFrame:
-    rows = sync.incremental_payload(s, _since(s)).select(F.col("name").alias("pipeline"), F.explode("stages").alias("s"))
-    return rows.select("pipeline", F.col("s.name").alias("stage"), F.size("s.executions").cast("long").alias("executions")).where("executions > 0")
+    rows = sync.incremental_payload(s, _since(s)).where("execution is not null")
+    return rows.groupBy(F.col("pipeline.name").alias("pipeline"), F.col("stage.name").alias("stage")).agg(F.count("*").alias("executions"))
+
+
+@query("mrg10_pruned_stages", f"""SELECT c.name AS stage, count(e.id) AS executions FROM context c JOIN parentcontext pc ON pc.context_id = c.id JOIN association x ON x.context_id = c.id JOIN execution e ON e.id = x.execution_id
+    WHERE e.id = 35 GROUP BY 1""")
+def _(s: MetadataStore) -> DataFrame:
+    """MRG06, MRG10, MRG11: one uuid's execution, and no stage without executions; an unknown uuid has a status and no rows."""
+    uuid = s.executionproperty.where("name = 'Execution_uuid' AND execution_id = 35").select(F.element_at(F.split("string_value", ","), 1)).first()[0]
+    pipeline = s.association.where("execution_id = 35").join(s.stages.withColumnRenamed("id", "context_id"), "context_id").join(s.pipelines.select(F.col("id").alias("pipeline_id"), F.col("name").alias("pipeline")), "pipeline_id").first()["pipeline"]
+    assert export.pull(s, pipeline, "no such uuid") == (None, "no_exec_uuid") and export.pull(s, "no such pipeline") == (None, "pipeline_not_exist")
+    rows, _ = export.pull(s, pipeline, uuid)
+    return rows.groupBy(F.col("stage.name").alias("stage")).agg(F.count("execution").alias("executions"))
 
 
-_INCOMING = "(SELECT id + 1000000 AS id, name, CASE WHEN id % 3 = 0 THEN md5('new' || id) ELSE md5('x' || id) END || CASE WHEN id % 15 = 0 THEN ',' || md5('y' || id) ELSE '' END AS uuids FROM execution WHERE id % 11 = 0)"
+_INCOMING = "(SELECT id + 1000000 AS id, name, CASE WHEN id % 3 = 0 THEN md5('new' || id) ELSE md5('x' || id) END || CASE WHEN id % 15 = 0 THEN ',' || md5('y' || id) ELSE '' END AS uuids FROM execution)"
 
 
 def _incoming(s: MetadataStore) -> DataFrame:
     i = F.col("id").cast("string")
     uuid = F.when(F.col("id") % 3 == 0, F.md5(F.concat(F.lit("new"), i))).otherwise(F.md5(F.concat(F.lit("x"), i)))
     uuids = F.concat(uuid, F.when(F.col("id") % 15 == 0, F.concat(F.lit(","), F.md5(F.concat(F.lit("y"), i)))).otherwise(""))
-    return s.execution.where("id % 11 = 0").select((F.col("id") + 1000000).alias("id"), "name", uuids.alias("uuids"))
+    return s.execution.select((F.col("id") + 1000000).alias("id"), "name", uuids.alias("uuids"))
 
 
 _KNOWN = "SELECT unnest(string_split(string_value, ',')) AS uuid FROM executionproperty WHERE name = 'Execution_uuid'"
@@ -288,7 +368,7 @@ def _(s: MetadataStore) -> DataFrame:
 @query("mrg09_status", "SELECT 'success' AS status UNION ALL SELECT 'pipeline_not_exist' UNION ALL SELECT 'exists'")
 def _(s: MetadataStore) -> DataFrame:
     incoming, pipelines = _incoming(s), catalog.pipelines(s)
-    known = s.executionproperty.where("name = 'Execution_uuid' AND execution_id % 11 = 0").select(F.col("execution_id").alias("id"), F.lit("").alias("name"), F.col("string_value").alias("uuids"))
+    known = s.executionproperty.where("name = 'Execution_uuid'").select(F.col("execution_id").alias("id"), F.lit("").alias("name"), F.col("string_value").alias("uuids"))
     return merge.status(s, incoming, P, pipelines).union(merge.status(s, incoming, "none", pipelines)).union(merge.status(s, known, P, pipelines))
 
 
@@ -321,10 +401,10 @@ def _(s: MetadataStore) -> DataFrame:
     return merge.insert_absent(s.pipelines.select("id", "name"), new, ["name"])
 
 
-@query("wrt06_link_absent", "SELECT artifact_id, execution_id, type FROM event UNION ALL SELECT a.id, 999999, 3 FROM artifact a WHERE a.id % 100 = 0")
+@query("wrt06_link_absent", "SELECT artifact_id, execution_id, type FROM event UNION ALL SELECT a.id, 999999, 3 FROM artifact a")
 def _(s: MetadataStore) -> DataFrame:
-    again = s.event.where("artifact_id % 100 = 0").select("artifact_id", "execution_id", (F.lit(7) - F.col("type")).alias("type"))
-    new = s.artifact.where("id % 100 = 0").select(F.col("id").alias("artifact_id"), F.lit(999999).cast("long").alias("execution_id"), F.lit(3).alias("type"))
+    again = s.event.select("artifact_id", "execution_id", (F.lit(7) - F.col("type")).alias("type"))
+    new = s.artifact.select(F.col("id").alias("artifact_id"), F.lit(999999).cast("long").alias("execution_id"), F.lit(3).alias("type"))
     return merge.link_absent(s.event.select("artifact_id", "execution_id", "type"), again.union(new))
 
 
@@ -334,14 +414,3 @@ def _(s: MetadataStore) -> DataFrame:
     new = old.where("id % 2 = 0").withColumn("last_update_time_since_epoch", F.col("last_update_time_since_epoch") + 1)
     stale = old.where("id % 2 = 1").withColumns({"name": F.lit("stale"), "last_update_time_since_epoch": F.col("last_update_time_since_epoch") - 1})
     return merge.upsert(old, new.union(stale), ["id"], "last_update_time_since_epoch")
-
-
-@query("mrg01_merge_again", "SELECT (SELECT count(*) FROM context) AS contexts, (SELECT count(*) FROM execution) AS executions, (SELECT count(*) FROM artifact) AS artifacts, (SELECT count(*) FROM event) AS events, (SELECT count(*) FROM executionproperty) AS properties")
-def _(s: MetadataStore) -> DataFrame:
-    """A store merged with itself is what it was."""
-    m = merge.merge_stores(s, s)
-    parts = [m.context.agg(F.count("*").alias("contexts")), m.execution.agg(F.count("*").alias("executions")), m.artifact.agg(F.count("*").alias("artifacts")), m.event.agg(F.count("*").alias("events")), m.executionproperty.agg(F.count("*").alias("properties"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(F.broadcast(p))  # single rows
-    return out

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoint import scratch_path
 from ..functions import times, values
-from ..operators import control, selection
+from ..operators import control, export, selection
 from ..schema import CONTROL_TABLES
 from ..sources import files
 from ..streaming import sync
@@ -104,6 +107,21 @@ def _servers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("server_name"), F.concat(F.lit("host-"), F.col("n_nationkey")).alias("host_info"), F.lit(0).cast("long").alias("last_sync_time"))
 
 
+@table_query("ctl02_deactivated", f"SELECT id, active AND id <> 7 AS active, CASE WHEN id = 7 THEN 'deleted' ELSE 'active' END AS status FROM {_SCHEDULES_SQL}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.deactivate(_schedules(spark, sf_dir), 7).select("id", "active", "status")
+
+
+@table_query("ctl03_manual_sync", "SELECT max(c_custkey) + 1 AS schedule_id, 3 AS server_id, false AS active, 'completed' AS status, true AS one_time, 123 AS run_time_utc, 'success' AS log_status, 'sync_now' AS sync_type FROM customer")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered server's sync is logged, an unknown one's isn't."""
+    logs = spark.createDataFrame([], CONTROL_TABLES["sync_logs"])
+    schedules, logs = control.log_manual_sync(_schedules(spark, sf_dir), logs, _servers(spark, sf_dir), "NATION_3", "host-3", 123, "success", "done")
+    schedules, logs = control.log_manual_sync(schedules, logs, _servers(spark, sf_dir), "NATION_3", "other", 124, "failure", "")
+    s = schedules.select(F.col("id").alias("schedule_id"), "server_id", "active", "status", "one_time")
+    return logs.join(s.withColumnRenamed("status", "state"), "schedule_id").select("schedule_id", "server_id", "active", F.col("state").alias("status"), "one_time", "run_time_utc", F.col("status").alias("log_status"), "sync_type")
+
+
 @table_query("flt32_find_server", "SELECT n_nationkey::BIGINT AS id FROM nation WHERE n_name = 'NATION_3'")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.find_server(_servers(spark, sf_dir), name="NATION_3", host="host-3").select("id")
@@ -146,13 +164,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.most_entropy(_pool(spark, sf_dir), 10).select("id", F.round("score", 6).alias("score"))
 
 
-@table_query("srt11_most_disagreement")
+_ENT = "list_sum(list_transform({0}, lambda x: CASE WHEN x > 0 THEN -x * ln(x) ELSE 0 END))"
+
+
+@table_query("srt11_most_disagreement", f"""SELECT id, round(score, 6) AS score FROM (SELECT id, {_ENT.format("m")} - {_ENT.format("p")} AS score
+    FROM (SELECT id, p, list_transform(range(1, len(p) + 1), lambda i: (p[i] + p[len(p) + 1 - i]) / 2) AS m FROM {_P})) ORDER BY score DESC, id LIMIT 10""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     draws = _pool(spark, sf_dir).withColumn("draws", F.array("p", F.reverse("p")))
     return selection.most_disagreement(draws, 10).select("id", F.round("score", 6).alias("score"))
 
 
-@table_query("srt12_random_pick")
+@table_query("srt12_random_pick", "SELECT vec_id AS id FROM embeddings ORDER BY md5(vec_id::VARCHAR || ':7'), vec_id LIMIT 20")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.random_pick(_pool(spark, sf_dir).select("id"), 20, seed=7)
 
@@ -162,9 +184,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.near_centroids(_pool(spark, sf_dir).select("id", "embedding"), 5)
 
 
-@table_query("srt14_farthest_first")
+_FAR = "SELECT id, v, d FROM {0} ORDER BY d DESC, id LIMIT 1"
+
+
+@table_query("srt14_farthest_first", f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+    d0 AS (SELECT v.id, v.v, min(list_distance(v.v, l.v)) AS d FROM v, v l WHERE l.id IN (0, 1) AND v.id NOT IN (0, 1) GROUP BY ALL), f1 AS ({_FAR.format("d0")}),
+    d1 AS (SELECT d0.id, d0.v, least(d0.d, list_distance(d0.v, f1.v)) AS d FROM d0, f1 WHERE d0.id <> f1.id), f2 AS ({_FAR.format("d1")}),
+    d2 AS (SELECT d1.id, d1.v, least(d1.d, list_distance(d1.v, f2.v)) AS d FROM d1, f2 WHERE d1.id <> f2.id), f3 AS ({_FAR.format("d2")})
+    SELECT 0 AS id, 0 AS nth, NULL AS distance UNION ALL SELECT 1, 0, NULL UNION ALL SELECT id, 1, round(d, 5) FROM f1 UNION ALL SELECT id, 2, round(d, 5) FROM f2 UNION ALL SELECT id, 3, round(d, 5) FROM f3""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.farthest_first(_pool(spark, sf_dir), 6, start=0)
+    return selection.farthest_first(_pool(spark, sf_dir), 3, [0, 1]).withColumn("distance", F.round("distance", 5))
 
 
 @table_query("srt16_label_pool", "SELECT count(*) AS n, 25 AS labeled FROM embeddings")
@@ -275,6 +304,68 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.parse_posts(lines, "urgent")
 
 
+_EVENTS = "SELECT event_id AS \"SequenceNumber\", value AS loss FROM events"
+
+
+@table_query("src06_step_metrics", _EVENTS)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC06, SNK03: step metrics written and read back."""
+    path = scratch_path(spark, "metrics")
+    files.write_metrics(_read(spark, sf_dir, "events").select(F.col("value").alias("loss"), F.col("event_id").alias("SequenceNumber")), path)
+    return files.read_metrics(spark, path)
+
+
+@table_query("src07_data_slice", "SELECT 'part/' || p_partkey AS \"Path\", md5(p_partkey::VARCHAR) AS hash, CASE WHEN p_partkey = 7 THEN 'new' ELSE p_brand END AS brand FROM part")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC07, SNK04, SNK05: a slice written, one record changed, written anew and read back."""
+    rows = _read(spark, sf_dir, "part").select(F.concat(F.lit("part/"), "p_partkey").alias("Path"), F.md5(F.col("p_partkey").cast("string")).alias("hash"), F.col("p_brand").alias("brand"))
+    first, second = scratch_path(spark, "slice"), scratch_path(spark, "slice")
+    files.write_slice(rows.union(rows), first)
+    files.write_slice(files.update_slice(files.read_slice(spark, first), "part/7", {"brand": "new"}), second)
+    return files.read_slice(spark, second)
+
+
+@table_query("src10_read_tsv", "SELECT p_partkey::VARCHAR AS id, p_size AS label, p_name || ' \"x' AS text FROM part")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tsv")
+    _read(spark, sf_dir, "part").select(F.concat_ws("\t", "p_partkey", "p_size", F.concat("p_name", F.lit(' "x'))).alias("value")).write.text(path)
+    return files.read_tsv(spark, path)
+
+
+@table_query("src09_lock_stages", "SELECT 's' || n_nationkey AS stage, 'run ' || n_name AS command, side AS direction, side || '/' || n_nationkey AS path, md5(side || n_nationkey) AS md5 FROM nation, (VALUES ('deps'), ('outs')) AS v(side)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC09, SRC18."""
+    rows = _read(spark, sf_dir, "nation").collect()  # 25 rows: a lock file
+    item = lambda side, k: {"path": f"{side}/{k}", "md5": hashlib.md5(f"{side}{k}".encode()).hexdigest()}
+    lock = {"stages": {f"s{r.n_nationkey}": {"cmd": f"run {r.n_name}", **{side: [item(side, r.n_nationkey)] for side in ("deps", "outs")}} for r in rows}}
+    return files.lock_stages(spark, lock)
+
+
+@table_query("src18_lineage_strings", "SELECT 's' || n_nationkey AS stage, 'run ' || n_name || ',s' || n_nationkey || ',P' AS lineage FROM nation")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lock = {"stages": {f"s{r.n_nationkey}": {"cmd": f"run {r.n_name}", "outs": [{"path": "x", "md5": "y"}]} for r in _read(spark, sf_dir, "nation").collect()}}
+    return files.lineage_strings(files.lock_stages(spark, lock), "P")
+
+
+@table_query("src15_read_objects", "SELECT n_name AS content, count(*) AS n FROM nation GROUP BY 1")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC15, SRC16: objects below nested folders, by key and content."""
+    path = scratch_path(spark, "objects")
+    _read(spark, sf_dir, "nation").select(F.concat(F.lit("k"), "n_nationkey").alias("k"), F.col("n_name").alias("value")).write.partitionBy("k").text(path)
+    rows = files.read_objects(spark, path).where(F.col("key").like("k=%/part-%"))
+    return rows.select(F.trim(F.regexp_replace(F.decode("content", "UTF-8"), "\n", "")).alias("content")).groupBy("content").agg(F.count("*").alias("n"))
+
+
+@table_query("agg14_transfer_counts", "SELECT count(*) AS total, count(*) FILTER (p_partkey % 3 = 0) AS ok, count(*) FILTER (p_partkey % 3 <> 0) AS failed FROM part")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.transfer_counts(_read(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 3 == 0, "ok").otherwise("missing").alias("state")))
+
+
+@table_query("jsn04_records", "SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS value FROM nation")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.rows_json(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
 @table_query("agg18_tf_idf")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"))

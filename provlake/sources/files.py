@@ -91,14 +91,19 @@ def lock_stages(spark: SparkSession, lock: dict) -> DataFrame:
     return spark.createDataFrame(rows, "stage string, command string, direction string, path string, md5 string")
 
 
+def lineage_strings(stages: DataFrame, pipeline: str) -> DataFrame:
+    """SRC18: of each stage of a lock file its lineage string: command, stage and pipeline, joined by commas."""
+    return stages.select("stage", F.concat_ws(",", "command", "stage", F.lit(pipeline)).alias("lineage")).distinct()
+
+
 def read_lock(spark: SparkSession, path: str) -> DataFrame:
     """SRC09 from a YAML file, where a YAML library is installed."""
     try:
         import yaml
     except ModuleNotFoundError as e:
         raise RuntimeError("reading lock files takes the yaml package") from e
-    with open(path) as f:
-        return lock_stages(spark, yaml.safe_load(f))
+    text = spark.read.text(path, wholetext=True).first()[0]
+    return lock_stages(spark, yaml.safe_load(text))
 
 
 def union_servers(stores: dict[str, DataFrame]) -> DataFrame:

@@ -83,5 +83,5 @@ def best_so_far(metrics: DataFrame, trial: str = "trial", metric: str = "metric"
 
 
 def incremental_payload(store: MetadataStore, since: int | None) -> DataFrame:
-    """STM01, MRG12: the nested payload of what changed."""
-    return export.payload(store, since=since)
+    """STM01, MRG12: the payload of what changed, one row for each execution."""
+    return export.payload_rows(store, since=since)

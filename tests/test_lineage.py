@@ -95,7 +95,7 @@ def test_random_graphs(spark):
 def test_round_trip_and_merge(spark, example):
     nested = export.read_json(export.to_json(export.payload(example)))
     assert export.flat_events(nested).count() == 14
-    assert [r.name for r in export.environments(nested).collect()] == ["env"]
+    assert [r.name for r in export.environments(example, "P").collect()] == ["env"]
     other = make(spark, [(1, "P/Train", "cccc-1,cccc-2"), (2, "P/New", "eeee-1")], [(1, "Model", "a/model.pkl:55ee:3"), (2, "Dataset", "b/x:1")], [(1, 1, 4), (2, 2, 4)])
     other.tables["artifact"] = other.artifact.withColumn("uri", F.when(F.col("id") == 1, "uri6").otherwise("uriX"))
     merged = merge.merge_stores(example, other)
@@ -116,6 +116,7 @@ def test_new_executions(spark, example):
 def test_incremental(example):
     rows = export.payload(example, since=300).select(F.explode("stages").alias("s")).select(F.explode("s.executions").alias("e")).collect()
     assert [r.e.id for r in rows] == [4]  # strictly after
+    assert [r.execution.id for r in sync.incremental_payload(example, 300).collect()] == [4]
     assert sync.changed(example, 300, inclusive=True).count() == 2
     _, status, checkpoint = sync.sync_once(lambda: example, example, 10_000, 20_000)
     assert (status, checkpoint) == ("exists", 10_000)
@@ -173,7 +174,7 @@ def test_store_on_disk(spark, example, tmp_path):
     assert back.event.count() == 14 and back.stages.count() == 4
     assert export.flat_events(export.payload(back)).count() == 14
     export.write_json(example, str(tmp_path / "json"))
-    assert export.flat_events(export.read_json(spark.read.text(str(tmp_path / "json")))).count() == 14
+    assert export.row_events(export.read_rows(spark.read.text(str(tmp_path / "json")))).count() == 14
 
 
 def test_stream_upserts(spark, tmp_path):
@@ -199,4 +200,4 @@ def test_disagreement_and_farthest(spark):
     pool = spark.createDataFrame([(1, [[0.9, 0.1], [0.1, 0.9]]), (2, [[0.5, 0.5], [0.5, 0.5]])], "id long, draws array<array<double>>")
     assert [r.id for r in selection.most_disagreement(pool, 1).collect()] == [1]
     points = spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [10.0]), (3, [5.0])], "id long, embedding array<double>")
-    assert [r.id for r in selection.farthest_first(points, 3, 0).orderBy("nth").collect()] == [0, 2, 3]
+    assert [r.id for r in selection.farthest_first(points, 2, 0).orderBy("nth").collect()] == [0, 2, 3]
