@@ -1,18 +1,30 @@
-"""Main text of web pages: markup first, then host suffix arrays for what markup leaves open.
+"""Main text of web pages: a host's suffix array and markup.
 
-A page's blocks are read by one pass over its tags. Where a page marks its article (article, main, or a role of that
-name), the blocks inside it are the main text, less menus, forms, adverts, notices, comments and the like inside it; what
-repeats across pages there is the author's text and stays. Everything outside is the page's frame.
+A page is read once into blocks. Markup says what a block is for certain: frame (menus, headers, footers, sidebars, forms,
+hidden parts, and elements whose class or id names an advert, notice or comments and nothing else), article (inside article
+or main, or a role of that name), or open. In an article, a class that names a frame among other things, such as
+share-price or search-methods, is a weak hint.
 
-Pages that mark no article are left to the host's suffix array: the token streams of all of a host's pages outside marked
-articles are concatenated, and a suffix that shares its first RUN tokens with a suffix of another page lies in a long
-repeated substring. Covered tokens are boilerplate; the runs that remain are the text. Only the order up to RUN tokens
-matters for this, so neighbours in the array are found by grouping suffixes by host and first RUN tokens, with partial
-aggregates before the shuffle: no host's array is held by one task, and a prefix that all pages share is one row a task.
+Everything outside articles, and blocks of weak hints, are the page's token stream, and the streams of all of a host's
+pages go to its suffix array. A token is covered if it lies in a substring of RUN tokens or more that a page of other
+content has too. The array decides what markup leaves open:
 
-Defined results: null and empty html give the empty text; unclosed and stray tags are allowed; an unclosed frame element
-ends with its parent; repeated rows come back once each and aren't distinct pages; a null url is a host of its own; an
-empty table gives an empty table; other columns are ignored.
+* On a page that marks no article, covered tokens are boilerplate; the unique runs of open blocks are the text.
+* A page's open text is its text, too, where more of it is unique than there is in its articles, which then are teasers or
+  comments.
+* A block of a weak hint is boilerplate if at least half of it is covered.
+
+Text in marked articles that carries no hint stays even if other pages have it: that is the author's.
+
+The maximal repeats of a suffix array that have RUN tokens or more cover the same tokens as the repeats of just RUN
+tokens. So suffixes are compared to that depth only, and neighbours in the array are found by grouping suffixes by host
+and first RUN tokens, with partial aggregates before the shuffle: no host's array is held by one task, and a prefix that
+all pages share is one row a task.
+
+Defined results: null and empty html give the empty text; unclosed and stray tags, and unclosed quotes, are allowed; an
+unclosed frame element ends with its parent; repeated rows, and copies of a page under other ids or urls, are one page to
+the array and come back once each; a null url is a host of its own; an empty table gives an empty table; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +44,7 @@ RUN = 8
 
 # Fixed values of HTML: elements that end a block, that hold no text of the page, and that never close.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody tfoot thead title tr ul".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
+RAW = frozenset("script style textarea title template iframe xmp noembed noframes svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FRAME = frozenset("nav footer aside form menu dialog head button select datalist fieldset".split())
 #: Words of class, id and role that name a frame element.
@@ -41,39 +53,48 @@ HINTS = frozenset(
     " footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended"
     " comment comments commentlist respond replies disqus widget complementary contentinfo".split()
 )
-#: In an article, its own header holds its heading.
-ARTICLE_HINTS = HINTS - {"header"}
+#: Words that say nothing about what an element is for.
+PLAIN = frozenset("main top bottom left right inner outer box bar block list item items area section container wrapper wrap holder unit slot panel group row col column page site global primary secondary content body text links link button buttons icon icons form field new js".split())
 
 _TAG = re.compile(
     r"<(?:"
-    r"(/?)([a-zA-Z][^\s/>]*)((?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?/?)(?:>|\Z)"
+    r"(/?)([a-zA-Z][^\s/>]*)((?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)?/?)(?:>|\Z)"
     r"|!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z))",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CARES = re.compile(r"\b(?:class|id|role|hidden)\b", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
-_NONE: set[str] = set()
+ARTICLE, OPEN, FRAMED, WEAK = "a", "o", "f", "w"
 
 
-def _hints(attributes: str) -> tuple[set[str], bool, bool]:
-    """The words of class, id and role; whether the element is hidden; whether its role is that of an article."""
+def _hints(attributes: str, inside: bool) -> tuple[str, bool]:
+    """What class, id and role say of an element, FRAMED, WEAK or nothing; and whether its role is that of an article."""
     found = {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     role = found.get("role", "").lower()
-    words = set(_NAME.findall(" ".join((found.get("class", ""), found.get("id", ""), role)).lower()))
-    return words, "hidden" in found or found.get("aria-hidden") == "true", role in ("main", "article")
-
-
-def blocks(html: str | None) -> tuple[list[tuple[str, bool, bool]], bool]:
-    """The page's blocks in order (text, whether it lies in a marked article, whether markup makes it frame), and whether the page marks an article."""
-    out: list[tuple[str, bool, bool]] = []
+    if "hidden" in found or found.get("aria-hidden") == "true":
+        return FRAMED, False
+    said = ""
+    for token in f"{found.get('class', '')} {found.get('id', '')} {role}".lower().split():
+        words = set(_NAME.findall(token))
+        hints = words & HINTS - ({"header"} if inside else set())  # in an article, its own header holds its heading
+        if hints:
+            said = FRAMED if words - hints <= PLAIN else said or WEAK
+        if said == FRAMED:
+            break
+    return said, role in ("main", "article")
+
+
+def blocks(html: str | None) -> tuple[list[tuple[str, str]], bool]:
+    """The page's blocks in order (region, text), and whether the page marks an article."""
+    out: list[tuple[str, str]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, in an article, frame
-    inside = frame = any_marked = False
+    stack: list[tuple[str, bool, str]] = []  # open elements: name, in an article, what it is
+    inside, kind, any_marked = False, "", False
 
     def flush() -> None:
         if said := " ".join(unescape("".join(text)).split()):
-            out.append((said, inside, frame))
+            out.append((kind if kind == FRAMED or kind == WEAK and inside else ARTICLE if inside else OPEN, said))
         text.clear()
 
     at, html = 0, html or ""
@@ -103,12 +124,12 @@ def blocks(html: str | None) -> tuple[list[tuple[str, bool, bool]], bool]:
                 continue
             if text and not block:  # an inline element that is frame ends its own block
                 flush()
-            inside, frame = stack[-1][1:] if stack else (False, False)
+            inside, kind = stack[-1][1:] if stack else (False, "")
             continue
         if block:
             while stack and (stack[-1][0] == "p" or stack[-1][0] == name == "li"):  # an open paragraph ends here
                 stack.pop()
-            inside, frame = stack[-1][1:] if stack else (False, False)
+            inside, kind = stack[-1][1:] if stack else (False, "")
         elif name in ("br", "td", "th"):
             text.append(" ")
         attributes = m[3]
@@ -118,15 +139,19 @@ def blocks(html: str | None) -> tuple[list[tuple[str, bool, bool]], bool]:
             continue
         if name in VOID or attributes.endswith("/"):
             continue
-        words, hidden, marked = _hints(attributes) if attributes and _CARES.search(attributes) else (_NONE, False, False)
+        said, marked = _hints(attributes, inside) if attributes and _CARES.search(attributes) else ("", False)
         opens = marked or name in ("article", "main")
-        any_marked |= opens
-        framed = frame or hidden or name in FRAME or (name == "header" and not inside) or bool(words and not opens and name not in ("html", "body") and words & (ARTICLE_HINTS if inside else HINTS))
-        if block or framed != frame:
+        if kind == FRAMED or name in FRAME or (name == "header" and not inside):
+            said = FRAMED
+        elif name in ("html", "body"):
+            said = kind
+        said = said or kind
+        any_marked |= opens and said != FRAMED
+        if block or said != kind:
             if text:
                 flush()
-            stack.append((name, inside or opens, framed))
-            inside, frame = inside or opens, framed
+            stack.append((name, inside or (opens and said != FRAMED), said))
+            inside, kind = stack[-1][1:]
     if at < len(html):
         text.append(html[at:])
     if text:
@@ -134,70 +159,89 @@ def blocks(html: str | None) -> tuple[list[tuple[str, bool, bool]], bool]:
     return out, any_marked
 
 
-FRAMES = T.StructType([T.StructField("marked", T.BooleanType()), T.StructField("frame", T.ArrayType(T.StringType())), T.StructField("block", T.ArrayType(T.IntegerType()))])
-ARTICLE = T.StructType([T.StructField("marked", T.BooleanType()), T.StructField("text", T.StringType())])
+PAGE = T.StructType(
+    [
+        T.StructField("article", T.StringType()),  # the text of marked articles, less weak hints
+        T.StructField("stream", T.ArrayType(T.StringType())),  # the tokens of all other blocks
+        T.StructField("asks", T.BooleanType()),  # whether the array decides
+        T.StructField("regions", T.ArrayType(T.StringType())),  # of the blocks, where it does
+        T.StructField("texts", T.ArrayType(T.StringType())),
+    ]
+)
 
 
-@F.pandas_udf(FRAMES)
-def _frames(htmls: pd.Series) -> pd.DataFrame:
-    """What lies outside marked articles: tokens, and the number of each token's block (-1: markup makes it frame)."""
-    rows = []
-    for found, marked in map(blocks, htmls):
-        tokens = [(w, -1 if frame else k) for k, (t, inside, frame) in enumerate(found) if not inside for w in t.split(" ")]
-        rows.append((marked, [w for w, _ in tokens], [k for _, k in tokens]))
-    return pd.DataFrame(rows, columns=FRAMES.names)
+def read_page(html: str | None) -> tuple:
+    found, marked = blocks(html)
+    size = lambda region: sum(t.count(" ") + 1 for r, t in found if r == region)
+    stream = [w for r, t in found if r != ARTICLE for w in t.split(" ")]
+    asks = any(r == WEAK for r, _ in found) or size(OPEN) > size(ARTICLE)
+    article = "" if asks else "\n".join(t for r, t in found if r == ARTICLE)
+    return article, stream, asks, [r for r, _ in found] if asks else None, [t for _, t in found] if asks else None
 
 
-@F.pandas_udf(ARTICLE)
-def _article(htmls: pd.Series) -> pd.DataFrame:
-    """The text of the marked articles."""
-    return pd.DataFrame([(marked, "\n".join(t for t, inside, frame in found if inside and not frame)) for found, marked in map(blocks, htmls)], columns=ARTICLE.names)
+@F.pandas_udf(PAGE)
+def _read(htmls: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([read_page(h) for h in htmls], columns=PAGE.names)
 
 
-_frames, _article = _frames.asNondeterministic(), _article.asNondeterministic()  # so that no filter copies them
+_read = _read.asNondeterministic()  # so that no filter copies it
+
+
+def decide(regions: list[str], texts: list[str], starts: list[int], run: int) -> str:
+    """The text of a page whose substrings of `run` tokens from these starts of its stream are repeated."""
+    covered = {i for s in starts for i in range(s, s + run)}
+    at, article, unique, sizes = 0, [], [], {ARTICLE: 0, OPEN: 0}
+    for region, text in zip(regions, texts, strict=True):
+        words = text.split(" ")
+        if region == ARTICLE:
+            article.append(text)
+            sizes[ARTICLE] += len(words)
+            continue
+        own = [w for k, w in enumerate(words, at) if k not in covered]
+        at += len(words)
+        if region == WEAK and 2 * len(own) > len(words):
+            article.append(text)
+            sizes[ARTICLE] += len(words)
+        elif region == OPEN and own:
+            unique.append(" ".join(own))
+            sizes[OPEN] += len(own)
+    return "\n".join(unique if sizes[OPEN] > sizes[ARTICLE] else article)
 
 
 @F.pandas_udf(T.StringType())
-def _unique_runs(tokens: pd.Series, block: pd.Series, covered: pd.Series, run: pd.Series) -> pd.Series:
-    """The open blocks of a page, without tokens that a repeated substring covers."""
-    out = []
-    for words, numbers, starts, n in zip(tokens, block, covered, run, strict=True):
-        gone = {i for s in (starts if starts is not None else ()) for i in range(s, s + n)}
-        lines: dict[int, list[str]] = {}
-        for i, (w, k) in enumerate(zip(words, numbers, strict=True)):
-            if k >= 0 and i not in gone:
-                lines.setdefault(k, []).append(w)
-        out.append("\n".join(" ".join(x) for x in lines.values()))
-    return pd.Series(out, dtype=object)
+def _decided(regions: pd.Series, texts: pd.Series, starts: pd.Series, run: pd.Series) -> pd.Series:
+    return pd.Series([decide(r, t, s if s is not None else [], n) for r, t, s, n in zip(regions, texts, starts, run, strict=True)], dtype=object)
 
 
 def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def suffixes(frames: DataFrame, run: int = RUN) -> DataFrame:
-    """(host, page, start, prefix): the suffixes of the pages' frame tokens, each by its first `run` tokens."""
-    starts = F.expr(f"sequence(1, size(frame) - {run - 1})")
-    rows = frames.where(F.size("frame") >= run).select("host", "page", "frame", F.explode(starts).alias("at"))
-    return rows.select("host", "page", (F.col("at") - 1).alias("start"), F.array_join(F.slice("frame", F.col("at"), run), " ").alias("prefix"))
+def suffixes(pages: DataFrame, run: int = RUN) -> DataFrame:
+    """(host, page, start, prefix): the suffixes of the pages' streams, each by its first `run` tokens."""
+    starts = F.expr(f"sequence(1, size(stream) - {run - 1})")
+    rows = pages.where(F.size("stream") >= run).select("host", "page", "stream", F.explode(starts).alias("at"))
+    return rows.select("host", "page", (F.col("at") - 1).alias("start"), F.array_join(F.slice("stream", F.col("at"), run), " ").alias("prefix"))
 
 
 def repeated(all_suffixes: DataFrame) -> DataFrame:
-    """(host, prefix) of neighbours in the host's suffix array that come from distinct pages."""
+    """(host, prefix) of neighbours in the host's suffix array that come from pages of different content."""
     return all_suffixes.groupBy("host", "prefix").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a < b").select("host", "prefix")
 
 
+def covered(pages: DataFrame, run: int = RUN) -> DataFrame:
+    """(host, page, starts) of the pages that ask: where in their streams repeated substrings of `run` tokens begin."""
+    asking = suffixes(pages.where("asks").dropDuplicates(["host", "page"]), run)
+    return asking.join(repeated(suffixes(pages, run)), ["host", "prefix"], "left_semi").groupBy("host", "page").agg(F.collect_list("start").alias("starts"))
+
+
 def main_text(pages: DataFrame, run: int = RUN) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    The frames go to a scratch table, which serves the suffix array and the pages that mark no article; the articles are
-    read in a second pass over the pages, so their text is never shuffled nor written before the result.
+    What the one pass over the html finds goes to a scratch table; only pages that ask the array meet it in a join.
     """
-    rows = pages.select("page_id", "url", host_of("url").alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), _frames("html").alias("p"))
-    rows = materialize(rows.select("page_id", "url", "host", "page", "p.*"), "frames")
-    left = rows.where(~F.col("marked"))
-    covered = suffixes(left, run).join(repeated(suffixes(rows, run)), ["host", "prefix"], "left_semi").groupBy("page").agg(F.collect_set("start").alias("covered"))
-    left = left.join(covered, "page", "left").withColumn("text", _unique_runs("frame", "block", "covered", F.lit(run)))
-    marked = pages.select("page_id", "url", _article("html").alias("a")).where("a.marked").select("page_id", "url", "a.text")
-    both = marked.unionByName(left.select("page_id", "url", "text"))
+    rows = pages.select("page_id", "url", host_of("url").alias("host"), _read("html").alias("p")).select("page_id", "url", "host", "p.*")
+    rows = materialize(rows.withColumn("page", F.xxhash64("stream")), "pages", compression="zstd")
+    asking = rows.where("asks").join(covered(rows, run), ["host", "page"], "left").withColumn("text", _decided("regions", "texts", "starts", F.lit(run)))
+    both = rows.where("NOT asks").select("page_id", "url", F.col("article").alias("text")).unionByName(asking.select("page_id", "url", "text"))
     return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -482,8 +482,60 @@ def test_html_without_article(spark):
     shared = "read all about our great site and its many other pages here today"
     page = lambda own: f"<body><div>{shared}</div><nav>unique menu</nav><p>{own}<div>{shared} too</div></body>"
     rows = [(1, "http://a.org/1", page("first story &amp; more")), (2, "http://a.org/2", page("second story")), (3, "http://b.org/1", page("alone"))]
-    rows += [(4, "http://a.org/3", None), (None, None, ""), (5, "http://a.org/4", f"<article><p>{shared}<div class='comments'>no</div><p>end</article><footer>f"), (6, "http://a.org/5", "<article></article>x")]
+    rows += [(4, "http://a.org/3", None), (None, None, ""), (5, "http://a.org/4", f"<article><p>{shared}<div class='comments'>no</div><p>end</article><footer>f"), (6, "http://a.org/5", "<article></article><nav>x")]
+    rows += [(7, "http://c.org/1", page("a copy")), (8, "http://c.org/2", page("a copy")), (7, "http://c.org/1", page("a copy"))]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, stream string, page int")
+    got = html_text.main_text(pages)
+    alone = lambda t: f"{shared}\n{t}\n{shared} too"
+    assert {r.page_id: r.text for r in got.collect()} == {1: "first story & more", 2: "second story", 3: alone("alone"), 4: "", None: "", 5: f"{shared}\nend", 6: "", 7: alone("a copy"), 8: alone("a copy")}
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and got.count() == len(rows)
+    assert html_text.main_text(pages.limit(0)).count() == 0
+
+
+def test_html_array_decides(spark):
+    """Weak hints, and articles that are only teasers, by what other pages of the host repeat; without the array the results differ."""
+    share = "share this page with all of your friends and colleagues now"
+    weak = lambda k: f"<article><p>text {k} of the story goes here</p><div class='share-tools'>{share}</div><section id='search-methods'>method {k} has a{k} and b{k} as its own</section><p>end</article>"
+    teaser = lambda k: f"<div>{' '.join(f'own{k}w{i}' for i in range(40))}</div><article>read more</article><div>{share} from {share}</div>"
+    rows = [(k, f"http://a.org/{k}", weak(k)) for k in (1, 2)] + [(k, f"http://a.org/{k}", teaser(k)) for k in (3, 4)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
-    assert got == {1: "first story & more", 2: "second story", 3: f"{shared}\nalone\n{shared} too", 4: "", None: "", 5: f"{shared}\nend", 6: ""}
-    assert html_text.main_text(pages.limit(0)).count() == 0
+    assert got[1] == "text 1 of the story goes here\nmethod 1 has a1 and b1 as its own\nend"
+    assert got[3] == " ".join(f"own3w{i}" for i in range(40))
+    without = {r.page_id: r.text for r in html_text.main_text(pages, run=1000).collect()}
+    assert share in without[1] and share in without[3]
+
+
+def brute_covered(streams, run):
+    """Tokens in common substrings of a sorted suffix array's neighbours from pages of different content."""
+    suffixes = sorted((s[i:], k, i) for k, s in enumerate(streams) for i in range(len(s)))
+    hit = set()
+    for a in range(len(suffixes)):
+        for b in range(a + 1, len(suffixes)):
+            (x, k, i), (y, m, j) = suffixes[a], suffixes[b]
+            n = next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+            if n < run:
+                break
+            if streams[k] != streams[m]:
+                hit |= {(k, i + d) for d in range(n)} | {(m, j + d) for d in range(n)}
+    return hit
+
+
+def test_html_suffix_array(spark):
+    import random
+
+    rnd = random.Random(6)
+    streams = [[rnd.choice("abc") for _ in range(rnd.randint(0, 40))] for _ in range(12)]
+    streams += [streams[3], streams[4] + ["z"]]
+    rows = spark.createDataFrame([("h", k, s, True) for k, s in enumerate(streams)], "host string, k int, stream array<string>, asks boolean").withColumn("page", F.xxhash64("stream"))
+    for run in (4, 6):
+        found = {r.k: r.starts for r in rows.join(html_text.covered(rows, run), ["host", "page"]).collect()}
+        assert {(k, i) for k, starts in found.items() for s in starts for i in range(s, s + run)} == brute_covered(streams, run)
+
+
+def test_html_markup():
+    text = lambda html: html_text.decide(*(lambda f: ([r for r, _ in f], [t for _, t in f]))(html_text.blocks(html)[0]), [], 8)
+    assert text('<article><div class="x>two') == "two"
+    assert text("<article>a <noscript>b</noscript> <math>x = 1</math> <b class='ad'>no</b> c</article>") == "a b x = 1\nc"
+    assert text("<article><header><h1>T</h1></header><div class='share-price'>up</div><div id='ad-box'>no</div><div class='comments list'>no</div><p>x<script>no</script>y</article><p>out") == "T\nup\nxy"
+    assert text("<article>" + "w " * 300_000 + "</article>").count("w") == 300_000
