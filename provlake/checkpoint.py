@@ -43,7 +43,4 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None):
         shared_folder(spark)
         _checkpoints(spark.sparkContext)
-    held = df.persist()  # else the checkpoint's job computes df again
-    out = held.checkpoint()
-    held.unpersist()
-    return out
+    return df.checkpoint()  # which computes df once
