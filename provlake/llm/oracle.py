@@ -27,7 +27,7 @@ _QUARTILES = """
 SELECT {by} measure, docs,
   CASE WHEN b1 < 32 THEN b1 ELSE (b1 - (b1 // 16 - 1) * 16) << (b1 // 16 - 1)::INT END AS q1,
   CASE WHEN b2 < 32 THEN b2 ELSE (b2 - (b2 // 16 - 1) * 16) << (b2 // 16 - 1)::INT END AS q2,
-  CASE WHEN b3 < 32 THEN b3 ELSE (b3 - (b3 // 16 - 1) * 16) << (b3 // 16 - 1)::INT END AS q3
+  CASE WHEN b3 < 31 THEN b3 ELSE ((b3 + 1 - ((b3 + 1) // 16 - 1) * 16) << ((b3 + 1) // 16 - 1)::INT) - 1 END AS q3
 FROM (SELECT {by} measure, max(docs) AS docs, min(CASE WHEN 4 * upto >= docs THEN bucket END) AS b1,
     min(CASE WHEN 4 * upto >= 2 * docs THEN bucket END) AS b2, min(CASE WHEN 4 * upto >= 3 * docs THEN bucket END) AS b3
   FROM (SELECT *, sum(n) OVER (PARTITION BY {by} measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by} measure) AS docs

@@ -132,12 +132,17 @@ def sketch(counted: DataFrame) -> DataFrame:
 
 
 def _quartiles(sketches: DataFrame, *by: str) -> DataFrame:
-    """Q1, Q2, Q3 and the number of documents of each measure in the groups that `by` names."""
+    """Q1, Q2, Q3 and the number of documents of each measure in the groups that `by` names.
+
+    Q1 and Q2 are the least values of their buckets, Q3 is the largest of its bucket, so Q3 - Q1 is never less than the
+    distance between the quartiles themselves.
+    """
     merged = sketches.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "measure")
     upto = merged.withColumns({"upto": F.sum("n").over(w.orderBy("bucket")), "docs": F.sum("n").over(w)})
-    at = lambda k: bucket_floor(F.min(F.when(4 * F.col("upto") >= k * F.col("docs"), F.col("bucket"))))
-    return upto.groupBy(*by, "measure").agg(*(at(k).alias(f"q{k}") for k in (1, 2, 3)), F.max("docs").alias("docs"))
+    at = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("docs"), F.col("bucket")))
+    low, high = bucket_floor, lambda b: bucket_floor(b + 1) - 1
+    return upto.groupBy(*by, "measure").agg(*(f(at(k)).alias(f"q{k}") for k, f in ((1, low), (2, low), (3, high))), F.max("docs").alias("docs"))
 
 
 def _drawn(own: DataFrame, parent: DataFrame, on: list[str]) -> DataFrame:
