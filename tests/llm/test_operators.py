@@ -89,7 +89,7 @@ def test_rules_follow_their_groups(spark, data):
 def test_rules_in_one_bucket(spark):
     """Documents whose measure lies in one bucket of the sketch, at its top or bottom, all stay."""
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.substring(F.md5(F.concat(i.cast("string"), F.lit("-"), F.col("id").cast("string"))), 1, 5)), " ").alias("text"), F.lit("x").alias("lang"), F.lit("s").alias("source"))
-    docs = docs.withColumn("text", F.concat("text", F.repeat(F.lit("y"), (F.col("id") % 20).cast("int"))))
+    docs = docs.withColumn("text", F.concat("text", F.repeat(F.lit("y"), (F.col("doc_id") % 20).cast("int"))))
     assert quality_rules.keep_good(docs).count() == 400
 
 
