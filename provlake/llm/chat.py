@@ -65,11 +65,12 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         )
     )
     rows = rows.select("conv_id", pieces.alias("pieces"))
-    mask = """aggregate(pieces, named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,chars:int>>)),
-        (acc, p) -> named_struct('at', acc.at + length(p.piece),
-            'spans', if(p.loss, array_append(acc.spans, named_struct('start', acc.at, 'chars', length(p.piece))), acc.spans)),
-        acc -> acc.spans)"""
-    return rows.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), F.expr(mask).alias("mask"))
+    # where each piece ends: running sums by doubling steps, so that a long conversation costs n log n
+    ends = """aggregate(sequence(0, length(bin(size(pieces)))), transform(pieces, p -> length(p.piece)),
+        (sums, k) -> transform(sums, (x, i) -> x + coalesce(get(sums, i - shiftleft(1, k)), 0)))"""
+    spans = F.zip_with("pieces", F.expr(ends), lambda p, end: F.struct((end - F.length(p["piece"])).alias("start"), F.length(p["piece"]).alias("chars"), p["loss"].alias("loss")))
+    mask = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["chars"].alias("chars")))
+    return rows.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), mask.alias("mask"))
 
 
 def read_turns(formatted: Column) -> Column:
