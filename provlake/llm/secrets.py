@@ -81,19 +81,22 @@ def beside(docs: DataFrame, path: str = "source", found: str | None = None) -> D
     literal = F.regexp_replace("value", "([^A-Za-z0-9])", r"\\$1")
     rows = rows.select("doc_id", "hash", "value", "path", F.split("text", literal, -1).alias("parts"))
     near = BESIDE // 8 + 1
-    rows = rows.select(
-        "doc_id", "hash", "value", "path", (F.size("parts") - 1).alias("places"),
-        F.transform("parts", lambda p: F.right(F.regexp_replace(p, r"(\s{3})\s++", "$1"), F.lit(BESIDE))).alias("ends"),
-        F.transform("parts", lambda p: F.left(p, F.lit(BESIDE))).alias("starts"),
-    )
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1), "places")).alias("place"))
-    lefts = F.slice("ends", F.greatest(F.lit(1), F.col("place") - near + 1), F.least(F.lit(near), "place"))
-    rights = F.slice("starts", F.col("place") + 1, F.lit(near))
-    return rows.select(
-        "doc_id", "hash", "value", "path", "places", "place",
-        F.right(F.call_function("array_join", lefts, F.right("value", F.lit(BESIDE))), F.lit(BESIDE)).alias("left"),
-        F.left(F.call_function("array_join", rights, F.left("value", F.lit(BESIDE))), F.lit(BESIDE)).alias("right"),
-    )
+    ends = F.transform("parts", lambda p: F.right(F.regexp_replace(p, r"(\s{3})\s++", "$1"), F.lit(BESIDE))).alias("ends")
+    starts = F.transform("parts", lambda p: F.left(p, F.lit(BESIDE))).alias("starts")
+
+    def sides(parts: Column, place: Column) -> Column:
+        lefts = F.slice(parts["ends"], F.greatest(F.lit(1), place - near + 1), F.least(F.lit(near), place))
+        rights = F.slice(parts["starts"], place + 1, F.lit(near))
+        return F.struct(
+            place.alias("place"),
+            F.right(F.call_function("array_join", lefts, F.right("value", F.lit(BESIDE))), F.lit(BESIDE)).alias("left"),
+            F.left(F.call_function("array_join", rights, F.left("value", F.lit(BESIDE))), F.lit(BESIDE)).alias("right"),
+        )
+
+    places = F.size("parts") - 1
+    # an array of one struct, so that the parts are made once, and only two short strings go on with each place
+    seen = F.transform(F.array(F.struct(ends, starts)), lambda parts: F.transform(F.sequence(F.lit(1), places), lambda place: sides(parts, place)))
+    return rows.select("doc_id", "hash", "value", "path", places.alias("places"), F.inline(seen[0]))
 
 
 def _classes(value: str) -> Column:
