@@ -1,11 +1,13 @@
 """The whole pipeline beside a plain version of its stages, on a small table."""
 
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from provlake.llm import common, queries
+from provlake.llm import common, quality_rules, queries
 
 from test_operators import brute_components, brute_fingerprint, brute_hits, lower, reference_encoding  # noqa: F401
 
@@ -34,18 +36,86 @@ def brute_clean(text, items):
         text = "\n".join([*out, text[done:]])
 
 
+def brute_rest(texts, items):
+    """What the stages after the first leave of texts (key -> text): the smallest key of each component, with its text."""
+    roots, want = brute_components({i: brute_fingerprint(t) for i, t in texts.items()}), {}
+    for i in set(roots.values()):
+        text = brute_clean(texts[i], items)
+        if text is not None:
+            want[i] = re.sub(r'(?i)(token\s*=\s*")[0-9a-f]{40}(")', r"\1[SECRET]\2", text)
+    return want
+
+
 def test_pipeline(spark, data, duck, documents, reference_encoding):  # noqa: F811
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality rules", "SimHash near-dedup", "benchmark decontamination", "secret scans", "byte-level BPE"]
     kept = {i for (i,) in duck.execute(f"SELECT doc_id FROM ({queries.ORACLE['op1_quality_rules']}) WHERE kept").fetchall()}
-    roots = brute_components({i: brute_fingerprint(documents[i]) for i in kept})
     items = [(r.item_id, re.findall(WORD, lower(r.text or ""))) for r in common.table(spark, data, "benchmark").collect()]
-    want = {}
-    for i in set(roots.values()):
-        text = brute_clean(documents[i], items)
-        if text is not None:
-            want[i] = re.sub(r'(?i)(token\s*=\s*")[0-9a-f]{40}(")', r"\1[SECRET]\2", text)
+    want = brute_rest({i: documents[i] for i in kept}, items)
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, data).collect()}
     assert set(got) == set(want)
     for i, text in want.items():
         assert got[i].ids == reference_encoding.encode_ordinary(text) and got[i].decodes
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, data, documents, tmp_path_factory):
+    """The tables with odd rows among them: nulls in every column, empty and very long texts, repeated rows, extra columns with names that stages use inside."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    usual = [r.asDict() for r in common.table(spark, data, "documents").collect()]
+    full = [r for r in usual if r["text"] and len(r["text"].split()) > 120]
+    own = lambda k: " ".join(f"{w}{chr(97 + (k + i // 50) % 26)}" for i, w in enumerate(full[k]["text"].split()))
+    pool = [w for r in full if (r["lang"], r["source"]) == (full[4]["lang"], full[4]["source"]) for w in r["text"].split()]
+    long = " ".join(random.Random(4).choices(pool, k=120_000))
+    rows = usual + [dict(full[0]), dict(full[0])]  # repeated rows
+    rows += [full[1] | {"doc_id": None}, full[2] | {"doc_id": None, "text": own(2)}, full[2] | {"doc_id": None, "text": own(2)}]
+    rows += [full[3] | {"doc_id": 10**9, "text": own(3), "lang": None, "source": None, "n_chars": None}, full[4] | {"doc_id": 10**9 + 1, "text": long}]
+    rows += [dict.fromkeys(usual[0]), full[5] | {"doc_id": 10**9 + 2, "text": None}, full[5] | {"doc_id": 10**9 + 3, "text": ""}, full[5] | {"doc_id": 10**9 + 4, "text": " \n\t"}]
+    extra = dict(kept="k", fp="f", comp="c", rank="r", value="v", hash="h", spans="s", ids="i", bytes="b")
+    schema = common.table(spark, data, "documents").schema.simpleString().removeprefix("struct<").removesuffix(">")
+    spark.createDataFrame([tuple(r.values()) + tuple(extra.values()) for r in rows], ",".join([schema, *(f"{c}:string" for c in extra)])).coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    bench = common.table(spark, data, "benchmark")
+    nulls = spark.createDataFrame([(None, None), (None, "a b"), (10**9, None), (10**9, "!!"), (10**9, "")], "item_id long, text string")
+    bench.select("item_id", "text").union(nulls).withColumn("spans", bench["item_id"]).coalesce(2).write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_pipeline_odd_rows(spark, odd_tables, reference_encoding):  # noqa: F811
+    docs = common.table(spark, odd_tables, "documents")
+    rows = docs.select("doc_id", "text", "lang", "source").collect()
+    # rows' numbers as ids, so that repeated and null ids can be told apart; judge() itself is held against SQL
+    numbered = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality_rules.judge(numbered).where("kept").select("doc_id").collect()}
+    texts = {(rows[k].doc_id is None, rows[k].doc_id or 0, rows[k].text): rows[k].text for k in kept}
+    assert sum(i[0] for i in texts) > 0 and max(map(len, texts.values())) > 500_000, "the odd rows don't reach the later stages"
+    items = [(r.item_id, re.findall(WORD, lower(r.text or ""))) for r in common.table(spark, odd_tables, "benchmark").collect()]
+    want = brute_rest(texts, [x for x in items if x[1]])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, odd_tables), "stage")
+        assert docs.columns == common.table(spark, odd_tables, "documents").columns, name
+    left = docs.collect()
+    assert all((r.kept, r.fp, r.comp, r["rank"], r.value, r.hash, r.spans, r.ids, r.bytes) == tuple("kfcrvhsib") for r in left)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in left) == sorted((*i[:2], t) for i, t in want.items())
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, odd_tables).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.ids) for r in got) == sorted((*i[:2], reference_encoding.encode_ordinary(t)) for i, t in want.items())
+    assert all(r.decodes for r in got)
+
+
+def test_stages_on_odd_rows_alone(spark, odd_tables):
+    """Each stage over rows that the one before it would have taken out: all of them pass through or go, and none crashes."""
+    odd = common.table(spark, odd_tables, "documents").where(~F.coalesce("text", F.lit("")).rlike(r"\S"))
+    n, stages = odd.count(), dict(corpus_pipeline.STAGES)
+    assert n > 3 and stages["quality rules"](spark, odd, odd_tables).count() == 0
+    assert stages["SimHash near-dedup"](spark, odd, odd_tables).count() == 1  # all have fingerprint zero
+    for name in ("benchmark decontamination", "secret scans"):
+        same = stages[name](spark, odd, odd_tables)
+        assert sorted(map(repr, same.collect())) == sorted(map(repr, odd.collect())), name
+    assert [(r.ids, r.decodes) for r in stages["byte-level BPE"](spark, odd.where("coalesce(text, '') = ''"), odd_tables).collect()] == [([], True)] * odd.where("coalesce(text, '') = ''").count()
+
+
+def test_pipeline_on_empty_tables(spark, odd_tables, tmp_path):
+    for t in ("documents", "benchmark"):
+        common.table(spark, odd_tables, t).limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = common.table(spark, odd_tables, "documents")
+    assert corpus_pipeline.decontamination(spark, docs, str(tmp_path)).count() == docs.count()  # an empty benchmark takes nothing out
