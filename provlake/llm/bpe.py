@@ -7,7 +7,8 @@ what follows, and the pattern's only look-ahead works inside white space. The id
 Decoding joins the ids' raw bytes, so characters whose bytes are spread over several ids come back whole.
 
 Defined results: null and empty texts have no ids and decode to no bytes; rows are independent, so repeated rows and an
-empty table need nothing special; other columns of the input are carried by encode() and dropped by round_trip().
+empty table need nothing special; other columns of the input are carried by encode() and decode(), but for one
+with the name asked for the result (ids, bytes), which gives way to it, and dropped by round_trip().
 """
 
 from __future__ import annotations

@@ -245,6 +245,24 @@ def test_bpe(spark, odd, none, documents, reference_encoding):
     assert bpe.round_trip(none, queries.RANKS, queries.PATTERN).count() == 0
 
 
+def test_bpe_whole_table(spark, data, documents, reference_encoding):
+    rows = queries.queries()["op5_bpe"](spark, data).collect()
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows}
+    ids = {i: reference_encoding.encode_ordinary(t or "") for i, t in documents.items()}
+    assert len(rows) == len(got) and got == {i: (len(x), digest(",".join(map(str, x)).encode()), digest((documents[i] or "").encode())) for i, x in ids.items()}
+
+
+def test_bpe_keeps_rows(spark, odd, reference_encoding):
+    """Null ids and repeated rows come back each; other columns stay, but for those that take the results."""
+    docs = odd.where("doc_id is null or doc_id < 7").withColumns({"ids": F.lit("i"), "bytes": F.lit("b")})
+    rows = bpe.decode(bpe.encode(docs, queries.RANKS, queries.PATTERN, ids="own"), queries.RANKS, queries.PATTERN, ids="own", out="raw").collect()
+    want = sorted((str(r.doc_id), r.text or "") for r in docs.collect())
+    assert sorted((str(r.doc_id), bytes(r.raw).decode()) for r in rows) == want and len(want) == 9
+    assert all((r.ids, r.bytes, r.kept) == ("i", "b", "k") and r.own == reference_encoding.encode_ordinary(r.text or "") for r in rows)
+    assert bpe.round_trip(docs, queries.RANKS, queries.PATTERN).count() == len(want)
+
+
 def test_bpe_cuts(documents, reference_encoding):
     for t in [t for t in documents.values() if t][:40] + ["a  b\n\n c's  \t", "x" * 300, " " * 300, "12 34 　 56"]:
         for cut in (1, 7, 50):
@@ -537,6 +555,17 @@ def test_html_array_decides(spark):
     assert share in without[1] and share in without[3]
 
 
+def test_html_long_and_repeated_pages(spark):
+    """Very long pages with and without articles, repeated rows, and columns with names that the operator uses inside."""
+    words = " ".join(f"w{i} &amp;" for i in range(60_000))
+    rows = [(1, "http://a.org/1", f"<article><p>{words}</p><p>end</article>"), (2, "http://a.org/2", f"<body><div>{words}</div><p>own</p></body>"), (3, "http://b.org/1", f"<body><p>{words}</body>")]
+    pages = spark.createDataFrame([(*r, "t", "h", "b") for r in [*rows, rows[0], rows[2]]], "page_id long, url string, html string, text string, host string, blocks string")
+    got = sorted((r.page_id, r.text) for r in html_text.main_text(pages).collect())
+    plain = words.replace("&amp;", "&")
+    assert [i for i, _ in got] == [1, 1, 2, 3, 3] and got[0] == got[1] == (1, f"{plain}\nend") and got[3] == got[4] == (3, plain)
+    assert got[2][1].endswith("own")
+
+
 def brute_covered(streams, run):
     """Tokens in common substrings of a sorted suffix array's neighbours from pages of different content."""
     suffixes = sorted((s[i:], k, i) for k, s in enumerate(streams) for i in range(len(s)))
