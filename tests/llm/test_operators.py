@@ -334,7 +334,7 @@ def brute_candidates(t):
     return sorted(found, key=lambda v: (-len(v), v))
 
 
-def test_secrets_candidates(spark, documents):
+def test_secrets_candidates(spark, documents, detector):
     """Candidates and features beside plain Python; a very long text, and columns with the names of features."""
     pgp = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nxyz\n-----END PGP PRIVATE KEY BLOCK-----"
     texts = [t for t in documents.values() if t] + [f"a {pgp} b", "the value 0123456789abcdef0123 of " * 20_000, "Token : 'abc def' key=äöü-key-value-1", ""]
