@@ -16,11 +16,11 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 #: Texts beyond so many characters are cut.
 CUT = 50_000
-_BOUNDARY = re.compile(r"\S(?=\s)")
+_BOUNDARY = regex.compile(r"\S(?=\s)")  # whose white space is Unicode's, as the patterns' is; Python's own has four more
 
 
 @functools.lru_cache(maxsize=4)

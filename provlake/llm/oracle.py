@@ -117,3 +117,29 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM firsts"""
 
 ORACLE = {"op7_chat": _OP7, "op8_warc": _OP8, "op1_quality_rules": _OP1, "op9_decontamination": _OP9}
+
+
+def _op11(k: int = 16, dims: int = 64, rounds: int = 3, seed: int = 1, scale: int = 64) -> str:
+    """Lloyd's rounds by comparing every vector with every centroid; a distance and a number make one key, so that the smaller number wins ties."""
+    order = f"sha256('{seed}:' || vec_id) NULLS LAST, v"
+    parts = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS MATERIALIZED (SELECT c - 1 AS c, v AS m FROM (SELECT v, row_number() OVER (ORDER BY {order}) AS c FROM kept) WHERE c <= {k})"""
+    ]
+    for i in range(rounds + 1):
+        gap = "list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT"
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min({gap} * {k} + c) AS key FROM kept, c{i} GROUP BY r)")
+        if i < rounds:
+            parts.append(f"""m{i} AS MATERIALIZED (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS m
+  FROM (SELECT key % {k} AS c, pos, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT key, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i}) GROUP BY ALL) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(list_transform(m{i}.m, lambda x: x::BIGINT), c{i}.m) AS m FROM c{i} LEFT JOIN m{i} ON m{i}.c = c{i}.c)""")
+    return f"""WITH {", ".join(parts)}, t AS (SELECT vec_id, (key % {k})::INT AS cluster, (key // {k})::BIGINT AS distance FROM a{rounds})
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM t JOIN c{rounds} ON c = cluster"""
+
+
+ORACLE["op11_centroids"] = _op11()

@@ -10,13 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_text, quality_gam, quality_rules, secrets, shards, simhash, trie_bpe, warc
+from . import alignment, bpe, centroids, chat, decontaminate, html_text, quality_gam, quality_rules, secrets, shards, simhash, trie_bpe, warc
 from .common import ship, table
 from .oracle import ORACLE
 
 #: Place and pattern of the rank file; a cluster may name a folder that all its nodes have.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PATTERN = public_tokenizers.PATTERN
 
 
@@ -73,11 +74,19 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.correspond(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, PIECES)
+
+
 def op13_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
 
 
-QUERIES = (op1_quality_rules, op2_quality_gam, op3_simhash, op4_sharding, op5_bpe, op6_secret_scan, op7_chat, op8_warc, op9_decontamination, op10_html_text, op13_trie_bpe)
+QUERIES = (op1_quality_rules, op2_quality_gam, op3_simhash, op4_sharding, op5_bpe, op6_secret_scan, op7_chat, op8_warc, op9_decontamination, op10_html_text, op11_centroids, op12_alignment, op13_trie_bpe)
 
 
 def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -72,6 +72,7 @@ class Vocabulary:
         if any(bytes([b]) not in self.ids for b in range(256)):
             raise ValueError("the vocabulary lacks a byte")
         self.sizes = [len(b) for b in self.bytes]
+        self.lengths = np.array(self.sizes, np.int64)
         self.words, self.own = regex.compile(pattern), Tokenizer.from_file(path).pre_tokenizer
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._learn(model["merges"])
@@ -179,8 +180,9 @@ class Vocabulary:
         fresh -= self.aged.keys()
         short = {w for w in fresh if len(w) <= LONGEST}
         self.learn_words(short)
-        known = self.known | {w: self.long_word(w) for w in fresh - short} if len(short) < len(fresh) else self.known
-        found = [b"".join(map(known.__getitem__, x)) for x in words]
+        long = {w: self.long_word(w) for w in fresh - short}
+        find = (lambda w: self.known.get(w) or long[w]) if long else self.known.__getitem__
+        found = [b"".join(map(find, x)) for x in words]
         if len(self.known) > KEPT:
             self.known, self.aged = {}, self.known
         return found
