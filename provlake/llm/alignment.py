@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .trie_bpe import Vocabulary, vocabulary
+from .trie_bpe import HELD, Vocabulary, vocabulary
 
 #: Characters of a byte range; longer texts are cut. Fragments composed at once. Pairs broadcast at once.
 RANGE, FAN, PAIRS = 500_000, 8, 1 << 20
@@ -54,27 +54,41 @@ class Pieces:
             raise ValueError("a piece holds a space behind another character: words can't be encoded by themselves")
         self.bytes = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
-        self.space = np.array([m.piece_to_id("▁")], "<i4").tobytes()
-        self.known: dict[str, bytes] = {}
+        #: ids by word, a word being what follows a space; empty if its pieces' bytes aren't the word's
+        self.known: dict[str, bytes] = {"": np.array([m.piece_to_id("▁")], "<i4").tobytes()}
         self.aged: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text that begins with a space, which the model puts there itself, as little-endian 32-bit integers."""
-        words = _B_WORDS.findall(text)
-        fresh = {w for w in set(words) if w not in self.known}
-        for w in fresh & self.aged.keys():
-            self.known[w] = self.aged[w]
-        fresh = sorted(fresh - self.aged.keys())
-        made = {w: np.array(ids, "<i4").tobytes() if w != " " else self.space for w, ids in zip(fresh, self.model.encode([w[1:] for w in fresh], num_threads=1), strict=True)}
+    def _packed(self, word: str, ids: list[int]) -> bytes:
+        return np.array(ids, "<i4").tobytes() if b"".join(map(self.bytes.__getitem__, ids)) == f" {word}".encode() else b""
+
+    def _encode_words(self, words: list[list[str]]) -> list[bytes]:
+        fresh = {w for w in set().union(*words) if w not in self.known}
+        old = {w for w in fresh if w in self.aged}
+        self.known.update((w, self.aged[w]) for w in old)
+        fresh = sorted(fresh - old)
+        made = {w: self._packed(w, ids) for w, ids in zip(fresh, self.model.encode(fresh, num_threads=1), strict=True)}
         self.known.update((w, ids) for w, ids in made.items() if len(w) <= LONGEST)
-        if any(len(w) > LONGEST for w in fresh):
-            out = b"".join([self.known.get(w) or made[w] for w in words])
-        else:
-            out = b"".join(map(self.known.__getitem__, words))
+        find = (lambda w: self.known[w] if w in self.known else made[w]) if any(len(w) > LONGEST for w in fresh) else self.known.__getitem__
+        out = [b"".join(map(find, x)) for x in words]
         if len(self.known) > KEPT:
-            self.known, self.aged = {}, self.known
+            self.known, self.aged = {"": self.known[""]}, self.known
         return out
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that begin with a space, which the model puts there itself, as little-endian 32-bit integers.
+
+        Words whose pieces' bytes differ from theirs have no ids, so the tokens of such a text end before it does.
+        """
+        out, words, held = [], [], 0
+        for t in texts:
+            plain = not t or ("  " not in t and t[-1] != " ")
+            words.append((t[1:].split(" ") if t else []) if plain else [w[1:] for w in _B_WORDS.findall(t)])
+            held += len(t)
+            if held >= HELD:
+                out += self._encode_words(words)
+                words, held = [], 0
+        return out + self._encode_words(words) if words else out
+
 
 @functools.lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
@@ -115,9 +129,16 @@ def groups_of(a: Stream, b: Stream, common: np.ndarray) -> str:
     return "".join(np.concatenate([text_a, text_b])[np.argsort(place, kind="stable")].tolist())
 
 
-def links_of(a: Stream, b: Stream) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (A's id in the upper half, B's in the lower) of tokens that share bytes, and how often each comes. Both end at one byte."""
-    ends = np.union1d(a.ends, b.ends)
+def ends_of(a: Stream, b: Stream) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes at which either stream ends a token, and those at which both do."""
+    ends = np.concatenate([a.ends, b.ends])
+    ends.sort(kind="stable")  # which merges sorted runs
+    again = ends[1:] == ends[:-1]
+    return ends[np.concatenate([np.ones(min(1, len(ends)), bool), ~again])], ends[1:][again]
+
+
+def links_of(a: Stream, b: Stream, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (A's id in the upper half, B's in the lower) of tokens that share bytes, and how often each comes; ends of either stream, which end at one byte."""
     pair = a.ids[np.searchsorted(a.ends, ends)].astype(np.int64) << 32 | b.ids[np.searchsorted(b.ends, ends)]
     return np.unique(pair, return_counts=True)
 
@@ -137,13 +158,12 @@ EMPTY = Fragment((NOTHING, NOTHING), False, "", (np.empty(0, np.int64), np.empty
 
 def fragment(a: Stream, b: Stream) -> Fragment:
     """The fragment of two token streams."""
-    common = np.intersect1d(a.ends, b.ends, assume_unique=True)
+    common = ends_of(a, b)[1]
     if not len(common):
         return EMPTY._replace(prefix=(a, b))
     (head_a, a), (head_b, b) = a.cut(common[0]), b.cut(common[0])
     (mid_a, tail_a), (mid_b, tail_b) = a.cut(common[-1]), b.cut(common[-1])
-    inner = common[1:]
-    return Fragment((head_a, head_b), True, groups_of(mid_a, mid_b, inner) if len(inner) else "", links_of(mid_a, mid_b) if len(inner) else EMPTY.links, (tail_a, tail_b))
+    return Fragment((head_a, head_b), True, *closing(mid_a, mid_b), (tail_a, tail_b))
 
 
 def _sum(*links: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +175,8 @@ def _sum(*links: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]
 
 def closing(a: Stream, b: Stream) -> tuple[str, tuple[np.ndarray, np.ndarray]]:
     """Groups and links of streams that begin at one byte and end at one."""
-    common = np.intersect1d(a.ends, b.ends, assume_unique=True)
-    return (groups_of(a, b, common), links_of(a, b)) if len(common) else ("", EMPTY.links)
+    ends, common = ends_of(a, b)
+    return (groups_of(a, b, common), links_of(a, b, ends)) if len(common) else ("", EMPTY.links)
 
 
 def compose(left: Fragment, right: Fragment) -> Fragment:
@@ -183,7 +203,7 @@ def finish(whole: Fragment) -> tuple[int, str, tuple[np.ndarray, np.ndarray]]:
     """Number of groups, their text and the links of a whole text's fragment, whose prefix is its first group."""
     text, links = closing(*whole.prefix)
     text = (text + whole.groups)[:-1]
-    return text.count(";") + 1, text, _sum(links, whole.links)
+    return text.count(";") + 1, text, _sum(links, whole.links) if whole.closed and len(whole.links[0]) else links
 
 
 def ranges(text: str, size: int) -> list[tuple[str, int, str, int]]:
@@ -208,13 +228,15 @@ def ranges(text: str, size: int) -> list[tuple[str, int, str, int]]:
     return [(*a, *b) for a, b in zip(parts(_A_CUT), parts(_B_CUT), strict=True)]
 
 
-def streams(a: Vocabulary, b: Pieces, part_a: str, at_a: int, part_b: str, at_b: int, ids: bytes | None = None) -> tuple[Stream, Stream] | None:
-    """Both token streams of a range; None if either doesn't give the text's bytes back."""
-    ids_a = np.frombuffer(a.encode_all([part_a], False)[0] if ids is None else ids, "<i4")
-    ids_b = np.frombuffer(b.encode(part_b), "<i4") if part_b else NOTHING.ids
-    if a.decode_bytes(ids_a.tolist()) != part_a.encode() or b"".join(map(b.bytes.__getitem__, ids_b.tolist())) != part_b.encode():
+def streams(a: Vocabulary, b: Pieces, part_a: str, at_a: int, part_b: str, at_b: int, packed: tuple[bytes, bytes] | None = None) -> tuple[Stream, Stream] | None:
+    """Both token streams of a range, of its packed ids where given; None if B doesn't give the text's bytes back."""
+    packed = packed or (a.encode_all([part_a], False)[0], b.encode_all([part_b])[0])
+    ids_a, ids_b = (np.frombuffer(x, "<i4") for x in packed)
+    ends_a, ends_b = np.cumsum(a.lengths[ids_a]), np.cumsum(b.sizes[ids_b])
+    # a byte-level vocabulary always gives the bytes back
+    if len(part_b.encode()) != (ends_b[-1] if len(ends_b) else 0):
         return None
-    return Stream(ids_a, np.cumsum(a.lengths[ids_a]) + at_a), Stream(ids_b, np.cumsum(b.sizes[ids_b]) + at_b)
+    return Stream(ids_a, ends_a + at_a), Stream(ids_b, ends_b + at_b)
 
 
 # doc_id travels as text: pandas would make floats of integers beside nulls
@@ -256,9 +278,10 @@ def align(docs: DataFrame, path_a: str, pattern: str, path_b: str, text: str = "
         for batch in batches:
             texts = [" " + t if t else "" for t in batch["text"]]
             rows = []
-            for row, doc_id, t, ids in zip(batch["row"], batch["doc_id"], texts, a.encode_all(texts, False), strict=True):
-                both = streams(a, b, t, 0, t, 0, ids) if t else None
-                rows.append(_result(row, doc_id, tuple(len(x.ids) for x in both or ()), fragment(*both) if both else None))
+            for row, doc_id, t, *packed in zip(batch["row"], batch["doc_id"], texts, a.encode_all(texts, False), b.encode_all(texts), strict=True):
+                both = streams(a, b, t, 0, t, 0, packed) if t else None
+                # one range is a whole text, so all of it is the prefix of its first and only composition
+                rows.append(_result(row, doc_id, tuple(len(x.ids) for x in both or ()), EMPTY._replace(prefix=both) if both else None))
             yield _frame(rows, _RESULT)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -175,9 +175,9 @@ class Vocabulary:
     def encode_words(self, words: list[list[str]]) -> list[bytes]:
         """The ids of each list of words, those not met before through a trie. Of the words kept, those not met again for long go."""
         fresh = {w for w in set().union(*words) if w not in self.known}
-        for w in fresh & self.aged.keys():
-            self.known[w] = self.aged[w]
-        fresh -= self.aged.keys()
+        old = {w for w in fresh if w in self.aged}
+        self.known.update((w, self.aged[w]) for w in old)
+        fresh -= old
         short = {w for w in fresh if len(w) <= LONGEST}
         self.learn_words(short)
         long = {w: self.long_word(w) for w in fresh - short}
