@@ -44,3 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
         shared_folder(spark)
         _checkpoints(spark.sparkContext)
     return df.checkpoint()  # which computes df once
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again.
+
+    Where a loop makes each table from the one before: a checkpoint keeps what the optimizer knows of df's columns, and that
+    grows by the square or worse with coalesced columns; a file brings its size and nothing else.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

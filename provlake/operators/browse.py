@@ -1,4 +1,8 @@
-"""Paged, searchable browsing (AGG01-05, FLT28-29, SRT01-05, WIN01-02)."""
+"""Paged, searchable browsing (AGG01-05, FLT28-29, SRT01-05, WIN01-02).
+
+A page is chosen among ids and sort keys first; properties are joined to its rows only. Without a search nothing reads the
+properties of a whole stage.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import stored
 from ..functions.times import search_tokens
 from ..functions.values import property_json
 from ..store import MetadataStore
+from . import paging
 from .catalog import executions_in, with_type
 
 
@@ -27,9 +33,9 @@ class Page:
         if self.number < 1 or self.size < 1:
             raise ValueError("page number and size must be above 0")
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """SRT03."""
-        return df.offset((self.number - 1) * self.size).limit(self.size)
+    def cut(self, rows: DataFrame, key: str, id: str, nulls_last: bool) -> DataFrame:
+        """SRT03: the page of rows by key, ties by id."""
+        return paging.seek(rows, key, id, (self.number - 1) * self.size, self.size, self.descending, nulls_last)
 
 
 def contains(parts: list[Column], search: str) -> Column:
@@ -62,20 +68,41 @@ def stage_artifacts(store: MetadataStore, pipeline: str, stage: str) -> DataFram
     return store.event.join(stage_executions(store, pipeline, stage), "execution_id", "left_semi").select("artifact_id").distinct()
 
 
-def found_executions(store: MetadataStore, pipeline: str, stage: str, search: str = "") -> DataFrame:
-    """All that a search for executions of a stage finds: execution_id, execution_properties and create_time."""
+def created_times(props: DataFrame) -> DataFrame:
+    """AGG03: execution_id and create_time."""
+    return props.where(F.col("name") == "original_create_time_since_epoch").groupBy("execution_id").agg(F.max(F.expr("try_cast(string_value as double)")).alias("create_time"))
+
+
+def found_executions(store: MetadataStore, pipeline: str, stage: str, search: str = "", among: DataFrame | None = None) -> DataFrame:
+    """All that a search for executions of a stage finds: execution_id, execution_properties and create_time; among: ids (id) that it can find."""
     ids = stage_executions(store, pipeline, stage)
+    ids = ids if among is None else ids.join(among.select(F.col("id").alias("execution_id")), "execution_id", "left_semi")
     props = store.executionproperty.join(ids, "execution_id", "left_semi")
-    created = props.where(F.col("name") == "original_create_time_since_epoch").groupBy("execution_id").agg(F.max(F.expr("try_cast(string_value as double)")).alias("create_time"))
-    rows = ids.join(property_json(props, "execution_id", "execution_properties"), "execution_id", "left").join(created, "execution_id", "left")
-    return rows.where(contains([F.col("execution_id").cast("string"), F.col("execution_properties"), *search_tokens(F.col("create_time"))], search)) if search else rows
+    rows = ids.join(property_json(props, "execution_id", "execution_properties"), "execution_id", "left").join(created_times(props), "execution_id", "left")
+    return rows.where(contains(execution_text(), search)) if search else rows
+
 
+def execution_text() -> list[Column]:
+    """The parts in which a search for executions looks."""
+    return [F.col("execution_id").cast("string"), F.col("execution_properties"), *search_tokens(F.col("create_time"))]
 
-def executions_page(store: MetadataStore, pipeline: str, stage: str, page: Page = Page(descending=True)) -> DataFrame:
+
+def executions_page(store: MetadataStore, pipeline: str, stage: str, page: Page = Page(descending=True), among: DataFrame | None = None) -> DataFrame:
     """SRT01: one page, by creation time, nulls last either way, ties by id."""
-    rows = found_executions(store, pipeline, stage, page.search)
+    if page.search or among is not None:
+        rows = found_executions(store, pipeline, stage, page.search, among).select("execution_id", "create_time")
+    else:
+        ids = stage_executions(store, pipeline, stage)
+        rows = ids.join(created_times(store.executionproperty.join(ids, "execution_id", "left_semi")), "execution_id", "left")
+    rows = page.cut(rows, "create_time", "execution_id", True)
     order = F.col("create_time").desc_nulls_last() if page.descending else F.col("create_time").asc_nulls_last()
-    return page.cut(rows.orderBy(order, "execution_id"))
+    return _with_json(rows, store.executionproperty, "execution_id", "execution_properties").select("execution_id", "execution_properties", "create_time").orderBy(order, "execution_id")
+
+
+def _with_json(rows: DataFrame, props: DataFrame, key: str, out: str) -> DataFrame:
+    """The rows of one page, written, with the properties of these alone."""
+    rows = stored(rows)
+    return rows.join(property_json(props.join(rows.select(key), key, "left_semi"), key, out), key, "left")
 
 
 def found_artifacts(store: MetadataStore, pipeline: str, stage: str, kind: str, search: str = "") -> DataFrame:
@@ -91,9 +118,16 @@ def found_artifacts(store: MetadataStore, pipeline: str, stage: str, kind: str,
 
 def artifacts_page(store: MetadataStore, pipeline: str, stage: str, kind: str, page: Page = Page()) -> DataFrame:
     """SRT02: one page, by lower-case name, or by creation time for any other column; descending puts nulls first; ties by id."""
-    rows = found_artifacts(store, pipeline, stage, kind, page.search)
+    if page.search:
+        rows = found_artifacts(store, pipeline, stage, kind, page.search)
+    else:
+        ids = stage_artifacts(store, pipeline, stage).select(F.col("artifact_id").alias("id"))
+        rows = with_type(store, store.artifact.join(ids, "id", "left_semi")).where(F.col("type") == kind).withColumnRenamed("id", "artifact_id")
     key = F.lower("name") if page.sort_column == "name" else F.col("create_time_since_epoch")
-    return page.cut(rows.orderBy(key.desc_nulls_first() if page.descending else key.asc_nulls_last(), "artifact_id"))
+    rows = page.cut(rows.select("artifact_id", key.alias("sort_key")), "sort_key", "artifact_id", not page.descending)
+    whole = _with_json(rows, store.artifactproperty, "artifact_id", "artifact_properties").join(store.artifact.select(F.col("id").alias("artifact_id"), "name", "create_time_since_epoch"), "artifact_id")
+    order = F.col("sort_key").desc_nulls_first() if page.descending else F.col("sort_key").asc_nulls_last()
+    return whole.orderBy(order, "artifact_id").select("artifact_id", "name", "create_time_since_epoch", "artifact_properties")
 
 
 def total(rows: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 Closures over a store go breadth first from artifacts to executions and back, by semi-joins with events: an artifact that
 many runs read, or a run of many inputs and outputs, costs its events and never their product. It is a driver loop of joins
 whose frontier and visited sets stay DataFrames and are written to the checkpoint folder between hops; only "is it empty"
-reaches the driver. So cycles end, and a node that is reached by many paths is expanded once. Edges between artifacts, or
-between executions, are made only where they are the result, and only among the nodes in question.
+reaches the driver. So cycles end, and a node that is reached by many paths is expanded once. What isn't exhausted after
+SHALLOW hops is deep, and the rest goes by contraction (deep.py), whose joins follow the logarithm of the depth. Edges
+between artifacts, or between executions, are made only where they are the result, and only among the nodes in question.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ from ..functions.names import execution_label, short_artifact
 from ..functions.values import as_text
 from ..schema import INPUT, NOT_LINEAGE, OUTPUT
 from ..store import MetadataStore
+from . import deep
 from .catalog import artifact, artifacts_by_ids, execution_ids, executions_by_ids, executions_of_artifacts, lineage_artifacts, pipelines, with_type
 
+#: Hops or levels that go one by one before the rest is contracted.
+SHALLOW = 4
+
 
 def inputs(store: MetadataStore) -> DataFrame:
     return store.event.where(F.col("type") == INPUT).select("artifact_id", "execution_id")
@@ -99,7 +104,8 @@ def closure(edges: DataFrame, start: DataFrame, max_hops: int | None = None, sto
     """LIN08, LIN09, LIN13, LIN16, LIN24: (id, hops) of all nodes that edges (parent, child) lead to from start (id).
 
     The start has 0 hops. stop: nodes (id) that are reached but not expanded. Edges are cut to a table once, since each
-    hop reads them; hops alternate joins of a small frontier with them and an anti-join with what is visited.
+    hop reads them; hops alternate joins of a small frontier with them and an anti-join with what is visited. Beyond
+    SHALLOW hops, where no number of hops is asked for, the rest of the graph is contracted.
     """
     edges = cut(edges.select("parent", "child"))
     visited = cut(start.select("id").distinct().withColumn("hops", F.lit(0)))
@@ -112,6 +118,11 @@ def closure(edges: DataFrame, start: DataFrame, max_hops: int | None = None, sto
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+        if hops == SHALLOW and max_hops is None:
+            way = edges.join(visited.select(F.col("id").alias("child")), "child", "left_anti")
+            way = way if stop is None else way.withColumn("id", F.col("parent")).where(~stop)
+            beyond = deep.distances(way.select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.lit(1).alias("w")), frontier).where("hops > 0")
+            return visited.unionByName(beyond.withColumn("hops", F.col("hops") + SHALLOW))
     return visited
 
 
@@ -141,17 +152,29 @@ def walk(store: MetadataStore, start: DataFrame, down: bool, max_hops: int | Non
         frontier = cut(beyond.join(artifacts, "id", "left_anti").withColumn("hops", F.lit(hops)))
         runs, artifacts = runs.unionByName(met), artifacts.unionByName(frontier)
         if hops % 8 == 0:
-            runs, artifacts = cut(runs.coalesce(_few(runs))), cut(artifacts.coalesce(_few(artifacts)))
+            runs, artifacts = cut(runs.repartition("id")), cut(artifacts.repartition("id"))
         if frontier.isEmpty():
             break
         if max_nodes is not None:
             reached = artifacts.count() + runs.count()
+        elif hops == SHALLOW and max_hops is None:
+            below, above = _walk_deep(near, far, artifacts, runs, frontier, stop_artifacts, stop_executions)
+            return artifacts.unionByName(below), runs.unionByName(above)
     return artifacts, runs
 
 
-def _few(df: DataFrame) -> int:
-    """Partitions of a visited set: those of one hop, not the sum of all."""
-    return max(1, min(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def _walk_deep(near: DataFrame, far: DataFrame, artifacts: DataFrame, runs: DataFrame, frontier: DataFrame, stop_artifacts: Column | None, stop_executions: Column | None) -> tuple[DataFrame, DataFrame]:
+    """What a walk reaches from its frontier after SHALLOW hops, in one graph: artifacts have even numbers, executions odd ones."""
+    a, e = F.col("artifact_id") * 2, F.col("execution_id") * 2 + 1
+    new = lambda side, known, key: side.join(known.select(F.col("id").alias(key)), key, "left_anti")
+    go = lambda side, stop, key: side if stop is None else side.withColumn("id", F.col(key)).where(~stop)
+    # a number of events between two nodes is one edge; a step from an artifact to a run is a hop
+    onward = go(new(near, runs, "execution_id"), stop_artifacts, "artifact_id").select(a.alias("src"), e.alias("dst"), F.lit(1).alias("w"))
+    back = go(new(far, artifacts, "artifact_id"), stop_executions, "execution_id").select(e.alias("src"), a.alias("dst"), F.lit(0).alias("w"))
+    met = cut(deep.distances(onward.unionByName(back), frontier.select((F.col("id") * 2).alias("id"))).withColumn("hops", F.col("hops") + SHALLOW))
+    start = frontier.select("id")
+    halves = [met.where(F.pmod("id", F.lit(2)) == odd).select(F.floor(F.col("id") / 2).cast("long").alias("id"), "hops") for odd in (0, 1)]
+    return halves[0].join(start, "id", "left_anti"), halves[1]
 
 
 def descendants(store: MetadataStore, artifact_id: int, max_hops: int | None = None) -> DataFrame:
@@ -205,7 +228,8 @@ def levels(nodes: DataFrame, edges: DataFrame, max_levels: int | None = None) ->
     """LIN19: (id, level): 0 without parents among the nodes, else one more than the highest parent's; cycles have none.
 
     Kahn's order as an iterated peel: nodes whose parents all have levels get the next. Each round counts placed parents
-    by a grouped join; nodes on cycles, and those below them, never fill up.
+    by a grouped join; nodes on cycles, and those below them, never fill up. Beyond SHALLOW levels, where no number of
+    them is asked for, the rest of the graph is contracted.
     """
     edges = cut(edges.select("parent", "child").distinct().join(nodes.select(F.col("id").alias("child")), "child", "left_semi").join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi"))
     waiting = nodes.select("id").distinct().join(edges.groupBy(F.col("child").alias("id")).agg(F.count("*").alias("open")), "id", "left")
@@ -219,9 +243,17 @@ def levels(nodes: DataFrame, edges: DataFrame, max_levels: int | None = None) ->
         filled = edges.join(ready.select(F.col("id").alias("parent")), "parent", "left_semi").groupBy(F.col("child").alias("id")).agg(F.count("*").alias("filled"))
         waiting = cut(waiting.where("open > 0").join(filled, "id", "left").select("id", (F.col("open") - F.coalesce("filled", F.lit(0))).alias("open")))
         level += 1
+        if level == SHALLOW and max_levels is None and not waiting.isEmpty():
+            return done.unionByName(_levels_deep(done, waiting.select("id"), edges))
     return nodes.select("id").limit(0).withColumn("level", F.lit(0)) if done is None else done
 
 
+def _levels_deep(done: DataFrame, waiting: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels of the nodes that a peel left waiting after SHALLOW levels: those below a placed node are SHALLOW at least."""
+    mine = edges.join(waiting.select(F.col("id").alias("child")), "child", "left_semi").join(done.select(F.col("id").alias("parent")), "parent", "left_anti")
+    return deep.longest_paths(waiting, mine.select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.lit(1).alias("w"))).withColumn("level", F.col("level") + SHALLOW)
+
+
 def sibling_groups(nodes: DataFrame, edges: DataFrame, label: str = "label") -> DataFrame:
     """AGG11, ARR02: nodes (id, label, level) grouped by their sorted parents: level, parents and members, as labels."""
     names = nodes.select(F.col("id").alias("parent"), F.col(label).alias("parent_label"))

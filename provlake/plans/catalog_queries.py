@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, times, values
-from ..operators import browse, catalog, export
+from ..checkpoint import scratch_path
+from ..operators import browse, catalog, export, paging, search
 from ..operators.browse import Page
 from ..store import MetadataStore
 from .registry import query
@@ -297,6 +298,21 @@ def _(s: MetadataStore) -> DataFrame:
     return browse.executions_page(s, P, S, Page(2, 20, descending=True)).select("execution_id", "create_time")
 
 
+_DEEP = "(SELECT count(*) * 3 // 5 FROM execution)"
+
+
+@query("srt03_deep_page", f"SELECT id, last_known_state AS state FROM execution ORDER BY last_known_state DESC NULLS LAST, id LIMIT 20 OFFSET {_DEEP}")
+def _(s: MetadataStore) -> DataFrame:
+    """Three fifths down all executions by state, of which there are three: ranges of the key, then of the ids of one key."""
+    rows = s.execution.select(F.col("last_known_state").alias("state"), "id")
+    return paging.seek(rows, "state", "id", s.execution.count() * 3 // 5, 20, descending=True, direct=1000)
+
+
+@query("srt03_deep_names", f"SELECT lower(name) AS name, id FROM artifact ORDER BY lower(name) NULLS LAST, id LIMIT 500 OFFSET (SELECT count(*) * 3 // 5 FROM artifact)")
+def _(s: MetadataStore) -> DataFrame:
+    return paging.seek(s.artifact.select(F.lower("name").alias("name"), "id"), "name", "id", s.artifact.count() * 3 // 5, 500, direct=100)
+
+
 @query("flt28_search_executions", f"""SELECT s.execution_id, c.create_time FROM ({_IN_STAGE}) s LEFT JOIN ({_CREATED}) c ON s.execution_id = c.execution_id
     LEFT JOIN (SELECT execution_id, string_agg(name || {_TEXT}, ' ' ORDER BY name) AS props FROM executionproperty GROUP BY 1) p ON p.execution_id = s.execution_id
     WHERE concat(p.props, strftime(make_timestamp((c.create_time * 1000)::BIGINT), '%-m/%-d/%Y')) ILIKE '%1-URGENT%' OR strftime(make_timestamp((c.create_time * 1000)::BIGINT), '%-m/%-d/%Y') ILIKE '%1-URGENT%'""")
@@ -304,6 +320,21 @@ def _(s: MetadataStore) -> DataFrame:
     return browse.found_executions(s, P, S, "1-urgent").select("execution_id", "create_time")
 
 
+@query("flt28_search_by_index", f"""SELECT x.execution_id FROM (SELECT execution_id, string_agg(name || {_TEXT}, ' ' ORDER BY name) AS props FROM executionproperty GROUP BY 1) x
+    WHERE props ILIKE '%3-MED%NOT SPEC%' OR (props ILIKE '%1-URGENT%' AND execution_id IN ({_RUNS}))""")
+def _(s: MetadataStore) -> DataFrame:
+    """An index over all executions, made from none and then from those that a pipeline has; two searches among its candidates, verified."""
+    index = search.Index(s.spark, scratch_path(s.spark, "index"))
+    index.update(search.execution_texts(s))
+    texts = search.execution_texts(s)
+    found = None
+    for pattern, mine in (("3-med%not spec", None), ("1-urgent", browse.pipeline_executions(s, P).select("id"))):
+        rows = texts.join(index.candidates(pattern), "id", "left_semi").where(F.col("text").ilike(f"%{pattern}%"))
+        rows = rows if mine is None else rows.join(mine, "id", "left_semi")
+        found = rows if found is None else found.unionByName(rows)
+    return found.select(F.col("id").alias("execution_id")).distinct()
+
+
 @query("srt02_artifacts_page", f"SELECT * FROM ({_FOUND}) f ORDER BY lower(name), artifact_id LIMIT 20")
 def _(s: MetadataStore) -> DataFrame:
     return browse.artifacts_page(s, P, S, "Dataset", Page(1, 20)).drop("artifact_properties")

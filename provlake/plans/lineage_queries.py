@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import catalog, export, graph, lineage, merge
+from ..checkpoint import scratch_path
+from ..operators import catalog, export, graph, known, lineage, merge
 from ..store import MetadataStore
 from ..streaming import sync
 from .registry import query
@@ -360,6 +361,16 @@ def _(s: MetadataStore) -> DataFrame:
     return merge.new_executions(s, _incoming(s))
 
 
+@query("jon15_new_by_index", f"""SELECT id, name, uuids FROM {_INCOMING} n WHERE name <> '' OR id IN (SELECT id FROM (SELECT id, unnest(string_split(uuids, ',')) AS uuid FROM {_INCOMING} m) WHERE uuid NOT IN ({_KNOWN}))""")
+def _(s: MetadataStore) -> DataFrame:
+    """The same through an index of the store's uuids, made in two commits."""
+    index = known.KnownUuids(s.spark, scratch_path(s.spark, "uuids"))
+    uuids = catalog.exploded_uuids(s).select("uuid")
+    index.add(uuids.where("uuid < '8'"))
+    index.add(uuids)
+    return index.new_executions(_incoming(s))
+
+
 @query("jon16_known_uuids", f"SELECT DISTINCT uuid FROM (SELECT unnest(string_split(uuids, ',')) AS uuid FROM {_INCOMING} n) WHERE uuid IN ({_KNOWN})")
 def _(s: MetadataStore) -> DataFrame:
     return merge.known_uuids(s, _incoming(s).select(F.explode(F.split("uuids", ",")).alias("uuid")))

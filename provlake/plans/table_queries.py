@@ -69,6 +69,23 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _schedules(spark, sf_dir).select("id", run.alias("next_run"))
 
 
+_ZONES = ("Europe/Berlin", "America/New_York", "Japan", "EST", "Europe/Nowhere", None)
+_ZONED = f"""(SELECT *, timezone(zone, make_timestamptz(due * 1000)) AS here FROM (SELECT *, 4 + id % 20 AS at_hour,
+    CASE id % 6 {' '.join(f"WHEN {i} THEN '{z}'" for i, z in enumerate(_ZONES[:4]))} ELSE 'UTC' END AS zone FROM {_SCHEDULES_SQL}))"""
+
+
+@table_query("dat06_zoned_runs", f"""SELECT id, CASE WHEN recurrence_mode <> 'interval' THEN epoch_ms(timezone(zone, first + to_days(CASE WHEN recurrence_mode = 'daily' THEN CASE WHEN first <= here THEN 1 ELSE 0 END
+      ELSE CASE WHEN ahead = 0 AND first <= here THEN 7 ELSE ahead END END))) ELSE due + {_STEP} END::BIGINT AS next_run
+    FROM (SELECT *, date_trunc('day', here)::TIMESTAMP + to_hours(at_hour) + to_minutes(minute) AS first, ((weekday - isodow(here) + 8) % 7)::INT AS ahead FROM {_ZONED})""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DAT04, DAT06: runs in four zones with and without a slash and with summer time, in an unknown one and in none; hours that every day has."""
+    c = {f.name: F.col(f.name) for f in CONTROL_TABLES["scheduled_syncs"]}
+    zone = F.get(F.array(*map(F.lit, _ZONES)), (F.col("id") % 6).cast("int"))
+    clock = F.concat((F.col("id") % 20 + 4).cast("string"), F.lit(":"), (F.col("id") % 60).cast("string"))
+    run = times.next_run(c["start_time_utc"], zone, c["recurrence_mode"], c["interval_unit"], c["interval_value"], clock, c["weekly_day"], clock)
+    return _schedules(spark, sf_dir).select("id", run.alias("next_run"))
+
+
 _LATER = _NOW + 2_000_000_000
 
 
