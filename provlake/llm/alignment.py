@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
+import json
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,68 +32,59 @@ import numpy as np
 import pandas as pd
 import regex
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import encode_text
 from .common import materialize
-from .trie_bpe import HELD, Vocabulary, vocabulary
+from .trie_bpe import byte_letters
 
 #: Characters of a byte range; longer texts are cut. Fragments composed at once. Pairs broadcast at once.
 RANGE, FAN, PAIRS = 500_000, 8, 1 << 20
-#: Words of B whose ids a worker keeps (twice as many with the aged), and the longest of them in characters.
-KEPT, LONGEST = 300_000, 100
-_A_CUT, _B_CUT, _B_WORDS = regex.compile(r"\S(?=\s)"), regex.compile("[^ ](?= )"), regex.compile(" *[^ ]+| +")
+_A_CUT, _B_CUT = regex.compile(r"\S(?=\s)"), regex.compile("[^ ](?= )")
+
+
+class Ranks:
+    """A byte-level vocabulary in the tokenizers library's format, encoded by tiktoken with its ids as ranks, which for such a vocabulary come in the order of its merges."""
+
+    def __init__(self, path: str, pattern: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        letters = byte_letters()
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items()}
+        self.encoding = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.sizes[i] = len(token)
+
+    def encode(self, text: str) -> np.ndarray:
+        return encode_text(self.encoding, text)
 
 
 class Pieces:
-    """A sentencepiece model whose pieces never hold the space sign behind another character, so that words are encoded by themselves."""
+    """A sentencepiece model whose pieces never hold the space sign behind another character, so that a text can be cut there."""
 
     def __init__(self, path: str) -> None:
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [m.id_to_piece(i) for i in range(m.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
-            raise ValueError("a piece holds a space behind another character: words can't be encoded by themselves")
+            raise ValueError("a piece holds a space behind another character: texts can't be cut for their encoding")
         self.bytes = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
-        #: ids by word, a word being what follows a space; empty if its pieces' bytes aren't the word's
-        self.known: dict[str, bytes] = {"": np.array([m.piece_to_id("▁")], "<i4").tobytes()}
-        self.aged: dict[str, bytes] = {}
-
-    def _packed(self, word: str, ids: list[int]) -> bytes:
-        return np.array(ids, "<i4").tobytes() if b"".join(map(self.bytes.__getitem__, ids)) == f" {word}".encode() else b""
-
-    def _encode_words(self, words: list[list[str]]) -> list[bytes]:
-        fresh = {w for w in set().union(*words) if w not in self.known}
-        old = {w for w in fresh if w in self.aged}
-        self.known.update((w, self.aged[w]) for w in old)
-        fresh = sorted(fresh - old)
-        made = {w: self._packed(w, ids) for w, ids in zip(fresh, self.model.encode(fresh, num_threads=1), strict=True)}
-        self.known.update((w, ids) for w, ids in made.items() if len(w) <= LONGEST)
-        find = (lambda w: self.known[w] if w in self.known else made[w]) if any(len(w) > LONGEST for w in fresh) else self.known.__getitem__
-        out = [b"".join(map(find, x)) for x in words]
-        if len(self.known) > KEPT:
-            self.known, self.aged = {"": self.known[""]}, self.known
-        return out
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts that begin with a space, which the model puts there itself, as little-endian 32-bit integers.
-
-        Words whose pieces' bytes differ from theirs have no ids, so the tokens of such a text end before it does.
-        """
-        out, words, held = [], [], 0
-        for t in texts:
-            plain = not t or ("  " not in t and t[-1] != " ")
-            words.append((t[1:].split(" ") if t else []) if plain else [w[1:] for w in _B_WORDS.findall(t)])
-            held += len(t)
-            if held >= HELD:
-                out += self._encode_words(words)
-                words, held = [], 0
-        return out + self._encode_words(words) if words else out
+        self.space = m.piece_to_id("▁")
+
+    def encode(self, text: str) -> np.ndarray | None:
+        """The ids of a text that begins with a space, which the model puts there itself; None if their bytes aren't the text's."""
+        ids = [self.space] if text == " " else self.model.encode(text[1:])
+        right = b"".join(map(self.bytes.__getitem__, ids)) == text.encode()
+        return np.array(ids, np.int32) if right else None
 
 
 @functools.lru_cache(maxsize=2)
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+def tokenizers(path_a: str, pattern: str, path_b: str) -> tuple[Ranks, Pieces]:
+    """Loaded once for each worker; the paths must be readable on every executor."""
+    return Ranks(path_a, pattern), Pieces(path_b)
 
 
 class Stream(NamedTuple):
@@ -228,15 +220,13 @@ def ranges(text: str, size: int) -> list[tuple[str, int, str, int]]:
     return [(*a, *b) for a, b in zip(parts(_A_CUT), parts(_B_CUT), strict=True)]
 
 
-def streams(a: Vocabulary, b: Pieces, part_a: str, at_a: int, part_b: str, at_b: int, packed: tuple[bytes, bytes] | None = None) -> tuple[Stream, Stream] | None:
-    """Both token streams of a range, of its packed ids where given; None if B doesn't give the text's bytes back."""
-    packed = packed or (a.encode_all([part_a], False)[0], b.encode_all([part_b])[0])
-    ids_a, ids_b = (np.frombuffer(x, "<i4") for x in packed)
-    ends_a, ends_b = np.cumsum(a.lengths[ids_a]), np.cumsum(b.sizes[ids_b])
-    # a byte-level vocabulary always gives the bytes back
-    if len(part_b.encode()) != (ends_b[-1] if len(ends_b) else 0):
+def streams(a: Ranks, b: Pieces, part_a: str, at_a: int, part_b: str, at_b: int) -> tuple[Stream, Stream] | None:
+    """Both token streams of a range; None if B doesn't give the text's bytes back, as a byte-level vocabulary always does."""
+    ids_b = b.encode(part_b) if part_b else NOTHING.ids
+    if ids_b is None:
         return None
-    return Stream(ids_a, ends_a + at_a), Stream(ids_b, ends_b + at_b)
+    ids_a = a.encode(part_a)
+    return Stream(ids_a, np.cumsum(a.sizes[ids_a]) + at_a), Stream(ids_b, np.cumsum(b.sizes[ids_b]) + at_b)
 
 
 # doc_id travels as text: pandas would make floats of integers beside nulls
@@ -274,12 +264,11 @@ def align(docs: DataFrame, path_a: str, pattern: str, path_b: str, text: str = "
     short = F.coalesce(F.length("text") < size, F.lit(True))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = vocabulary(path_a, pattern), pieces(path_b)
+        a, b = tokenizers(path_a, pattern, path_b)
         for batch in batches:
-            texts = [" " + t if t else "" for t in batch["text"]]
             rows = []
-            for row, doc_id, t, *packed in zip(batch["row"], batch["doc_id"], texts, a.encode_all(texts, False), b.encode_all(texts), strict=True):
-                both = streams(a, b, t, 0, t, 0, packed) if t else None
+            for row, doc_id, t in zip(batch["row"], batch["doc_id"], batch["text"], strict=True):
+                both = streams(a, b, " " + t, 0, " " + t, 0) if t else None
                 # one range is a whole text, so all of it is the prefix of its first and only composition
                 rows.append(_result(row, doc_id, tuple(len(x.ids) for x in both or ()), EMPTY._replace(prefix=both) if both else None))
             yield _frame(rows, _RESULT)
@@ -290,7 +279,7 @@ def align(docs: DataFrame, path_a: str, pattern: str, path_b: str, text: str = "
                 yield _frame([(-1 - row, doc_id, nth, *x) for nth, x in enumerate(ranges(t, size))], _PART)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = vocabulary(path_a, pattern), pieces(path_b)
+        a, b = tokenizers(path_a, pattern, path_b)
         for batch in batches:
             for r in batch.itertuples():
                 both = streams(a, b, r.part_a, r.at_a, r.part_b, r.at_b)

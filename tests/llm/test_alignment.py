@@ -48,7 +48,7 @@ def plain():
 
 @pytest.mark.parametrize("size", [1, 3, 11, None])
 def test_fragments_compose_in_any_order(plain, size):
-    a, b = trie_bpe.Vocabulary(queries.VOCABULARY, queries.PATTERN), alignment.Pieces(queries.PIECES)
+    a, b = alignment.tokenizers(queries.VOCABULARY, queries.PATTERN, queries.PIECES)
     r = random.Random(size)
     for text in ["".join(r.choice(PARTS) for _ in range(r.randrange(1, 50))) for _ in range(60)] + ["a\u2581b", " ", "   ", "x" * 300, "a" * 20 + " " * 30 + "b"]:
         both = [alignment.streams(a, b, *x) for x in alignment.ranges(text, size or len(text) + 1)]
