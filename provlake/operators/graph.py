@@ -9,7 +9,7 @@ from ..functions.values import property_map
 from ..schema import INPUT
 from ..store import MetadataStore
 from .catalog import with_type
-from .lineage import artifact_edges, execution_edges, inputs, outputs
+from .lineage import execution_edges, inputs, outputs
 
 
 def context_vertices(store: MetadataStore) -> DataFrame:
@@ -84,9 +84,10 @@ def linked_edges(store: MetadataStore, present: DataFrame | None = None) -> Data
 def typed_edges(store: MetadataStore, relation: str, source_type: str, target_type: str) -> DataFrame:
     """GRF08: derivations from artifacts of one type to those of another, under a name such as has_label or derived."""
     kinds = with_type(store, store.artifact).select("id", "type")
-    rows = artifact_edges(store).join(kinds.where(F.col("type") == source_type).select(F.col("id").alias("parent")), "parent", "left_semi")
-    rows = rows.join(kinds.where(F.col("type") == target_type).select(F.col("id").alias("child")), "child", "left_semi")
-    return rows.select(F.lit(relation).alias("relation"), F.col("parent").alias("src"), F.col("child").alias("dst"))
+    ids = lambda kind: kinds.where(F.col("type") == kind).select(F.col("id").alias("artifact_id"))
+    read = inputs(store).join(ids(source_type), "artifact_id", "left_semi").withColumnRenamed("artifact_id", "src")
+    wrote = outputs(store).join(ids(target_type), "artifact_id", "left_semi").withColumnRenamed("artifact_id", "dst")
+    return read.join(wrote, "execution_id").where("src != dst").select(F.lit(relation).alias("relation"), "src", "dst").distinct()
 
 
 def find_vertices(vertices: DataFrame, label: str, uri: str | None = None, name: str | None = None) -> DataFrame:

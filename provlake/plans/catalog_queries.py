@@ -20,6 +20,9 @@ _STAGE = f"(SELECT id FROM context WHERE type_id = 2 AND name = '{S}')"
 _RUNS = f"SELECT execution_id FROM association WHERE context_id IN (SELECT context_id FROM parentcontext WHERE parent_context_id = {_PID})"
 _TEXT = "coalesce(string_value, bool_value::VARCHAR, double_value::VARCHAR, int_value::VARCHAR, 'NULL')"
 
+#: Name and uuids of each execution, in one pass over the properties.
+NAMED = "SELECT execution_id, max(CASE WHEN name = 'Context_Type' THEN string_value END) AS kind, max(CASE WHEN name = 'Execution_uuid' THEN string_value END) AS uuid FROM executionproperty WHERE name IN ('Context_Type', 'Execution_uuid') GROUP BY execution_id"
+
 
 def _columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
@@ -173,9 +176,8 @@ def _(s: MetadataStore) -> DataFrame:
     return catalog.complete_columns(rows, ["name"])
 
 
-@query("flt34_execution_ids", f"""SELECT p1.execution_id AS id, p1.string_value AS "Context_Type", p2.string_value AS "Execution_uuid", a.context_id AS "Context_ID", '{P}' AS pipeline
-    FROM association a JOIN executionproperty p1 ON p1.execution_id = a.execution_id AND p1.name = 'Context_Type' JOIN executionproperty p2 ON p2.execution_id = a.execution_id AND p2.name = 'Execution_uuid'
-    WHERE a.context_id IN (SELECT context_id FROM parentcontext WHERE parent_context_id = {_PID})""")
+@query("flt34_execution_ids", f"""SELECT p.execution_id AS id, kind AS "Context_Type", uuid AS "Execution_uuid", a.context_id AS "Context_ID", '{P}' AS pipeline
+    FROM (SELECT * FROM association WHERE context_id IN (SELECT context_id FROM parentcontext WHERE parent_context_id = {_PID})) a JOIN ({NAMED}) p ON p.execution_id = a.execution_id""")
 def _(s: MetadataStore) -> DataFrame:
     return catalog.execution_ids(s, P)
 
@@ -460,7 +462,7 @@ def _(s: MetadataStore) -> DataFrame:
     return s.execution.select("id", t[0].alias("a"), t[1].alias("b"), times.display(F.col("create_time_since_epoch")).alias("c"))
 
 
-@query("str21_execution_labels", """SELECT c.execution_id AS id, substring(c.string_value, strpos(c.string_value, '/') + 1) || '_' || substring(u.string_value, 1, 4) AS name FROM executionproperty c JOIN executionproperty u ON c.execution_id = u.execution_id WHERE c.name = 'Context_Type' AND u.name = 'Execution_uuid'""")
+@query("str21_execution_labels", f"SELECT execution_id AS id, substring(kind, strpos(kind, '/') + 1) || '_' || substring(uuid, 1, 4) AS name FROM ({NAMED}) p")
 def _(s: MetadataStore) -> DataFrame:
     rows = values.property_pivot(s.executionproperty, "execution_id", ["Context_Type", "Execution_uuid"])
     return rows.select(F.col("execution_id").alias("id"), names.execution_label("Context_Type", "Execution_uuid").alias("name"))

@@ -9,6 +9,7 @@ from ..checkpoint import scratch_path
 from ..operators import catalog, export, graph, known, lineage, merge
 from ..store import MetadataStore
 from ..streaming import sync
+from .catalog_queries import NAMED
 from .registry import query
 
 P = "ASIA"
@@ -188,8 +189,8 @@ _SHORT = """CASE t.name WHEN 'Metrics' THEN CASE WHEN len(string_split(a.name, '
     WHEN 'Dataset' THEN split_part(split_part(a.name, ':', 1), '/', -1) || ':' || substring(split_part(a.name, ':', -1), 1, 4) ELSE a.name END"""
 
 
-@query("lin18_bipartite_nodes", f"""SELECT 'e_' || c.execution_id AS id, 'execution_name_' || c.string_value || ':' || substring(u.string_value, 1, 4) AS label FROM executionproperty c JOIN executionproperty u ON c.execution_id = u.execution_id
-    WHERE c.name = 'Context_Type' AND u.name = 'Execution_uuid' AND c.execution_id IN ({_RUNS}) AND c.execution_id IN (SELECT execution_id FROM event e JOIN artifact a ON a.id = e.artifact_id WHERE a.type_id NOT IN (14, 15))
+@query("lin18_bipartite_nodes", f"""SELECT 'e_' || execution_id AS id, 'execution_name_' || kind || ':' || substring(uuid, 1, 4) AS label FROM ({NAMED}) p
+    WHERE execution_id IN ({_RUNS}) AND execution_id IN (SELECT execution_id FROM event e JOIN artifact a ON a.id = e.artifact_id WHERE a.type_id NOT IN (14, 15))
     UNION ALL SELECT 'a_' || a.id, 'artifact_name_' || {_SHORT} FROM artifact a JOIN type t ON t.id = a.type_id WHERE a.type_id NOT IN (14, 15) AND a.id IN (SELECT artifact_id FROM event WHERE execution_id IN ({_RUNS}))""")
 def _(s: MetadataStore) -> DataFrame:
     return lineage.bipartite_graph(s, P)[0]
@@ -287,7 +288,7 @@ def _(s: MetadataStore) -> DataFrame:
     return lineage.spans(lineage.levels(nodes, edges), edges)
 
 
-@query("lin21_execution_list", f"SELECT e.id, substring(c.string_value, strpos(c.string_value, '/') + 1) || '_' || substring(u.string_value, 1, 4) AS name FROM execution e JOIN executionproperty c ON c.execution_id = e.id AND c.name = 'Context_Type' JOIN executionproperty u ON u.execution_id = e.id AND u.name = 'Execution_uuid' WHERE e.id IN ({_RUNS})")
+@query("lin21_execution_list", f"SELECT execution_id AS id, substring(kind, strpos(kind, '/') + 1) || '_' || substring(uuid, 1, 4) AS name FROM ({NAMED}) p WHERE execution_id IN ({_RUNS})")
 def _(s: MetadataStore) -> DataFrame:
     return lineage.execution_list(s, P)
 
