@@ -72,7 +72,6 @@ class Vocabulary:
         if any(bytes([b]) not in self.ids for b in range(256)):
             raise ValueError("the vocabulary lacks a byte")
         self.sizes = [len(b) for b in self.bytes]
-        self.lengths = np.array(self.sizes, np.int64)
         self.words, self.own = regex.compile(pattern), Tokenizer.from_file(path).pre_tokenizer
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._learn(model["merges"])
