@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from ..functions import times, values
 from ..operators import control, export, selection
 from ..schema import CONTROL_TABLES
 from ..sources import files
-from ..streaming import sync
+from ..streaming import sync, upserts
 from .registry import table_query
 
 
@@ -387,3 +388,22 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"))
     return selection.tf_idf(docs).select("p_partkey", F.round(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda s, x: s + x), 6).alias("weight"))
+
+
+_EVENT = "event_id bigint, user_id bigint, ts timestamp, value double"
+
+
+@table_query("stm06_two_writers", "SELECT user_id, arg_max(event_id, (ts, event_id))::BIGINT AS event_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM06: each user's newest event, kept by two writers at once, each with two batches in which users are mixed."""
+    rows = _read(spark, sf_dir, "events").select(F.col("event_id").cast("bigint"), F.col("user_id").cast("bigint"), F.col("ts").cast("timestamp"), "value")
+    table = upserts.Upserts(spark, scratch_path(spark, "newest"), _EVENT + ", at struct<ts:timestamp,event_id:bigint>", ["user_id"], "at")
+    rows = rows.withColumn("at", F.struct("ts", "event_id"))
+
+    def write(writer: int) -> None:
+        for epoch in range(2):
+            table.upsert(rows.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == 2 * writer + epoch), f"writer {writer}", epoch)
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(write, range(2)))
+    return table.rows().select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")

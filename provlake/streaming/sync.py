@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import export, merge
 from ..store import MetadataStore
+from .upserts import Upserts
 
 
 def changed(store: MetadataStore, since: int | None, inclusive: bool = False) -> DataFrame:
@@ -33,43 +34,21 @@ def sync_once(read: Callable[[], MetadataStore], target: MetadataStore, since: i
 
 
 def read_upserts(spark: SparkSession, target: str, schema: object) -> DataFrame:
-    """The table that upsert_stream() keeps: of each bucket the files of its newest version."""
-    rows = spark.read.schema(schema).option("basePath", target).parquet(*_newest(spark, target))
-    return rows.drop("bucket", "version")
-
-
-def _newest(spark: SparkSession, target: str, before: int | None = None) -> list[str]:
-    """The folder of the newest whole version of each bucket, of versions below `before` where given; BUCKETS names at most."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs, newest = hadoop.Path(target).getFileSystem(spark._jsc.hadoopConfiguration()), {}
-    whole = sorted(int(p.getPath().getParent().getName().removeprefix("version=")) for p in fs.globStatus(hadoop.Path(f"{target}/version=*/_SUCCESS")) or ())
-    for version in whole if before is None else [v for v in whole if v < before]:
-        for p in fs.globStatus(hadoop.Path(f"{target}/version={version}/bucket=*")):
-            newest[p.getPath().getName()] = p.getPath().toString()
-    return sorted(newest.values())
-
-
-#: Parts of an upserted table, by a hash of the key; a batch rewrites those that it touches.
-BUCKETS = 64
+    """The table that upsert_stream() keeps, as its newest commit has it."""
+    return Upserts(spark, target, schema, [], "").rows()
 
 
 def upsert_stream(spark: SparkSession, source: str, schema: object, target: str, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """STM03: a folder of Parquet change files into a table of newest rows by key, one batch after the other; read_upserts() reads it.
+    """STM03, STM06: a folder of Parquet change files into a table of newest rows by key, one batch after the other; read_upserts() reads it.
 
-    The table lies in buckets of a hash of the key. Each batch is merged with the newest version of the buckets that it
-    touches, which are written beside it, so its cost follows its keys, and a failed batch leaves the last versions whole.
+    Any number of such streams, each with a checkpoint of its own, may write one table; upserts.Upserts says how.
     """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    table = Upserts(spark, target, schema, keys, order)
 
-    def merge_batch(batch: DataFrame, epoch: int) -> None:
-        batch = batch.withColumn("bucket", bucket)
-        touched = {f"bucket={r.bucket}" for r in batch.select("bucket").distinct().collect()}  # BUCKETS rows at most
-        paths = [p for p in _newest(spark, target, epoch) if p.rsplit("/", 1)[1] in touched]
-        old = spark.read.schema(batch.schema).option("basePath", target).parquet(*paths) if paths else batch.limit(0)
-        rows = merge.upsert(old.select(*batch.columns), batch, ["bucket", *keys], order)
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={epoch}")
+    def upsert(batch: DataFrame, epoch: int) -> None:
+        table.upsert(batch, checkpoint, epoch)
 
-    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_events(events: DataFrame, time: str = "ts", late: str = "10 minutes", window: str = "1 hour", by: str = "event_type") -> DataFrame:
