@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoint import scratch_path
-from ..operators import catalog, export, graph, known, lineage, merge
+from ..operators import catalog, export, graph, intake, known, lineage, merge
 from ..store import MetadataStore
 from ..streaming import sync
 from .catalog_queries import NAMED
@@ -426,3 +426,34 @@ def _(s: MetadataStore) -> DataFrame:
     new = old.where("id % 2 = 0").withColumn("last_update_time_since_epoch", F.col("last_update_time_since_epoch") + 1)
     stale = old.where("id % 2 = 1").withColumns({"name": F.lit("stale"), "last_update_time_since_epoch": F.col("last_update_time_since_epoch") - 1})
     return merge.upsert(old, new.union(stale), ["id"], "last_update_time_since_epoch")
+
+
+#: The payload of a pipeline with every 11th line cut short, every 11th execution without its id, and labels of an unknown type.
+_SENT = f""", sent AS (SELECT e.id, c.name AS stage FROM execution e JOIN association x ON x.execution_id = e.id JOIN context c ON c.id = x.context_id JOIN parentcontext pc ON pc.context_id = c.id JOIN context p ON p.id = pc.parent_context_id WHERE p.name = '{P}'),
+    sent_events AS (SELECT s.id, s.stage, v.type, v.artifact_id, a.type_id, a.name, a.uri FROM sent s JOIN event v ON v.execution_id = s.id JOIN artifact a ON a.id = v.artifact_id WHERE s.id % 11 > 1)"""
+
+
+def _damaged(s: MetadataStore) -> DataFrame:
+    rows = export.payload_rows(s, P).select(F.col("execution.id").alias("place"), F.to_json(F.struct("pipeline", "stage", "execution")).alias("value"))
+    of = F.coalesce(F.col("place") % 11, F.lit(2))
+    cut, nameless = F.substring("value", 1, 40), F.regexp_replace("value", r'"execution":\{"id":[0-9]+,', '"execution":{')
+    return rows.select("place", F.when(of == 0, cut).when(of == 1, nameless).otherwise(F.regexp_replace("value", '"type":"Label"', '"type":"Lebal"')).alias("value"))
+
+
+@query("mrg06_rejects", f"""{_SENT} SELECT id::VARCHAR AS place, 'line' AS item, 'corrupt_json' AS reason, NULL::VARCHAR AS stage, NULL::BIGINT AS execution_id, 1 AS n FROM sent WHERE id % 11 = 0
+    UNION ALL SELECT id::VARCHAR, 'execution', 'execution_without_id', stage, NULL, 1 FROM sent WHERE id % 11 = 1
+    UNION ALL SELECT id::VARCHAR, 'event', 'unknown_type', stage, id, count(*) FROM sent_events WHERE type_id = 15 GROUP BY id, stage""")
+def _(s: MetadataStore) -> DataFrame:
+    rejects = intake.read_checked(_damaged(s), place="place")[1]
+    return rejects.groupBy("place", "item", "reason", "stage", "execution_id").agg(F.count("*").alias("n"))
+
+
+@query("mrg07_intake_events", f"{_SENT} SELECT DISTINCT artifact_id, id AS execution_id, type FROM sent_events WHERE type_id <> 15")
+def _(s: MetadataStore) -> DataFrame:
+    return intake.to_store(intake.read_checked(_damaged(s))[0]).event.select("artifact_id", "execution_id", "type")
+
+
+@query("mrg07_intake_artifacts", f"{_SENT} SELECT DISTINCT v.artifact_id AS id, v.name, v.uri, t.name AS type FROM sent_events v JOIN type t ON t.id = v.type_id WHERE v.type_id <> 15")
+def _(s: MetadataStore) -> DataFrame:
+    new = intake.to_store(intake.read_checked(_damaged(s))[0])
+    return catalog.with_type(new, new.artifact).select("id", "name", "uri", "type")
