@@ -1,11 +1,12 @@
 """Secret scans: pattern candidates, and a random forest that takes the false findings out. DataFrame functions only.
 
 Candidates are runs of 16 or more key characters with a digit among them, with upper case after lower case or with a
-key's prefix, values of 8 or more characters assigned to a name such as token or password, and private key blocks. Each
+key's prefix, values of 8 or more characters assigned to a name such as token or password, passwords of 8 or more
+characters in URLs, and private key blocks. An equals sign ends a run but for padding, so NAME=value isn't one candidate. Each
 distinct candidate of a text is one finding. The forest sees its length and make-up, its character transitions (mean
 log-odds of neighbouring character classes), how much of it dictionary words cover, whether the path is one of tests or
-documents, and the words beside it: their form, and the log-odds of the nearest. Both kinds of log-odds are learned from
-the labelled findings. Each place of a candidate is scored with its own words beside, and the candidate is a secret if
+documents, and the words beside it: their form, and the log-odds of the nearest, left and right by themselves, so that
+what follows a value can't outweigh the name that it is assigned to. The log-odds are learned from the labelled findings. Each place of a candidate is scored with its own words beside, and the candidate is a secret if
 any place is.
 
 The forest is trained on labelled findings: value, the text left and right of it, path and label. Where none are given,
@@ -43,18 +44,19 @@ BESIDE = 48
 _PREFIXES = "AKIA|ASIA|AIza|gh[opsur]_|github_pat_|glpat-|npm_|hf_|[sr]k[_-]|xox[a-z]-|eyJ"
 #: A run with a digit, one with a lower-case letter somewhere before an upper-case one, or one with a key's prefix at its start or behind a sign.
 KEY_RUN = (
-    r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9]|[A-Z+/_=-]*+[a-z+/_=-]++[A-Z]"
-    rf"|(?:[A-Za-z+/_=-]*[+/_=-])?(?:{_PREFIXES}))[A-Za-z0-9+/_=-]{{16,}}"
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|[A-Z+/_-]*+[a-z+/_-]++[A-Z]"
+    rf"|(?:[A-Za-z+/_-]*[+/_-])?(?:{_PREFIXES}))[A-Za-z0-9+/_-]{{16,}}+(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?"
 )
 _NAMES = "token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key|client[_-]?key|key"
 ASSIGNED = rf"(?i)(?:{_NAMES})[\"']?\s*+[:=]\s*+[\"']?([^\s\"',;<>]{{8,}})"
+URL_PASSWORD = r"://[^\s/:@]*+:([^\s/@]{8,}+)@"
 BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----[\s\S]*?(?:-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|\z)"
 #: Words on the left and on the right whose log-odds count, rows that a word must have in the labelled findings, and words kept.
 NEAR_LEFT, NEAR_RIGHT, WORD_ROWS, WORDS = 4, 2, 20, 1000
 
 FEATURES = (
     "length", "digit_share", "upper_share", "lower_share", "other_share", "class_changes", "distinct_chars", "hex_only", "digits_only", "uuid_shape", "same_run",
-    "transitions", "dictionary", "path_doc", "named", "hashed", "assigned", "quoted", "placeholder", "linked", "beside_words", "word_odds",
+    "transitions", "dictionary", "path_doc", "named", "hashed", "assigned", "quoted", "placeholder", "linked", "url_password", "beside_words", "word_odds", "right_odds",
 )
 
 
@@ -64,8 +66,9 @@ def candidates(text: str) -> Column:
     keys = F.regexp_extract_all(t, F.lit(KEY_RUN), F.lit(0))
     assigned = F.when(t.rlike("[:=]"), F.regexp_extract_all(t, F.lit(ASSIGNED), F.lit(1)))
     blocks = F.when(t.contains("PRIVATE KEY"), F.regexp_extract_all(t, F.lit(BLOCK), F.lit(0)))
+    passwords = F.when(t.contains("://"), F.regexp_extract_all(t, F.lit(URL_PASSWORD), F.lit(1)))
     none = F.array().cast("array<string>")
-    found = F.array_distinct(F.concat(F.coalesce(keys, none), F.coalesce(assigned, none), F.coalesce(blocks, none)))
+    found = F.array_distinct(F.concat(*(F.coalesce(c, none) for c in (keys, assigned, passwords, blocks))))
     return F.reverse(F.array_sort(F.transform(found, lambda v: F.struct(F.length(v).alias("n"), v.alias("value")))))["value"]
 
 
@@ -125,15 +128,16 @@ def learn_transitions(rows: DataFrame) -> dict[str, float]:
     return _odds(rows.select("label", F.explode(F.expr(_PAIRS)).alias("key")), 36, 1, 42)
 
 
-def _near_words() -> Column:
-    """The nearest words on the left and on the right, in lower case."""
+def _near_words() -> tuple[Column, Column]:
+    """The nearest words on the left and on the right, in lower case, marked with their side."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[^\s\d\W]{2,}"), F.lit(0))
-    return F.concat(F.slice(F.reverse(words("left")), 1, NEAR_LEFT), F.slice(words("right"), 1, NEAR_RIGHT))
+    left, right = F.slice(F.reverse(words("left")), 1, NEAR_LEFT), F.slice(words("right"), 1, NEAR_RIGHT)
+    return F.transform(left, lambda w: F.concat(F.lit("<"), w)), F.transform(right, lambda w: F.concat(F.lit(">"), w))
 
 
 def learn_words(rows: DataFrame) -> dict[str, float]:
-    """The log-odds of the words beside; at most WORDS entries."""
-    return _odds(rows.select("label", F.explode(F.array_distinct(_near_words())).alias("key")), WORDS, WORD_ROWS, WORDS)
+    """The log-odds of the words beside, as "<word" on the left and ">word" on the right; at most WORDS entries."""
+    return _odds(rows.select("label", F.explode(F.array_distinct(F.concat(*_near_words()))).alias("key")), WORDS, WORD_ROWS, WORDS)
 
 
 def _known(odds: dict[str, float]) -> Column:
@@ -166,8 +170,9 @@ def describe(rows: DataFrame, odds: dict[str, float], words: dict[str, float], d
         flag(left.rlike(r"[:=]\s*[\"']?$")).alias("assigned"), flag(left.rlike("[\"']$") & right.rlike("^[\"']")).alias("quoted"),
         flag(F.lower(v).rlike("example|sample|dummy|your|changeme|placeholder|xxxx|here|12345678")).alias("placeholder"),
         flag(left.rlike(r"(?:https?://|www\.|data:|@)\S*$") | v.rlike("^/")).alias("linked"),
+        flag(left.rlike(r"://[^\s/:@]*:$") & right.startswith("@")).alias("url_password"),
         (F.size(F.regexp_extract_all(F.concat_ws(" ", "left", "right"), F.lit(r"[^\s\d\W]{2,}"), F.lit(0))) / 16).alias("beside_words"),
-        F.aggregate(_near_words(), F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at(near, w), F.lit(0.0))).alias("word_odds"),
+        *(F.aggregate(words, F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at(near, w), F.lit(0.0))).alias(side) for words, side in zip(_near_words(), ("word_odds", "right_odds"), strict=True)),
     )
     runs = rows.select("value", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("word")).distinct()
     covered = runs.join(dictionary.select("word").distinct(), "word").groupBy("value").agg(F.sum(F.length("word")).alias("covered"))
@@ -178,7 +183,8 @@ def synthetic_findings(spark: SparkSession, rows: int = MADE) -> DataFrame:
     """Labelled findings made by rule: value, left, right, path, label and kind. Every kind has the same share of rows.
 
     A third of the paths say nothing; of the others those of false findings are mostly of tests, examples and documents,
-    and those of true ones seldom.
+    and those of true ones seldom. Half of the rows have words on the right that say nothing, whatever the kind, and half have
+    such a word further left: ids, commits and tokens stand beside each other in real texts.
     """
     word = lambda k: f"element_at(array('the', 'of', 'value', 'page', 'report', 'la', 'und', 'que', 'model', 'night', 'house', 'data'), cast(pmod(xxhash64(id, {k}), 12) as int) + 1)"
     text = f"concat({word(1)}, ' ', {word(2)}, ' ')"
@@ -211,14 +217,26 @@ def synthetic_findings(spark: SparkSession, rows: int = MADE) -> DataFrame:
         (f"concat('/', {word(5)}, '/', {word(6)}, initcap({word(7)}), '/', initcap({word(8)}), '/', {word(9)})", text, f"concat(' ', {word(4)})", 0),
         (f"concat({letters}, pmod(id, 10))", text, f"concat(' ', {word(4)})", 1),
         (f"concat({word(5)}, {word(6)}, {word(7)}, {word(8)}, {word(9)}, pmod(id, 10))", text, f"concat(' ', {word(4)})", 0),
+        (mixed, f"concat('{{\"', {word(1)}, '\": 1, \"', {name}, '\": \"')", "'\", \"id\": 5'", 1),
+        (f"substring({base64}, 1, 40)", f"concat({word(1)}, '\n', upper(concat({word(2)}, '_', {name})), '=')", f"concat('\n', {word(4)})", 1),
+        (f"substring({base64}, 1, 9 + cast(pmod(id, 12) as int))", f"concat({text}, element_at(array('postgres', 'mysql', 'https', 'redis'), cast(pmod(xxhash64(id, 10), 4) as int) + 1), '://', {word(3)}, ':')", "'@db.internal/app'", 1),
+        ("sha1(cast(id as string))", f"concat('{{\"', {word(1)}, '\": 1, \"commit\": \"')", "'\", \"id\": 5'", 0),
+        ("sha1(cast(id as string))", f"concat({word(1)}, '\nGIT_COMMIT=')", f"concat('\n', {word(4)})", 0),
+        (f"concat({word(5)}, '-', {word(6)}, '-', pmod(id, 1000), '-', {word(7)})", f"concat({text}, 'https://', {word(3)}, '.example.org/')", f"concat(' ', {word(4)})", 0),
+        (f"concat_ws('-', {', '.join(f'substring({letters}, {i}, 4)' for i in (1, 5, 9, 13))})", f"concat({text}, {name}, ': ')", f"concat(' ', {word(4)})", 1),
+        (f"concat_ws('-', {word(5)}, {word(6)}, {word(7)}, {word(8)}, {word(9)})", f"concat({text}, {name}, ': ')", f"concat(' ', {word(4)})", 0),
     ]
     pick = lambda i: "CASE " + " ".join(f"WHEN kind = {k} THEN {x[i]}" for k, x in enumerate(kinds)) + " END"
     made = spark.range(0, rows, 1, 4).withColumn("kind", F.expr(f"cast(id % {len(kinds)} as int)"))
     made = made.select("id", "kind", *(F.expr(pick(i)).alias(c) for i, c in enumerate(("value", "left", "right", "label"))))
+    beside = "element_at(array('then id', 'id', 'commit', 'checksum', 'token', 'and hash', 'secret', 'version'), cast(pmod(xxhash64(id, {0}), 8) as int) + 1)"
+    quote = r"regexp_extract(right, '^[^\w\s]?', 0)"  # what ends the value stays, and all of a URL's host
+    right = f"CASE WHEN pmod(xxhash64(id, 30), 2) = 0 AND NOT startswith(right, '@') THEN concat({quote}, ' ', {beside.format(32)}, ' ') ELSE right END"
+    left = f"CASE WHEN pmod(xxhash64(id, 31), 2) = 0 THEN concat({beside.format(33)}, ' ', left) ELSE left END"
     docs = "element_at(array('tests/fixtures/keys.txt', 'docs/setup.md', 'examples/demo.py', 'README.md'), cast(pmod(xxhash64(id, 22), 4) as int) + 1)"
     code = "element_at(array('app/config.py', 'deploy/prod.env', 'settings.yaml', 'infra/main.tf'), cast(pmod(xxhash64(id, 23), 4) as int) + 1)"
     path = f"CASE WHEN pmod(xxhash64(id, 20), 3) = 0 THEN concat('src', pmod(id, 20)) WHEN pmod(xxhash64(id, 21), 10) < CASE label WHEN 1 THEN 1 ELSE 7 END THEN {docs} ELSE {code} END"
-    return made.select("value", "left", "right", F.expr(path).alias("path"), "label", "kind")
+    return made.select("value", F.expr(left).alias("left"), F.expr(right).alias("right"), F.expr(path).alias("path"), "label", "kind")
 
 
 @dataclass
@@ -245,7 +263,9 @@ def train(findings: DataFrame, dictionary: DataFrame) -> Detector:
     odds, words = learn_transitions(findings), learn_words(findings)
     seen = _assembler().transform(describe(findings, odds, words, dictionary))
     forest = RandomForestClassifier(labelCol="label", featuresCol="__features", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-    return Detector(odds, words, forest.fit(seen.select("__features", F.col("label").cast("double").alias("label")).coalesce(4)), dictionary)
+    keys = ["value", "left", "right", "path", "label"]
+    rows = seen.repartition(4, *keys).sortWithinPartitions(*keys)  # the forest's draws go by place, so that it is the same every time
+    return Detector(odds, words, forest.fit(rows.select("__features", F.col("label").cast("double").alias("label"))), dictionary)
 
 
 def scan(docs: DataFrame, detector: Detector, path: str = "source", found: str | None = None) -> DataFrame:
