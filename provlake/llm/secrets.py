@@ -264,7 +264,7 @@ def train(findings: DataFrame, dictionary: DataFrame) -> Detector:
     seen = _assembler().transform(describe(findings, odds, words, dictionary))
     forest = RandomForestClassifier(labelCol="label", featuresCol="__features", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
     keys = ["value", "left", "right", "path", "label"]
-    rows = seen.repartition(4, *keys).sortWithinPartitions(*keys)  # the forest's draws go by place, so that it is the same every time
+    rows = seen.coalesce(4).sortWithinPartitions(*keys)  # the forest's draws go by place, so that it doesn't change from run to run
     return Detector(odds, words, forest.fit(rows.select("__features", F.col("label").cast("double").alias("label"))), dictionary)
 
 
