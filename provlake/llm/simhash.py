@@ -17,6 +17,8 @@ lies in one half of that rest, so balls of radius 1 about its two halves meet ev
 pieces of 8 bits, where 256 values are all there can be. So a prober meets at most so many members of an entry, however
 many share a segment, and no link between components is lost.
 
+No join broadcasts: a table entry's file is small, but the balls about it aren't, and the driver would have to hold them.
+
 Components come from alternating large and small stars: min-aggregations and joins, never a collected edge list.
 
 Defined results: a text without words (null, empty, white space only) has fingerprint zero and links like any other; one
@@ -85,6 +87,11 @@ def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join that is shuffled at any size: both sides grow with the corpus, and their files don't tell how many rows explode() makes of them."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def pivot_links(fps: DataFrame) -> DataFrame:
     """(u, v): each fingerprint with the smallest that shares a segment, or 48 bits, where they are near enough."""
     high, low = _segments("fp")
@@ -92,7 +99,7 @@ def pivot_links(fps: DataFrame) -> DataFrame:
     keys = F.array(*(F.struct(F.lit(k).alias("kind"), a.alias("a"), (F.lit(0).cast("long") if b is None else b).alias("b")) for k, (a, b) in enumerate(parts)))
     rows = fps.select("fp", F.explode(keys).alias("key"))
     pivots = rows.groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).where("pivot < last").drop("last")
-    near = rows.join(pivots, "key").where((F.col("fp") != F.col("pivot")) & (_apart("fp", "pivot") <= DISTANCE))
+    near = _join(rows, pivots, "key").where((F.col("fp") != F.col("pivot")) & (_apart("fp", "pivot") <= DISTANCE))
     return near.select(F.col("fp").alias("u"), F.col("pivot").alias("v")).distinct()
 
 
@@ -111,8 +118,8 @@ def _halves(rest: str, bits: int) -> str:
 def _compare(table: DataFrame, probes: DataFrame, bits: int) -> DataFrame:
     """(fp, comp, fp2, comp2) to verify: probers (key, rest, fp, comp) beside members of the same key; rest: the `bits` bits that the key leaves open."""
     sizes = table.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("members"))
-    open_probes = probes.join(sizes, "key").where((F.col("least") != F.col("comp")) | (F.col("most") != F.col("comp"))).drop("least", "most")
-    pairs = lambda p: p.select("key", "fp", "comp").join(table.select("key", F.col("fp").alias("fp2"), F.col("comp").alias("comp2")), "key").where("comp != comp2").drop("key")
+    open_probes = _join(probes, sizes, "key").where((F.col("least") != F.col("comp")) | (F.col("most") != F.col("comp"))).drop("least", "most")
+    pairs = lambda p: _join(p.select("key", "fp", "comp"), table.select("key", F.col("fp").alias("fp2"), F.col("comp").alias("comp2")), "key").where("comp != comp2").drop("key")
     crowded = sizes.where(F.col("members") > CROWD).select("key")
     if bits <= 8 or crowded.isEmpty():
         return pairs(open_probes)
@@ -121,7 +128,7 @@ def _compare(table: DataFrame, probes: DataFrame, bits: int) -> DataFrame:
     deeper = lambda df, values: df.select("fp", "comp", "key", F.explode(F.expr(_halves("rest", bits))).alias("h")).select(
         "fp", "comp", F.col("h.rest").alias("rest"), F.explode(F.expr(values)).alias("value"), F.col("key").alias("above"), F.col("h.half").alias("half")
     ).select("fp", "comp", "rest", F.struct("above", "half", "value").alias("key"))
-    members = materialize(deeper(table.join(crowded, "key", "left_semi"), "array(h.value)"), "members")
+    members = materialize(deeper(_join(table, crowded, "key", "left_semi"), "array(h.value)"), "members")
     probers = deeper(open_probes.where(F.col("members") > CROWD), _ball("h.value", half))
     return pairs(open_probes.where(F.col("members") <= CROWD)).unionByName(_compare(members, probers, half))
 
@@ -149,10 +156,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = links.union(links.select("v", "u"))
         roots = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root"))
-        large = both.join(roots, "u").where("v > u").select(F.col("v").alias("u"), F.col("root").alias("v"))
+        large = _join(both, roots, "u").where("v > u").select(F.col("v").alias("u"), F.col("root").alias("v"))
         large, done = materialize(large.union(roots.where("u != root").select("u", F.col("root").alias("v"))).distinct(), "links"), links
         roots = large.groupBy("u").agg(F.min("v").alias("root"))
-        small = large.join(roots, "u").where("v != root").select(F.col("v").alias("u"), F.col("root").alias("v"))
+        small = _join(large, roots, "u").where("v != root").select(F.col("v").alias("u"), F.col("root").alias("v"))
         links = materialize(small.union(roots.select("u", F.col("root").alias("v"))).distinct(), "links")
         discard(done)
         discard(large)
@@ -165,7 +172,7 @@ def components(links: DataFrame) -> DataFrame:
 def _roots(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """nodes with column `name` led to the root of its component; a node without links is its own."""
     found = components(links)
-    return nodes.join(found.withColumnRenamed("node", name), name, "left").withColumn(name, F.coalesce("root", name)).drop("root")
+    return _join(nodes, found.withColumnRenamed("node", name), name, "left").withColumn(name, F.coalesce("root", name)).drop("root")
 
 
 def fingerprint_components(fps: DataFrame) -> DataFrame:
@@ -178,9 +185,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links reach, for every row."""
     rows = materialize(fingerprints(docs), "fingerprints")
     firsts = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    comps = materialize(fingerprint_components(firsts.select("fp")).join(firsts, "fp"), "comps")
-    names = comps.join(comps.groupBy("comp").agg(F.min("first").alias("component_id")), "comp").select("fp", "component_id")
-    return rows.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    comps = materialize(_join(fingerprint_components(firsts.select("fp")), firsts, "fp"), "comps")
+    names = _join(comps, comps.groupBy("comp").agg(F.min("first").alias("component_id")), "comp").select("fp", "component_id")
+    return _join(rows, names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -182,6 +182,17 @@ def test_simhash_crowded_segment(spark):
     assert simhash.compared(rows.withColumn("comp", F.col("fp"))).count() < 150 * len(prints)
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_simhash_broadcasts_nothing(spark):
+    """A small file of fingerprints makes many rows of balls, which the driver can't hold."""
+    rows = common.materialize(spark.range(1000).select(F.xxhash64("id").alias("fp"), F.xxhash64("id").alias("comp")), "fps")
+    for df in (simhash.ball_links(rows), simhash.pivot_links(rows), simhash._roots(rows, simhash.pivot_links(rows), "comp")):
+        assert "Join" in _plan(df) and "Broadcast" not in _plan(df)
+
+
 def test_simhash_odd_rows(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
