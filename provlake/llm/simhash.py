@@ -195,5 +195,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("hash"))
     rows = materialize(docs.select(rank.alias("rank"), _fingerprints("text").alias("fp")), "fingerprints")
     firsts = materialize(rows.groupBy("fp").agg(F.min("rank").alias("rank")), "firsts")
-    kept = fingerprint_components(firsts.select("fp")).join(firsts, "fp").groupBy("comp").agg(F.min("rank").alias("__rank")).select("__rank")
-    return docs.withColumn("__rank", rank).join(materialize(kept, "kept"), "__rank", "left_semi").dropDuplicates(["__rank"]).drop("__rank")
+    kept = _join(fingerprint_components(firsts.select("fp")), firsts, "fp").groupBy("comp").agg(F.min("rank").alias("__rank")).select("__rank")
+    return _join(docs.withColumn("__rank", rank), materialize(kept, "kept"), "__rank", "left_semi").dropDuplicates(["__rank"]).drop("__rank")

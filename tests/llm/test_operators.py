@@ -193,6 +193,12 @@ def test_simhash_broadcasts_nothing(spark):
         assert "Join" in _plan(df) and "Broadcast" not in _plan(df)
 
 
+def test_simhash_stage_broadcasts_nothing(spark, data):
+    """The pipeline's stage: the documents kept are as many as the corpus has."""
+    plan = _plan(simhash.keep_one(common.table(spark, data, "documents")))
+    assert "Join" in plan and "Broadcast" not in plan
+
+
 def test_simhash_odd_rows(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
