@@ -14,3 +14,20 @@ def test_query_matches_sql(name, same_rows):
 def test_query_without_sql_runs(name, spark, data):
     rows = plans.QUERIES[name](spark, data)
     assert rows.columns and rows.count() > 0
+
+
+def test_links_of_an_execution_with_the_number_of_the_sql(spark, duck, tmp_path):
+    """wrt06: on larger tables there is an execution 999999."""
+    from provlake.plans import ORACLE, QUERIES
+
+    for t in ("region", "nation", "customer", "part", "events", "orders", "lineitem"):
+        key = {"orders": "o_orderkey", "lineitem": "l_orderkey"}.get(t)
+        duck.execute(f"COPY (SELECT * {f'REPLACE ({key} + 999000 AS {key})' if key else ''} FROM {t}) TO '{tmp_path}/{t}.parquet'")
+    other = duck.cursor()
+    other.execute("CREATE SCHEMA large")
+    other.execute("SET schema = 'large'")
+    for t in ("region", "nation", "customer", "part", "events", "orders", "lineitem"):
+        other.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = sorted(other.execute(ORACLE["wrt06_link_absent"]).fetchall())
+    got = sorted((r.artifact_id, r.execution_id, r.type) for r in QUERIES["wrt06_link_absent"](spark, str(tmp_path)).collect())
+    assert got == want and sum(r[1] == 999999 for r in want) > duck.execute("SELECT count(*) FROM part").fetchone()[0]
