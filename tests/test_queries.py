@@ -31,3 +31,15 @@ def test_links_of_an_execution_with_the_number_of_the_sql(spark, duck, tmp_path)
     want = sorted(other.execute(ORACLE["wrt06_link_absent"]).fetchall())
     got = sorted((r.artifact_id, r.execution_id, r.type) for r in QUERIES["wrt06_link_absent"](spark, str(tmp_path)).collect())
     assert got == want and sum(r[1] == 999999 for r in want) > duck.execute("SELECT count(*) FROM part").fetchone()[0]
+
+
+def test_best_trials_without_metrics(spark, duck):
+    """agg10: steps without metric and trials of nothing else, as arg_max has them; equal steps are left open by it, and the first one's here."""
+    from provlake.operators import selection
+
+    rows = [(1, 1, None, "a"), (1, 2, 3.0, "b"), (1, 3, 3.0, "c"), (2, 1, None, "d"), (3, 1, float("nan"), "e"), (3, 2, 1.0, "f")]
+    steps = spark.createDataFrame(rows, "trial int, step int, metric double, model string")
+    best = lambda largest: {r.trial: r.model for r in selection.best_trials(steps, "metric", largest=largest).collect()}
+    assert best(True) == {1: "b", 2: None, 3: "e"} and best(False) == {1: "b", 2: None, 3: "f"}
+    values = ", ".join(f"({t}, {'NULL' if m is None else repr(str(m))}::DOUBLE, '{x}')" for t, s, m, x in rows if x != "c")
+    assert dict(duck.execute(f"SELECT t, arg_max(x, m) FROM (VALUES {values}) AS v(t, m, x) GROUP BY t").fetchall()) == best(True)
