@@ -26,26 +26,32 @@ def property_maps(props: DataFrame, key: str) -> DataFrame:
     return props.groupBy(F.col(key).alias("id")).agg(of(~F.col("is_custom_property"), F.col("name")).alias("properties"), of(F.col("is_custom_property"), user).alias("custom_properties"))
 
 
-def executions_payload(store: MetadataStore, since: int | None = None, uuid: str | None = None, among: DataFrame | None = None) -> DataFrame:
-    """One row for each execution with its nested events: only those updated after `since`, with this uuid, or among these (id), where given.
-
-    The filters come first, so events and properties are joined for the executions that are left.
-    """
+def _chosen(store: MetadataStore, since: int | None, uuid: str | None, among: DataFrame | None) -> DataFrame:
+    """Executions updated after `since`, with this uuid, or among these (id), where given."""
     runs = store.execution if not since else store.execution.where(F.col("last_update_time_since_epoch") > since)
     if uuid is not None:
         has = store.executionproperty.where((F.col("name") == "Execution_uuid") & F.array_contains(F.split("string_value", ","), uuid))
         runs = runs.join(has.select(F.col("execution_id").alias("id")), "id", "left_semi")
-    runs = runs if among is None else runs.join(among.select("id"), "id", "left_semi")
+    return runs if among is None else runs.join(among.select("id"), "id", "left_semi")
+
+
+def executions_payload(store: MetadataStore, since: int | None = None, uuid: str | None = None, among: DataFrame | None = None) -> DataFrame:
+    """One row for each execution with its nested events: only those updated after `since`, with this uuid, or among these (id), where given.
+
+    The filters come first, so events and properties are joined for the executions that are left. Property maps and what
+    holds them are never broadcast: Spark takes their size from files that don't tell how many properties they make.
+    """
+    runs = _chosen(store, since, uuid, among)
     ids = runs.select(F.col("id").alias("execution_id"))
     events = store.event.join(ids, "execution_id", "left_semi")
     used = events.select(F.col("artifact_id").alias("id")).distinct()
-    arts = with_type(store, store.artifact.join(used, "id", "left_semi")).join(property_maps(store.artifactproperty, "artifact_id"), "id", "left")
+    arts = with_type(store, store.artifact.join(used, "id", "left_semi")).join(property_maps(store.artifactproperty, "artifact_id").hint("merge"), "id", "left")
     one = F.struct("id", "name", "type", "uri", "last_update_time_since_epoch", "properties", "custom_properties")
-    events = events.select("execution_id", F.col("artifact_id"), F.col("type").alias("direction")).join(arts.select(F.col("id").alias("artifact_id"), one.alias("artifact")), "artifact_id")
+    events = events.select("execution_id", F.col("artifact_id"), F.col("type").alias("direction")).join(arts.select(F.col("id").alias("artifact_id"), one.alias("artifact")).hint("merge"), "artifact_id")
     nested = events.groupBy(F.col("execution_id").alias("id")).agg(F.collect_list(F.struct("artifact_id", F.col("direction").alias("type"), "artifact")).alias("found"))
     nested = nested.select("id", F.transform(F.array_sort("found", lambda a, b: F.when(a["artifact_id"] < b["artifact_id"], -1).when(a["artifact_id"] > b["artifact_id"], 1).otherwise(a["type"] - b["type"])), lambda x: F.struct(x["type"].alias("type"), x["artifact"].alias("artifact"))).alias("events"))
     props = property_maps(store.executionproperty.join(ids, "execution_id", "left_semi"), "execution_id")
-    return with_type(store, runs).join(props, "id", "left").join(nested, "id", "left")
+    return with_type(store, runs).join(props.hint("merge"), "id", "left").join(nested.hint("merge"), "id", "left")
 
 
 def payload_rows(store: MetadataStore, pipeline: str | None = None, since: int | None = None, uuid: str | None = None) -> DataFrame:
@@ -53,14 +59,19 @@ def payload_rows(store: MetadataStore, pipeline: str | None = None, since: int |
 
     since 0 or none: everything. A stage or pipeline without executions has a row without execution in a full export, and
     in an incremental one if it was updated itself (MRG10).
+
+    Executions get pipeline and stage while they are ids, and meet their nested events by id: a join of nested rows by
+    stage would bring all of a stage's to one task.
     """
     head = lambda name: F.struct("id", "name", "last_update_time_since_epoch").alias(name)
     tops = pipelines(store, pipeline)
     stages = store.stages.select(F.col("id").alias("context_id"), "pipeline_id", head("stage")).join(tops.select(F.col("id").alias("pipeline_id"), head("pipeline")), "pipeline_id")
     run = F.struct("id", "name", "type", "last_update_time_since_epoch", "properties", "custom_properties", "events").alias("execution")
     links = store.association.select("context_id", F.col("execution_id").alias("id")).distinct()
-    found = links.join(executions_payload(store, since, uuid, links.join(stages.select("context_id"), "context_id", "left_semi") if pipeline is not None else None), "id")
-    rows = stages.join(found.select("context_id", run), "context_id", "left").select("pipeline", "stage", "execution")
+    among = links.join(stages.select("context_id"), "context_id", "left_semi") if pipeline is not None else None
+    found = links.join(stages, "context_id").join(executions_payload(store, since, uuid, among).hint("merge"), "id").select("pipeline", "stage", run)
+    used = links.join(_chosen(store, since, uuid, among).select("id"), "id", "left_semi").select("context_id").distinct()
+    rows = found.unionByName(stages.join(used, "context_id", "left_anti").select("pipeline", "stage"), allowMissingColumns=True)
     bare = tops.join(store.stages.select(F.col("pipeline_id").alias("id")), "id", "left_anti").select(head("pipeline"))
     rows = rows.unionByName(bare, allowMissingColumns=True)
     if not since and uuid is None:

@@ -70,3 +70,15 @@ def test_good_part_is_merged(spark):
     assert sorted((r.reason, r.execution_id) for r in rejects.collect()) == [("corrupt_json", None), ("unknown_type", 2)]
     assert part.event.count() == whole.event.count() - 1 and part.artifact.count() == whole.artifact.count() - 1
     assert part.execution.count() == whole.execution.count()
+
+
+def test_payload_rows_neither_broadcast_nor_by_stage(spark, data):
+    """Property maps outgrow their files, and nested rows of one stage would all meet in one task."""
+    from provlake.plans import adapter
+
+    lines = export.payload_rows(adapter.load(spark, data, "a"), "ASIA")._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x or "hashpartitioning(context_id" in x:
+            below = next((k for k in range(i + 1, len(lines)) if depth(lines[k]) <= depth(x)), len(lines))
+            assert not any("collect_" in y for y in lines[i:below]), x
