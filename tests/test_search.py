@@ -76,3 +76,18 @@ def test_pages_with_an_index(spark, data):
         plain = browse.executions_page(store, "ASIA", "ASIA/NATION_17", page).collect()
         assert browse.executions_page(store, "ASIA", "ASIA/NATION_17", page, index.candidates(text)).collect() == plain
     assert index.candidates("1-urgent").count() < store.execution.count() / 3
+
+
+def test_a_gram_that_many_have_is_a_row_for_each_block(spark):
+    """Rows follow blocks and grams, not every gram of every text; ids far apart, negative or next to a block's ends are found."""
+    ids = [*range(-5, 3 * search.BLOCK), 2**62, -(2**61)]
+    index = search.Index(spark, scratch_path(spark, "index"))
+    index.update(spark.createDataFrame([(i, f"run of {'odd' if i % 2 else 'even'} number {i % 100}") for i in ids], SCHEMA))
+    rows = index.read(index.manifest(), "postings", list(range(search.BUCKETS)))
+    assert rows.count() < len(ids) and rows.where("gram = 'run'").agg(F.sum("n")).first()[0] == len(ids)
+    assert {r.id for r in index.candidates("%odd%").collect()} == {i for i in ids if i % 2}
+    assert {r.id for r in index.found("EVEN number 7%").collect()} == {i for i in ids if i % 2 == 0 and str(i % 100).startswith("7")}
+    assert index.found("4_").count() == sum(str(i % 100)[:1] == "4" and i % 100 > 9 for i in ids)
+    index.update(spark.createDataFrame([(search.BLOCK, None), (2**62, "run of nothing")], SCHEMA))
+    assert {r.id for r in index.candidates("even").collect()} == {i for i in ids if i % 2 == 0} - {search.BLOCK, 2**62}
+    assert {r.id for r in index.found("nothing", spark.createDataFrame([(1,), (2**62,)], "id long")).collect()} == {2**62}
