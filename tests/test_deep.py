@@ -91,3 +91,19 @@ def test_walk_over_a_store(spark, down):
         ends = {"stop_artifacts": F.col("id") % 41 == 40, "stop_executions": F.col("id") % 41 == 40} if stop else {}
         got = lineage.walk(store, spark.createDataFrame([(i,) for i in start], "id long"), down, **ends)
         assert [dict(map(tuple, x.collect())) for x in got] == [artifacts, runs] and [x.count() for x in got] == [len(artifacts), len(runs)]
+
+
+@pytest.mark.parametrize("down", [True, False])
+def test_a_growing_walk_is_not_contracted(spark, monkeypatch, down):
+    """Seven hops that double what is reached: contraction would take the whole store along for a walk that is nearly over."""
+    monkeypatch.setattr(deep, "distances", lambda *_: pytest.fail("contracted"))
+    n = 2**7 - 1
+    near, far = (3, 4) if down else (4, 3)
+    events = [(i, i, near) for i in range(n)] + [(2 * i + k, i, far) for i in range(n) for k in (1, 2)]
+    frame = spark.createDataFrame([(i, a, e, t, 0) for i, (a, e, t) in enumerate(events)], "id long, artifact_id long, execution_id long, type int, milliseconds_since_epoch long")
+    start = spark.createDataFrame([(0,)], "id long")
+    want = {i: (i + 1).bit_length() - 1 for i in range(2 * n + 1)}
+    artifacts, runs = lineage.walk(MetadataStore(spark, {"event": frame}), start, down)
+    assert dict(map(tuple, artifacts.collect())) == want and dict(map(tuple, runs.collect())) == {i: want[i] + 1 for i in range(n)}
+    edges = spark.createDataFrame([(i, 2 * i + k) for i in range(n) for k in (1, 2)], "parent long, child long")
+    assert dict(map(tuple, lineage.closure(edges, start).collect())) == want
