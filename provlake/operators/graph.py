@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..checkpoint import stored
 from ..functions.values import property_map
 from ..schema import INPUT
 from ..store import MetadataStore
 from .catalog import with_type
-from .lineage import execution_edges, inputs, outputs
+from .lineage import inputs, outputs
 
 
 def context_vertices(store: MetadataStore) -> DataFrame:
@@ -68,11 +70,18 @@ def derivation_edges(store: MetadataStore, name_property: str = "Execution_type_
 def linked_edges(store: MetadataStore, present: DataFrame | None = None) -> DataFrame:
     """GRF07, JON17: for each execution the first producer that it isn't linked to yet; present: edges (src, dst).
 
-    Without present edges the two smallest producers of each artifact are enough, as one of them isn't the reader itself.
+    Without present edges the two smallest producers of each artifact are enough, as one of them isn't the reader itself;
+    a reader of n present edges needs the n + 2 smallest. So no artifact's producers are multiplied by its readers.
     """
     if present is not None:
-        edges = execution_edges(store).select(F.col("parent").alias("src"), F.col("child").alias("dst"))
-        return edges.join(present, ["src", "dst"], "left_anti").groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst")
+        linked = stored(present.select("src", "dst"))
+        many = linked.groupBy("dst").agg(F.count("*").alias("n"))
+        most = many.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        nth = F.dense_rank().over(Window.partitionBy("artifact_id").orderBy("execution_id"))  # an execution's repeated events count once
+        wrote = outputs(store).withColumn("nth", nth).where(F.col("nth") <= most + 2).select("artifact_id", F.col("execution_id").alias("src"), "nth")
+        read = inputs(store).withColumnRenamed("execution_id", "dst").join(many, "dst", "left").select("artifact_id", "dst", F.coalesce("n", F.lit(0)).alias("n"))
+        rows = read.join(wrote, "artifact_id").where("nth <= n + 2 and src != dst").select("src", "dst")
+        return rows.join(linked, ["src", "dst"], "left_anti").groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst")
     wrote = outputs(store)
     first = wrote.groupBy("artifact_id").agg(F.min("execution_id").alias("first"))
     second = wrote.join(first, "artifact_id").where("execution_id > first").groupBy("artifact_id").agg(F.min("execution_id").alias("second"))

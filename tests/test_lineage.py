@@ -201,3 +201,24 @@ def test_disagreement_and_farthest(spark):
     assert [r.id for r in selection.most_disagreement(pool, 1).collect()] == [1]
     points = spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [10.0]), (3, [5.0])], "id long, embedding array<double>")
     assert [r.id for r in selection.farthest_first(points, 2, 0).orderBy("nth").collect()] == [0, 2, 3]
+
+
+def test_unlinked_producers_without_the_product(spark):
+    """jon17: beside all pairs, with any present edges, repeated events and a hot artifact; a hundredfold of pairs isn't made."""
+    from provlake.operators import graph
+
+    r = random.Random(7)
+    wrote = [(r.randrange(12), r.randrange(40)) for _ in range(120)] + [(99, e) for e in range(300)]
+    read = [(r.randrange(12), r.randrange(40)) for _ in range(120)] + [(99, e) for e in range(300)]
+    pairs = {(p, c) for a, p in wrote for b, c in read if a == b and p != c}
+    present = r.sample(sorted(pairs), 60) + [(s, 5) for s in range(50)] * 2 + [(700, 701)]
+    events = [(i, a, e, t, i) for i, (a, e, t) in enumerate([(a, e, 4) for a, e in wrote] + [(a, e, 3) for a, e in read])]
+    store = MetadataStore(spark, {"event": spark.createDataFrame(events, "id long, artifact_id long, execution_id long, type int, milliseconds_since_epoch long")})
+    want = {}
+    for s, d in sorted(pairs - set(present), reverse=True):
+        want[d] = s
+    got = graph.linked_edges(store, spark.createDataFrame(present, "src long, dst long"))
+    assert {x.dst: x.src for x in got.collect()} == want
+    plan = graph.linked_edges(store, spark.createDataFrame([(1, 2)], "src long, dst long"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "dense_rank" in plan
+    assert graph.linked_edges(store, spark.createDataFrame([], "src long, dst long")).count() == len({d for _, d in pairs})
