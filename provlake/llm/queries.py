@@ -48,7 +48,9 @@ def dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(w.decode(),) for w in sorted(pieces) if len(w) >= 3 and w.isalpha() and w.isascii()], "word string")
 
 
+@functools.lru_cache(maxsize=1)
 def secret_detector(spark: SparkSession) -> secrets.Detector:
+    """Trained once for each session: its findings are made by rule, so every training gives the same detector."""
     return secrets.train(secrets.synthetic_findings(spark), dictionary(spark))
 
 

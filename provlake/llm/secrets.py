@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import checkpoint, materialize
 
 #: Rows that synthetic_findings() makes.
 MADE = 8000
@@ -141,7 +141,11 @@ def learn_words(rows: DataFrame) -> dict[str, float]:
 
 
 def _known(odds: dict[str, float]) -> Column:
-    return F.create_map(*(F.lit(x) for k, o in odds.items() for x in (k, o))) if odds else F.create_map().cast("map<string,double>")
+    """The log-odds as a map of two literals, however many there are; no key has a line break."""
+    if not odds:
+        return F.create_map().cast("map<string,double>")
+    keys, values = (F.split(F.lit("\n".join(x)), "\n") for x in (odds, map(repr, odds.values())))
+    return F.map_from_arrays(keys, values.cast("array<double>"))
 
 
 def describe(rows: DataFrame, odds: dict[str, float], words: dict[str, float], dictionary: DataFrame) -> DataFrame:
@@ -265,7 +269,8 @@ def train(findings: DataFrame, dictionary: DataFrame) -> Detector:
     forest = RandomForestClassifier(labelCol="label", featuresCol="__features", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
     keys = ["value", "left", "right", "path", "label"]
     rows = seen.coalesce(4).sortWithinPartitions(*keys)  # the forest's draws go by place, so that it doesn't change from run to run
-    return Detector(odds, words, forest.fit(rows.select("__features", F.col("label").cast("double").alias("label"))), dictionary)
+    rows = checkpoint(rows.select("__features", F.col("label").cast("double").alias("label")))  # fit() plans and reads its rows five times
+    return Detector(odds, words, forest.fit(rows), dictionary)
 
 
 def scan(docs: DataFrame, detector: Detector, path: str = "source", found: str | None = None) -> DataFrame:

@@ -382,6 +382,20 @@ def test_secrets_held_out_kinds(spark):
     assert all(weight[k] > 0.005 for k in ("path_doc", "dictionary", "word_odds")), weight
 
 
+def test_secrets_training_reads_its_findings_once(spark, monkeypatch):
+    """The forest gets computed rows: the plan that describes findings isn't planned and run again by each step of fit()."""
+    plans, fit = [], secrets.RandomForestClassifier.fit
+    monkeypatch.setattr(secrets.RandomForestClassifier, "fit", lambda self, rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or fit(self, rows))
+    odds = {f"<w{i}": i / 7 for i in range(1000)}
+    row = spark.range(1).select(secrets._known(odds).alias("m"))
+    assert row._jdf.queryExecution().logical().toString().count("<w999") == 1 and row.first().m == odds
+    assert secrets._known({}) is not None and spark.range(1).select(secrets._known({}).alias("m")).first().m == {}
+    words = spark.createDataFrame([("abc",), ("key",)], "word string")
+    secrets.train(secrets.synthetic_findings(spark, 200), words)
+    assert len(plans) == 1 and "Join" not in plans[0] and "Project" not in plans[0], plans
+    assert queries.secret_detector(spark) is queries.secret_detector(spark)
+
+
 def test_secrets_plain_leaks(spark, detector):
     """What follows a value doesn't overturn its name; names stay; passwords of URLs are found."""
     hexed, other, aws, word = "3f786850e387550fdab836ed7e6dc881de23001b", "0123456789abcdef0123456789abcdef01234567", "wJalrXUtnFEMIK7MDENGbPxRfiCYzQkLm3n8TvWs", "Sup3rS3cretPw"
