@@ -1,10 +1,14 @@
-"""BPE encoding and decoding: the distinct words of a batch in a trie, whose prefixes are encoded once.
+"""BPE encoding and decoding: the distinct words of a batch as a trie, whose prefixes are encoded once.
 
 The encoding of a prefix is that of a shorter prefix and one token more, its last. So a prefix's state is its last token,
 and a depth-first walk of the trie hands the states of a path down: at each node the last token is the one vocabulary entry
 that ends there and fits behind the last token of the prefix before it. Two tokens fit if merging their bytes never joins
 across them, which their halves and the merges' ranks decide. Words with a common prefix share its states, and a word's
-ids are read back from its end.
+ids are read back from its end. The words in order are that walk: what a word shares with the one before is the path down
+to their fork.
+
+The entries that end at a node come from a second trie, that of the vocabulary, whose nodes link to their longest ends
+that are nodes too.
 
 Texts are split into words as the vocabulary's byte-level pre-tokenizer does, special tokens taken out first where asked
 for. Words are encoded once for each batch of texts, and kept for the next ones within KEPT; very long words follow
@@ -19,7 +23,6 @@ vocabulary is an error.
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 import json
 import unicodedata
@@ -72,12 +75,14 @@ class Vocabulary:
         if any(bytes([b]) not in self.ids for b in range(256)):
             raise ValueError("the vocabulary lacks a byte")
         self.sizes = [len(b) for b in self.bytes]
+        self.packed = [i.to_bytes(4, "little") for i in range(top)]
         self.words, self.own = regex.compile(pattern), Tokenizer.from_file(path).pre_tokenizer
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._learn(model["merges"])
         self.known: dict[str, bytes] = {}
         self.aged: dict[str, bytes] = {}
-        self.fit: dict[tuple[int, int], bool] = {}
+        self.fit: dict[int, bool] = {}
+        self.moves: dict[int, int] = {}
 
     def _learn(self, merges: list) -> None:
         """Ranks of merges; for each token the pieces at its right and left edge while it is made, with the rank that ends each."""
@@ -94,76 +99,82 @@ class Vocabulary:
             self.rank[a, b] = made[whole] = rank
             self.right[whole] = [(whole, NEVER), (b, rank), *self.right[b][1:]]
             self.left[whole] = [(whole, NEVER), (a, rank), *self.left[a][1:]]
-        starts = {token[:n] for token in self.ids for n in range(1, len(token) + 1)}
-        self.starts = starts
-        self.shorter = {}
-        for token, i in self.ids.items():
-            self.shorter[i] = next((self.ids[token[n:]] for n in range(1, len(token)) if token[n:] in self.ids), -1)
+        self._plant()
+
+    def _plant(self) -> None:
+        """The vocabulary's trie: for each node its longest end that is a node, and the longest token that ends there."""
+        self.edges, self.ends, self.longest, self.shorter = {}, [0], [-1], {}
+        node = {b"": 0}
+        for start in sorted({token[:n] for token in self.ids for n in range(1, len(token) + 1)}, key=len):
+            above = node[start[:-1]]
+            end = self._beyond(self.ends[above], start[-1]) if above else 0
+            self.edges[above << 8 | start[-1]] = node[start] = len(self.ends)
+            self.ends.append(end)
+            token = self.ids.get(start)
+            if token is not None:
+                self.shorter[token] = self.longest[end]
+            self.longest.append(self.longest[end] if token is None else token)
+
+    def _beyond(self, node: int, b: int) -> int:
+        """The node of the longest end of a node's bytes and one byte more."""
+        while (below := self.edges.get(node << 8 | b)) is None:
+            node = self.ends[node]
+        return below
+
+    def move(self, key: int) -> int:
+        """_beyond() of a node and a byte in one number, remembered."""
+        if len(self.moves) > 20 * KEPT:
+            self.moves.clear()
+        self.moves[key] = node = self._beyond(key >> 8, key & 255)
+        return node
 
     def fits(self, before: int, after: int) -> bool:
         """Whether two tokens side by side stay two: no merge joins a piece at the one's end to a piece at the other's start."""
-        key = before, after
-        if key not in self.fit:
-            if len(self.fit) > 20 * KEPT:
-                self.fit.clear()
-            self.fit[key] = not any((rank := self.rank.get((a, b))) is not None and rank < end_a and rank <= end_b for a, end_a in self.right[before] for b, end_b in self.left[after])
-        return self.fit[key]
-
-    def step(self, path: bytearray, last: list[int], reach: list[int]) -> None:
-        """The state of the path's newest byte: its last token, and the length of the longest end that a token starts with."""
-        depth = len(path)
-        size = reach[depth - 1] + 1
-        while bytes(path[depth - size :]) not in self.starts:
-            size -= 1
-        reach.append(size)
-        while (token := self.ids.get(bytes(path[depth - size :]))) is None:
-            size -= 1
-        while self.sizes[token] < depth and not self.fits(last[depth - self.sizes[token]], token):
-            token = self.shorter[token]
-        last.append(token)
+        if len(self.fit) > 20 * KEPT:
+            self.fit.clear()
+        found = not any((rank := self.rank.get((a, b))) is not None and rank < end_a and rank <= end_b for a, end_a in self.right[before] for b, end_b in self.left[after])
+        self.fit[before << 32 | after] = found
+        return found
+
+    def follow(self, word: bytes, last: list[int], nodes: list[int]) -> None:
+        """The states of a word's prefixes, behind those that are there: the last token, and the node of the longest end."""
+        moves, longest, sizes, fit, node = self.moves, self.longest, self.sizes, self.fit, nodes[-1]
+        for depth in range(len(nodes), len(word) + 1):
+            key = node << 8 | word[depth - 1]
+            node = moves.get(key) or self.move(key)
+            token = longest[node]
+            while start := depth - sizes[token]:
+                fits = fit.get(last[start] << 32 | token)
+                if fits or fits is None and self.fits(last[start], token):
+                    break
+                token = self.shorter[token]
+            last.append(token)
+            nodes.append(node)
 
     def read_back(self, last: list[int], depth: int) -> bytes:
         """The ids of the path down to a depth, as little-endian 32-bit integers."""
         ids = []
         while depth:
-            ids.append(last[depth])
-            depth -= self.sizes[last[depth]]
-        return np.array(ids[::-1], "<u4").tobytes()
+            token = last[depth]
+            ids.append(self.packed[token])
+            depth -= self.sizes[token]
+        return b"".join(ids[::-1])
 
     def learn_words(self, words: Iterable[str]) -> None:
-        """Insert words into a trie and walk it depth first; ids go to `known`. The trie has no cycles, so the collector rests."""
-        running = gc.isenabled()
-        gc.disable()
-        try:
-            self._walk(words)
-        finally:
-            if running:
-                gc.enable()
-
-    def _walk(self, words: Iterable[str]) -> None:
-        root: dict = {}
-        for word in words:
-            node = root
-            for b in word.encode():
-                node = node.setdefault(b, {})
-            node[-1] = word
-        path, last, reach = bytearray(), [-1], [0]
-        stack = [(1, b, node) for b, node in root.items()]
-        while stack:
-            depth, b, node = stack.pop()
-            if b < 0:
-                self.known[node] = self.read_back(last, depth - 1)
-                continue
-            del path[depth - 1 :], last[depth:], reach[depth:]
-            path.append(b)
-            self.step(path, last, reach)
-            stack.extend((depth + 1, k, below) for k, below in node.items())
+        """Walk the trie of words depth first; ids go to `known`. Words in the order of their code points are in that of their bytes."""
+        before, last, nodes = b"", [-1], [0]
+        for text in sorted(words):
+            word, fork, most = text.encode(), 0, len(before)
+            while fork < most and before[fork] == word[fork]:
+                fork += 1
+            del last[fork + 1 :], nodes[fork + 1 :]
+            self.follow(word, last, nodes)
+            self.known[text] = self.read_back(last, len(word))
+            before = word
 
     def long_word(self, word: str) -> bytes:
-        path, last, reach = bytearray(), [-1], [0]
-        for b in word.encode():
-            path.append(b)
-            self.step(path, last, reach)
+        path, last = word.encode(), [-1]
+        self.follow(path, last, [0])
         return self.read_back(last, len(path))
 
     def split(self, text: str) -> list[str]:

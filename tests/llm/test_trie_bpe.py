@@ -49,6 +49,20 @@ def test_few_words_kept_and_texts_cut(library, monkeypatch):
     assert len(small.known) <= 7 + 8
 
 
+def test_words_in_order_are_the_trie(vocab, monkeypatch):
+    """Each prefix that words share is followed once, whatever the words' order; words that others begin with, and ends shared by none."""
+    seen, follow = [], vocab.follow
+    monkeypatch.setattr(vocab, "follow", lambda word, last, nodes: seen.append(len(word) + 1 - len(nodes)) or follow(word, last, nodes))
+    words = ["theory", "the", "\U0001f600", "theorem", "\uffee", "t", "é", "èx", "zq"]
+    r = random.Random(5)
+    for _ in range(5):
+        r.shuffle(words)
+        seen.clear()
+        vocab.learn_words(words)
+        assert sum(seen) == len({w.encode()[:n] for w in words for n in range(1, len(w.encode()) + 1)})
+        assert all(vocab.known[w] == vocab.long_word(w) for w in words)
+
+
 def test_whole_table(spark, data, library):
     library.encode_special_tokens = False
     texts = {r.doc_id: r.text or "" for r in common.table(spark, data, "documents").collect()}
