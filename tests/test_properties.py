@@ -31,3 +31,13 @@ def test_names_that_clash_and_missing_names(spark):
     assert got == {1: {"a": "y", "custom_properties_a": "z"}, 2: {"b": "NULL"}, None: {"a": "x"}}
     with pytest.raises(Exception, match="two properties have one name"):
         values.property_map(props, "id", on_clash="raise").collect()
+
+
+def test_nothing_that_grows_with_the_entities_is_broadcast(spark, data):
+    """flt17: files tell little of how large ids and maps of properties are, so only the table of types goes through the driver."""
+    store = adapter.load(spark, data)
+    frame = catalog.entity_frame(store.artifact.select("id", "name"), store.artifactproperty, "artifact_id", ["kind", "size"])
+    for found in (catalog.artifacts_by_ids(store, store.artifact.select("id")), catalog.executions_by_ids(store, store.execution.select("id")), frame):
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        below = [plan[i + 1] for i, line in enumerate(plan) if "BroadcastExchange" in line]
+        assert not any("Aggregate" in line or "p_partkey" in line or "o_orderkey" in line for line in below), below
