@@ -120,9 +120,10 @@ def farthest_first(pool: DataFrame, n: int, labeled: int | list[int], vector: st
 def best_trials(metrics: DataFrame, metric: str, n: int | None = None, largest: bool = True) -> DataFrame:
     """AGG10, SRT09: each trial's best step and its model; with n, whether it is among the n best trials.
 
-    Of equally good steps the first; a step without metric is never the best one. NaN is larger than any number.
+    Of equally good steps the first; a step without metric is never the best one. NaN is larger than any number. The model is
+    that of the best step that has one.
     """
-    order = F.when(F.col(metric).isNotNull(), F.struct(F.col(metric), -F.col("step") if largest else F.col("step")))
+    order = F.when(F.col(metric).isNotNull() & F.col("model").isNotNull(), F.struct(F.col(metric), -F.col("step") if largest else F.col("step")))
     best = metrics.groupBy("trial").agg((F.max_by if largest else F.min_by)("model", order).alias("model"), (F.max if largest else F.min)(metric).alias("best"))
     if n is None:
         return best

@@ -43,3 +43,16 @@ def test_best_trials_without_metrics(spark, duck):
     assert best(True) == {1: "b", 2: None, 3: "e"} and best(False) == {1: "b", 2: None, 3: "f"}
     values = ", ".join(f"({t}, {'NULL' if m is None else repr(str(m))}::DOUBLE, '{x}')" for t, s, m, x in rows if x != "c")
     assert dict(duck.execute(f"SELECT t, arg_max(x, m) FROM (VALUES {values}) AS v(t, m, x) GROUP BY t").fetchall()) == best(True)
+
+
+def test_best_trials_without_models(spark, duck, tmp_path):
+    """agg10: arg_max passes over steps without model, max doesn't."""
+    rows = "(1, NULL, 9.0), (1, 11, 3.0), (1, 12, 4.0), (2, NULL, 1.0), (3, 31, NULL), (3, NULL, 2.0)"
+    duck.execute(f"COPY (SELECT u::BIGINT AS user_id, e::BIGINT AS event_id, v::DOUBLE AS value FROM (VALUES {rows}) AS t(u, e, v)) TO '{tmp_path}/events.parquet'")
+    other = duck.cursor()
+    other.execute("CREATE SCHEMA nameless")
+    other.execute("SET schema = 'nameless'")
+    other.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = sorted(other.execute(plans.ORACLE["agg10_best_trials"]).fetchall())
+    assert want == [(1, "model-12", 9.0), (2, None, 1.0), (3, None, 2.0)]
+    assert sorted(tuple(r) for r in plans.QUERIES["agg10_best_trials"](spark, str(tmp_path)).select("trial", "model", "best").collect()) == want
