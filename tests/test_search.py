@@ -91,3 +91,28 @@ def test_a_gram_that_many_have_is_a_row_for_each_block(spark):
     index.update(spark.createDataFrame([(search.BLOCK, None), (2**62, "run of nothing")], SCHEMA))
     assert {r.id for r in index.candidates("even").collect()} == {i for i in ids if i % 2 == 0} - {search.BLOCK, 2**62}
     assert {r.id for r in index.found("nothing", spark.createDataFrame([(1,), (2**62,)], "id long")).collect()} == {2**62}
+
+
+def test_the_query_keeps_its_index_up(spark, data, monkeypatch):
+    """flt28_search_by_index: the index is made from a pipeline's executions and then kept up with the others, each put in once, as if made at once."""
+    from provlake.plans import QUERIES, adapter
+
+    put, update = [], search.Index.update
+
+    def watched(index, texts):
+        update(index, texts)
+        put.append((index, {r.id: r.text for r in texts.collect()}))
+
+    monkeypatch.setattr(search.Index, "update", watched)
+    found = {r.execution_id for r in QUERIES["flt28_search_by_index"](spark, data).collect()}
+    store = adapter.load(spark, data)
+    (index, first), (same, then) = put
+    mine = {r.id for r in browse.pipeline_executions(store, "ASIA").collect()}
+    assert same is index and index.manifest()["version"] == 2 and first.keys() == mine and not mine & then.keys()
+    assert first | then == {r.id: r.text for r in search.execution_texts(store).collect()}
+    assert found and found <= mine
+    whole = search.Index(spark, scratch_path(spark, "index"))
+    update(whole, search.execution_texts(store))
+    for kind in ("entities", "postings"):
+        rows = [sorted(map(tuple, i.read(i.manifest(), kind, list(range(search.BUCKETS))).collect())) for i in (index, whole)]
+        assert rows[0] == rows[1] and rows[0], kind
